@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +61,24 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_LIMIT) -> bool:
     """Whether the optimiser's size estimate of ``df`` is at most ``limit`` bytes."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return int(size.toString()) <= limit
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application, so that functions run in Python find it wherever the
+    driver imported it from."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="knotwork-"), "knotwork.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("knotwork", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
