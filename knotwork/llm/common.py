@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from knotwork.session import ship
+
 #: Folder of the public tokenizers' vocabulary files, on every machine.
 TOKENIZERS = "/opt/tokenizers"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as the cluster has cores. Only a frame that has fewer (a table of one
+    """``df``, about to go through Python workers, over at least as many partitions as the cluster has cores. Only a frame that has fewer (a table of one
     small file) is shuffled; a large table is left as it is read."""
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
         return df.repartition(3 * cores)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import bpe, near_duplicates, splitting
+from knotwork.llm import bpe, mojibake, near_duplicates, splitting
 from knotwork.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,5 +30,13 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_texts(table(spark, folder, "documents").select("doc_id", "text"), "text", "ids")
 
 
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return mojibake.garbled_texts(table(spark, folder, "documents").select("doc_id", "text"), "text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_restored(spark, folder).select("doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
