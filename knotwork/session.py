@@ -57,10 +57,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_enough(df: DataFrame, limit: int = BROADCAST_LIMIT) -> bool:
-    """Whether the optimiser's size estimate of ``df`` is at most ``limit`` bytes."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= limit
+def few(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> bool:
+    """Whether the rows of ``df``, which should be cheap to count, take at most ``limit`` bytes: the check before a
+    broadcast."""
+    most = limit // row_bytes
+    return df.limit(most + 1).count() <= most
 
 
 _shipped: set[str] = set()
