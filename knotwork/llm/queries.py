@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import bpe, mojibake, near_duplicates, splitting
+from knotwork.llm import answers, bpe, mojibake, near_duplicates, splitting
 from knotwork.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return answers.defective_answers(table(spark, folder, "results_step"), ["result_id"])
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = near_duplicates.similar_pairs(table(spark, folder, "results_step"), "result_id", "context", 3, 0.7)
     return pairs.select(F.col("id_a").alias("result_id_a"), F.col("id_b").alias("result_id_b"))
