@@ -16,58 +16,101 @@ Records with equal sets form a class and take part once, so that a group of copi
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.llm.common import spread
-from knotwork.session import cut
+from knotwork.session import cut, few
 
 SKETCH_BITS = 2048
 #: Reference fingerprints: of the records with the least keys. Any choice gives the same pairs.
 PIVOTS = 64
 #: Shingles that two similar sets have in common among their rarest.
 SHARED = 4
-#: Cells of the table of shingle counts that orders shingles by rarity; its size doesn't grow with the data.
-CELLS = 1 << 18
-#: Words whose hash a worker keeps; with more it starts anew.
-KEPT_WORDS = 500_000
-
-WORD = regex.compile(r"[\p{L}\p{N}]+")
-_hashes: dict[str, int] = {}
-
-
-def _word_hash(word: str) -> int:
-    found = _hashes.get(word)
-    if found is None:
-        if len(_hashes) >= KEPT_WORDS:
-            _hashes.clear()
-        found = _hashes[word] = xxhash.xxh64_intdigest(word)
-    return found
-
-
-def shingles(passages: list[str | None] | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of ``width`` consecutive words within a passage. Words are the
-    lower-cased longest runs of letters or digits."""
-    found = []
-    for passage in passages or ():
-        words = WORD.findall(passage.lower()) if passage else ()
-        if len(words) >= width:
-            w = np.fromiter(map(_word_hash, words), np.uint64, len(words))
-            h = np.zeros(len(words) - width + 1, np.uint64)
-            for k in range(width):
-                h = (h ^ w[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            found.append(h ^ (h >> np.uint64(32)))
-    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+#: Cells of the table of shingle counts that orders shingles by rarity, and cells of a block of it; the size doesn't grow
+#: with the data.
+CELLS, BLOCK = 1 << 18, 1 << 10
+#: Characters that are hashed at one go; a longer record is a go by itself.
+AT_ONCE = 1 << 21
+_BASE = 0x9E3779B97F4A7C15 | 1
+
+
+@lru_cache(1)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point whether it is a letter or digit, and a random number."""
+    kinds = np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+    return kinds, np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, 0x110000, np.uint64)
+
+
+_powers: list[np.ndarray] = []
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers up to n, and their inverses, modulo 2^64."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, AT_ONCE)
+        with np.errstate(over="ignore"):
+            both = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+        _powers[:] = both
+    return _powers[0], _powers[1]
+
+
+def _words(passages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and passage number of each word: all words at once, by differences of a running polynomial."""
+    kinds, numbers = _letters()
+    text = "\n".join(passages)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.concatenate([[False], kinds[points], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _power(len(points) + 1)
+    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(numbers[points] * up[: len(points)], dtype=np.uint64)])
+    hashes = (running[ends] - running[starts]) * down[starts]
+    after = np.cumsum(np.fromiter((len(p) + 1 for p in passages), np.int64, len(passages)))
+    return _mixed(hashes), np.searchsorted(after, starts, side="right")
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def row_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """For each list of passages the sorted distinct 64-bit hashes of its runs of ``width`` consecutive words within a
+    passage. Words are the lower-cased longest runs of letters or digits; NULL passages are skipped."""
+    flat = pc.utf8_lower(pc.list_flatten(column).fill_null("")).to_pylist()
+    parents = pc.list_parent_indices(column).to_numpy(zero_copy_only=False)
+    bounds = np.searchsorted(parents, np.arange(len(column) + 1))
+    row = 0
+    while row < len(column):
+        end, size = row, 0
+        while end < len(column) and (end == row or size < AT_ONCE // 2):
+            size += sum(map(len, flat[bounds[end] : bounds[end + 1]]))
+            end += 1
+        passages = flat[bounds[row] : bounds[end]]
+        if not passages:
+            yield from (np.empty(0, np.uint64) for _ in range(row, end))
+            row = end
+            continue
+        hashes, of = _words(passages)
+        n = max(0, len(hashes) - width + 1)
+        h = np.zeros(n, np.uint64)
+        for k in range(width):
+            h = _mixed(h * np.uint64(_BASE) + hashes[k : k + n])
+        whole = of[:n] == of[width - 1 : width - 1 + n]
+        h, of = h[whole], of[:n][whole]
+        cuts = np.searchsorted(of, bounds[row : end + 1] - bounds[row])
+        yield from (np.unique(h[cuts[k] : cuts[k + 1]]) for k in range(end - row))
+        row = end
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -81,106 +124,143 @@ def _lists(rows: list[np.ndarray], kind: str) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).astype(kind) if rows else np.empty(0, kind)))
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingles(x.as_py(), width) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets]),
-                pa.array(list(map(len, sets)), pa.int32()),
-                _lists([s.view(np.int64) for s in sets], "int64"),
-            ],
-            names=["id", "key", "n", "hashes"],
-        )
+def _key(hashes: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def shingle_sets(df: DataFrame, record_id: str, passages: str, width: int) -> DataFrame:
-    """``id, key, n, hashes`` of each record: ``key`` is the same for equal sets."""
-    rows = spread(df.select(F.col(record_id).cast("long").alias("id"), F.col(passages)))
-    return rows.mapInArrow(lambda b: _sets(b, width), "id long, key string, n int, hashes array<long>")
-
-
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first_pass(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """A row for each record (its id, key and number of shingles), then the partition's shingle counts by block."""
     counts = np.zeros(CELLS, np.int64)
-    for batch in batches:
-        flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-        counts += np.bincount(flat & (CELLS - 1), minlength=CELLS)
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["cell", "c"])
 
+    def rows(block: list, ids: list, keys: list, sizes: list, blobs: list) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((block, ids, keys, sizes, blobs), kinds)], names=["block", "id", "key", "n", "counts"])
 
-def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, tokens, sizes, shares = [], [], [], []
-        for key, size, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            h = hashes.values.to_numpy(zero_copy_only=False)
+        ids, keys, sizes = [], [], []
+        for record, hashes in zip(batch.column(0).to_pylist(), row_sets(batch.column(1), width)):
+            if len(hashes):
+                ids.append(record)
+                keys.append(_key(hashes))
+                sizes.append(len(hashes))
+                counts += np.bincount((hashes & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) if len(hashes) > CELLS // 8 else 0
+                if len(hashes) <= CELLS // 8:
+                    counts[(hashes & np.uint64(CELLS - 1)).astype(np.int64)] += 1
+        none = [None] * len(ids)
+        yield rows(none, ids, keys, sizes, none)
+    used = [k for k in range(CELLS // BLOCK) if counts[k * BLOCK : (k + 1) * BLOCK].any()]
+    none = [None] * len(used)
+    yield rows(used, none, none, none, [counts[k * BLOCK : (k + 1) * BLOCK].astype("<i8").tobytes() for k in used])
+
+
+def _sum_blocks(blocks: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(b, "<i8") for b in blocks.column("counts").to_pylist())
+    return pa.table({"block": blocks.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], width: int, counts: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """The rarest shingles of each set; of equal sets in a partition only once. Of two similar sets the larger, of m
+    shingles, has all but ``threshold * m`` of its own in common with the other, the smaller all but a share that is
+    smaller still: the last bit of ``m`` marks the shingles that count when the set is the smaller one, the rest is the
+    size."""
+    seen: set[int] = set()
+    for batch in batches:
+        keys, tokens, sizes = [], [], []
+        for hashes in row_sets(batch.column(0), width):
+            size = len(hashes)
+            if not size or (key := _key(hashes)) in seen:
+                continue
+            seen.add(key)
             need = math.ceil(threshold * size - 1e-9)
             share = min(SHARED, need)
             take = min(size, size - need + share)
-            rarest = h[np.lexsort((h, counts[h & (CELLS - 1)]))[:take]]
-            tokens.append(rarest)
-            for out, value in ((ids, key), (sizes, size), (shares, share)):
-                out.extend([value] * take)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64)), pa.array(ids, pa.string()), pa.array(sizes, pa.int32()), pa.array(shares, pa.int32())],
-            names=["token", "key", "n", "share"],
-        )
-
-
-def _tables(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
+            low = min(take, size - math.ceil(2 * threshold / (1 + threshold) * size - 1e-9) + share)
+            load = counts[(hashes & np.uint64(CELLS - 1)).astype(np.int64)]
+            # Of shingles of one load the order is by hash; it must be the same for all sets.
+            rarest = hashes[np.lexsort((hashes, load))[:take]]
+            tokens.append(rarest.view(np.int64))
+            keys.append(np.full(take, key))
+            sizes.append(np.where(np.arange(take) < low, 2 * size + 1, 2 * size))
+        columns = [np.concatenate(x).astype(kind) if x else np.empty(0, kind) for x, kind in ((tokens, np.int64), (keys, np.int64), (sizes, np.int32))]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["token", "key", "m"])
+
+
+def _tables(batches: Iterator[pa.RecordBatch], width: int, pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Key, size, pivot distances, fingerprint and shingles (32 bits of each are enough to tell those of two sets)."""
     for batch in batches:
-        sketches = [sketch(h.values.to_numpy(zero_copy_only=False).view(np.uint64)) for h in batch.column(2)]
+        sets = list(row_sets(batch.column(0), width))
+        sketches = [sketch(h) for h in sets]
         far = [np.bitwise_count(s.view(np.uint64) ^ pivots.view(np.uint64)).sum(axis=1, dtype=np.int16) for s in sketches]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), _lists(far, "int16"), _lists(sketches, "int64")], names=["key", "n", "far", "sketch"]
+            [
+                pa.array(list(map(_key, sets)), pa.int64()),
+                pa.array(list(map(len, sets)), pa.int32()),
+                _lists(far, "int16"),
+                _lists(sketches, "int64"),
+                _lists([(h >> np.uint64(32)).astype(np.uint32).view(np.int32) for h in sets], "int32"),
+            ],
+            names=["key", "n", "far", "sketch", "hashes"],
         )
 
 
+def _of_ids(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose id is wanted; the wanted ids are broadcast only while they are few."""
+    return rows.join(F.broadcast(wanted) if few(wanted, 16) else wanted, "id", "left_semi")
+
+
 def similar_classes(df: DataFrame, record_id: str, passages: str, width: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Classes of records with equal shingle sets, and all pairs of classes that are similar.
 
     The first frame (``id, key``) has each record that has a shingle; the second (``key_a, key_b, similarity``, with
     ``key_a < key_b``) each pair of classes whose similarity is at least ``threshold``. Records without a shingle (NULL,
-    empty or too short passages) are similar to none and in neither; NULL ids make classes of their own records like any
-    other id. Equal rows fall into one class. An empty table gives two empty frames. ``passages`` is an array of strings.
+    empty or too short passages) are similar to none and in neither; so are records with a NULL id. Equal rows fall into
+    one class. An empty table gives two empty frames. ``passages`` is an array of strings; other columns are not read.
+
+    The shingle sets, which are larger than the texts, are never stored or shuffled: they are computed anew, from whole
+    texts, by each of three passes (keys and counts; rarest shingles; tables of the records that are left as candidates).
     """
     spark = df.sparkSession
-    sets = cut(shingle_sets(df, record_id, passages, width).filter("n > 0"))
-    classes = sets.groupBy("key").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+    rows = df.select(F.col(record_id).cast("long").alias("id"), F.col(passages).alias("passages")).filter("id is not null")
+    first = cut(spread(rows).mapInArrow(lambda b: _first_pass(b, width), "block int, id long, key long, n int, counts binary"))
+    members = first.filter("block is null").select("id", "key")
     counts = np.zeros(CELLS, np.int64)
-    for cell, c in sets.select("hashes").mapInArrow(_cells, "cell long, c long").groupBy("cell").agg(F.sum("c")).collect():
-        counts[cell] = c
-    firsts = sets.select("key", "hashes").dropDuplicates(["key"]).orderBy("key").limit(PIVOTS).collect()
-    pivots = np.stack([sketch(np.asarray(r.hashes, np.int64).view(np.uint64)) for r in firsts] or [np.zeros(SKETCH_BITS // 64, np.int64)])
-    rarity, reference = spark.sparkContext.broadcast(counts.astype(np.int64)), spark.sparkContext.broadcast(pivots)
-
-    tokens = classes.select("key", "n", "hashes").mapInArrow(lambda b: _prefixes(b, rarity.value, threshold), "token long, key string, n int, share int")
-    tokens = cut(tokens)
-    a = tokens.select("token", *(F.col(c).alias(f"{c}_a") for c in ("key", "n", "share")))
-    b = tokens.select("token", *(F.col(c).alias(f"{c}_b") for c in ("key", "n", "share")))
-    near = (F.col("n_a") >= threshold * F.col("n_b") - 1e-9) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9)
-    pairs = (
+    for r in first.filter("block is not null").select("block", "counts").groupBy("block").applyInArrow(_sum_blocks, "block int, counts binary").collect():
+        counts[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, "<i8")
+    rarity = spark.sparkContext.broadcast(counts)
+
+    tokens = spread(rows.select("passages")).mapInArrow(lambda b: _prefixes(b, width, rarity.value, threshold), "token long, key long, m int").repartition("token").dropDuplicates(["token", "key"])
+    a, b = (tokens.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "m"))) for s in "ab")
+    n_a, n_b = F.shiftright("m_a", 1), F.shiftright("m_b", 1)
+    smaller = (n_a < n_b) | (n_a == n_b) & (F.col("key_a") < F.col("key_b"))
+    low = (F.col("m_a").bitwiseAND(1) == 1) | (F.col("m_b") < 0)  # the second never holds; it keeps both sides one exchange
+    least = F.least(F.lit(SHARED), F.ceil(threshold * F.col("n_a") - 1e-9))
+    pairs = cut(
         a.join(b, "token")
-        .filter((F.col("key_a") < F.col("key_b")) & near)
+        .filter(smaller & low & (n_a >= threshold * n_b - 1e-9))
         .groupBy("key_a", "key_b")
-        .agg(F.count("*").alias("shared"), F.first(F.least("share_a", "share_b")).alias("least"))
-        .filter("shared >= least")
+        .agg(F.count("*").alias("shared"), F.first(n_a).alias("n_a"))
+        .filter(F.col("shared") >= least)
         .select("key_a", "key_b")
     )
-    table = classes.mapInArrow(lambda x: _tables(x, reference.value), "key string, n int, far array<short>, sketch array<long>")
+
+    keys = pairs.select(F.col("key_a").alias("key")).union(pairs.select(F.col("key_b").alias("key"))).distinct()
+    one = cut(members.join(keys, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")))
+    firsts = [r.id for r in one.orderBy("key").limit(PIVOTS).collect()]
+    sample = rows.filter(F.col("id").isin(firsts)).select("id", "passages").toArrow() if firsts else None
+    pivots = np.stack([sketch(h) for h in row_sets(sample.column("passages").combine_chunks(), width)][:PIVOTS] if firsts else [np.zeros(SKETCH_BITS // 64, np.int64)])
+    reference = spark.sparkContext.broadcast(pivots)
+    tables = spread(_of_ids(rows, one.select("id")).select("passages")).mapInArrow(
+        lambda x: _tables(x, width, reference.value), "key long, n int, far array<short>, sketch array<long>, hashes array<int>"
+    )
     for side in "ab":
-        pairs = pairs.join(table.select(*(F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "far", "sketch"))), f"key_{side}")
+        pairs = pairs.join(tables.select(*(F.col(c).alias(f"{c}_{side}") for c in tables.columns)), f"key_{side}")
     radius = (1 - threshold) / (1 + threshold) * (F.col("n_a") + F.col("n_b")) + 1e-9
     coordinate = F.array_max(F.zip_with("far_a", "far_b", lambda x, y: F.abs(x - y)))
     direct = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.filter(coordinate <= radius).filter(direct <= radius).select("key_a", "key_b")
-    for side in "ab":
-        pairs = pairs.join(classes.select(*(F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "hashes"))), f"key_{side}")
     both = F.size(F.array_intersect("hashes_a", "hashes_b"))
-    pairs = pairs.withColumn("both", both).withColumn("similarity", F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")))
-    pairs = pairs.filter(F.col("similarity") >= threshold - 1e-12).select("key_a", "key_b", "similarity")
-    return sets.select("id", "key"), pairs
+    pairs = pairs.filter(coordinate <= radius).filter(direct <= radius).withColumn("both", both)
+    pairs = pairs.withColumn("similarity", F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).filter(F.col("similarity") >= threshold - 1e-12)
+    return members, pairs.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), "similarity")
 
 
 def similar_pairs(df: DataFrame, record_id: str, passages: str, width: int = 5, threshold: float = 0.8) -> DataFrame:
