@@ -7,12 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import answers, bpe, mojibake, near_duplicates, splitting
+from knotwork.llm import answers, bpe, mojibake, near_duplicates, splitting, survivors
 from knotwork.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _best_values(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, list[tuple]]:
+    return survivors.best_values(*(table(spark, folder, t) for t in ("entities", "documents", "clients")))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _best_values(spark, folder)[0].select("canonical_name", "field", "ord")
+
+
+def p1_records(spark: SparkSession, folder: str) -> DataFrame:
+    return survivors.merged_records(table(spark, folder, "entities"), _best_values(spark, folder)[0])
+
+
+def p1_retained(spark: SparkSession, folder: str) -> DataFrame:
+    return _best_values(spark, folder)[1].filter("posterior >= 0.5")
+
+
+def p1_sources(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _best_values(spark, folder)[2]
+    return spark.createDataFrame(rows, "field string, client_id string, sensitivity double, specificity double, claims long")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return answers.defective_answers(table(spark, folder, "results_step"), ["result_id"])
 
