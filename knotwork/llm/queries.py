@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import answers, bpe, mojibake, near_duplicates, splitting, survivors
+from knotwork.llm import answers, bpe, mojibake, names, near_duplicates, splitting, survivors
 from knotwork.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,14 @@ def p1_sources(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "field string, client_id string, sensitivity double, specificity double, claims long")
 
 
+def p2_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return names.link_names(table(spark, folder, "entities"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.spelling_pairs(p2_clusters(spark, folder))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return answers.defective_answers(table(spark, folder, "results_step"), ["result_id"])
 
