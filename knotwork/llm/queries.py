@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import answers, bpe, mojibake, names, near_duplicates, splitting, survivors
+from knotwork.llm import answers, bpe, mixing, mojibake, names, near_duplicates, splitting, survivors
+from knotwork.session import cut
 from knotwork.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +64,21 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_texts(table(spark, folder, "documents").select("doc_id", "text"), "text", "ids")
 
 
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, folder, "mix_targets")
+    named = table(spark, folder, "documents").select("doc_id", "source", "text").join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
+    sized = cut(bpe.count_tokens(named.select("doc_id", F.array("source").alias("sources"), "text"), "text", "tokens"))
+    return mixing.mix(sized, targets)
+
+
+def p7_selection(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[1]
+
+
 def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return mojibake.garbled_texts(table(spark, folder, "documents").select("doc_id", "text"), "text")
 
