@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
+from knotwork.operators import graph
+from knotwork.plans import graph_queries  # noqa: F401  (registers its queries)
+from knotwork.plans.base import QUERIES, SQL, Query
+from knotwork.sources.tables import table
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    raise NotImplementedError
+    """Records merged into a graph, and its ten most central nodes with their type, weight and degree."""
+    nodes, edges = graph.build_round(None, *(table(spark, folder, t) for t in ("entities", "hyperedges", "edges")))
+    top = graph.top_central(nodes, edges, 10)
+    return top.join(nodes, "id").select("id", "role", "entity_type", F.round("weight", 4).alias("weight"), "degree", F.round("centrality", 9).alias("centrality"))
