@@ -124,7 +124,9 @@ def knowledge_text(x: Column) -> Column:
 
 def tool_query(x: Column) -> Column:
     """The query of the first tool call as a string; NULL if there is no call or its body is no JSON object with it."""
-    return F.get_json_object(F.try_element_at(bodies(x, "query"), F.lit(1)), "$.query")
+    body = F.try_element_at(bodies(x, "query"), F.lit(1))
+    read = F.from_json(body, "query string, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    return F.when(read["_corrupt_record"].isNull(), read["query"])
 
 
 def first_call(x: Column) -> Column:

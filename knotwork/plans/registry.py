@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.operators import graph
-from knotwork.plans import graph_queries  # noqa: F401  (registers its queries)
+from knotwork.plans import answer_queries, batch_queries, graph_queries  # noqa: F401  (they register their queries)
 from knotwork.plans.base import QUERIES, SQL, Query
 from knotwork.sources.tables import table
 
