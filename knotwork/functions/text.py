@@ -125,8 +125,9 @@ def knowledge_text(x: Column) -> Column:
 def tool_query(x: Column) -> Column:
     """The query of the first tool call as a string; NULL if there is no call or its body is no JSON object with it."""
     body = F.try_element_at(bodies(x, "query"), F.lit(1))
-    read = F.from_json(body, "query string, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
-    return F.when(read["_corrupt_record"].isNull(), read["query"])
+    # The parser stops at the end of the object; what follows it makes the body invalid all the same.
+    once = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>", {"mode": "PERMISSIVE"})
+    return F.when((F.size(once) == 1) & F.get_json_object(body, "$").isNotNull(), F.get_json_object(body, "$.query"))
 
 
 def first_call(x: Column) -> Column:
