@@ -88,6 +88,8 @@ def contained(a: Sequence[str], b: Sequence[str], width: int = 2) -> float:
 def is_copy(question: str, answer: str) -> bool:
     """Whether the answer only gives the question back, be it in another case, with other marks, or twice over."""
     q, a = tokens(question), tokens(regex.sub(r"^\W*(?:you asked|q|question|the question (?:is|was)|frage|pregunta)\s*:", "", answer.strip(), flags=regex.IGNORECASE))
+    if len(a) > len(q) > 0 and len(a) % len(q) == 0 and a == q * (len(a) // len(q)):
+        return True
     if not q or len(a) < 3 or len(a) > 3 * len(q) + 8:
         return False
     if contained(a, q) < COPY_CONTAINED:
