@@ -259,11 +259,14 @@ def _latin_round(text: str) -> tuple[str, str, int] | None:
         return None
     _, wrong, right = best
     back = _bytes_of(wrong)
+    # Where most words that the pair would change are odd, the whole text was read through it.
+    changing = sum(_swap(w, wrong, right) != w for w in words)
+    throughout = wrong != "cp1251" and (len(odd) > 2 or 2 * best[0] >= changing)
 
     def one(m: regex.Match) -> str:
         word = m.group()
         swapped = _swap(word, wrong, right)
-        return swapped if all(ord(c) < 0x80 or c in back for c in word) and _regular_latin(swapped) and (_irregular(word) or len(odd) > 2 and wrong != "cp1251") else word
+        return swapped if all(ord(c) < 0x80 or c in back for c in word) and _regular_latin(swapped) and (_irregular(word) or throughout) else word
 
     fixed = _WORD.sub(one, text)
     return (fixed, f"{right} as {wrong}", best[0]) if fixed != text else None
