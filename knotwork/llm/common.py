@@ -13,7 +13,8 @@ TOKENIZERS = "/opt/tokenizers"
 
 def spread(df: DataFrame) -> DataFrame:
     """``df``, about to go through Python workers, over at least as many partitions as the cluster has cores. Only a frame that has fewer (a table of one
-    small file) is shuffled; a large table is left as it is read."""
+    small file) is shuffled; a large table is left as it is read. For scans and checkpoints: a plan with a shuffle would
+    be run to count its partitions."""
     ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df._jdf.queryExecution().toRdd().getNumPartitions() < cores:

@@ -249,7 +249,7 @@ def similar_classes(df: DataFrame, record_id: str, passages: str, width: int = 5
     sample = rows.filter(F.col("id").isin(firsts)).select("id", "passages").toArrow() if firsts else None
     pivots = np.stack([sketch(h) for h in row_sets(sample.column("passages").combine_chunks(), width)][:PIVOTS] if firsts else [np.zeros(SKETCH_BITS // 64, np.int64)])
     reference = spark.sparkContext.broadcast(pivots)
-    tables = spread(_of_ids(rows, one.select("id")).select("passages")).mapInArrow(
+    tables = _of_ids(spread(rows), one.select("id")).select("passages").mapInArrow(
         lambda x: _tables(x, width, reference.value), "key long, n int, far array<short>, sketch array<long>, hashes array<int>"
     )
     for side in "ab":
