@@ -147,12 +147,12 @@ def language(text: str) -> tuple[str | None, int]:
     cyrillic = [w for w in small if regex.match(r"\p{Cyrillic}", w)]
     if cyrillic:
         return "ru", len(cyrillic) + sum("Ѐ" <= c <= "ӿ" for c in letters) // 6
-    words = [w for w in tokens(text)]
+    words = [w for w in tokens(text) if w not in ("of", "and", "the")]  # names are joined by them in any language
     lower = set(small)
     best, most = None, 0.0
     marks = {"de": "ßäöü", "fr": "çœèùêâ", "es": "ñ¿¡íó", "pt": "ãõç", "pl": "łżźćńśęą", "cs": "řůěčž"}
     for lang, own in WORDS_OF.items():
-        hits = sum(1 for w in words if w in own and (w in lower or words[0] == w))
+        hits = sum(1 for w in words if w in own and (w in lower or words[:1] == [w]))
         hits += 0.6 * sum(any(c in w for c in marks.get(lang, "")) for w in small)
         if hits > most:
             best, most = lang, hits
