@@ -199,3 +199,23 @@ def first_per_group(df: DataFrame, by: str, order: str, k: int) -> DataFrame:
 def seeded_sample(df: DataFrame, column: str, n: int, seed: int = 42) -> DataFrame:
     """The first ``n`` rows of a seeded order of the column's hashes, as a log of samples takes them."""
     return df.orderBy(F.xxhash64(F.lit(seed), column), column).limit(n)
+
+
+def within_length(df: DataFrame, tokens: Column, most: int) -> DataFrame:
+    """Rows of at most ``most`` tokens; rows without tokens (NULL) are dropped."""
+    return df.filter(F.size(tokens) <= most)
+
+
+def offsets(df: DataFrame, length: str) -> DataFrame:
+    """``cu_seqlen``: lengths of the rows before, in the order of ``row_id``. Sums of blocks of rows are put in sequence
+    first, so that no task sees all rows."""
+    block = F.floor(F.col("row_id") / 65_536)
+    marked = df.withColumn("_b", block)
+    before = marked.groupBy("_b").agg(F.sum(length).alias("_s")).withColumn("_o", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.coalesce(F.sum(length).over(Window.partitionBy("_b").orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return marked.withColumn("_w", within).join(F.broadcast(before.select("_b", "_o")), "_b").withColumn("cu_seqlen", F.col("_o") + F.col("_w")).drop("_b", "_w", "_o")
+
+
+def transpose(df: DataFrame, sample: str, column: str) -> DataFrame:
+    """``row_id, values``: a row's samples in the order of ``sample``."""
+    return df.groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(sample, column))), lambda x: x[column]).alias("values"))

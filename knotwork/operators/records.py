@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from knotwork.functions import text
+from knotwork.session import ship
 
 
 def pack_entities(entities: DataFrame, threshold: float = 30.0, tokens: int = 200) -> DataFrame:
@@ -108,3 +112,31 @@ def byte_slices(df: DataFrame, content: str, whole: int = 10 << 20, piece: int =
     size = F.when(n < whole, F.greatest(n, F.lit(1))).otherwise(piece)
     cuts = F.sequence(F.lit(0), F.greatest(F.ceil(n / size) - 1, F.lit(0)).cast("int"))
     return df.withColumn("slice_no", F.explode(cuts)).withColumn("slice", F.substring(F.col(content), F.col("slice_no") * size + 1, size))
+
+
+def _zipped(texts: pd.Series, level: int) -> pd.Series:
+    pack = zstandard.ZstdCompressor(level=level).compress
+    return texts.map(lambda t: None if t is None else pack(t.encode()))
+
+
+def _unzipped(blobs: pd.Series) -> pd.Series:
+    unpack = zstandard.ZstdDecompressor().decompressobj
+    return blobs.map(lambda b: None if b is None else unpack().decompress(bytes(b)).decode())
+
+
+def pack_payloads(df: DataFrame, columns: list[str], level: int = 3) -> DataFrame:
+    """``payload`` (the columns as JSON, zstd-compressed), ``original_bytes``, ``packed_bytes`` and ``ratio`` (infinite for
+    an empty payload) of each row."""
+    ship(df.sparkSession)
+
+    def zipped(texts: pd.Series) -> pd.Series:
+        return _zipped(texts, level)
+
+    packed = df.withColumn("_t", F.to_json(F.struct(*columns))).withColumn("payload", F.pandas_udf(zipped, T.BinaryType())(F.col("_t")))
+    return packed.withColumn("original_bytes", F.octet_length("_t")).withColumn("packed_bytes", F.octet_length("payload")).withColumn("ratio", F.when(F.col("packed_bytes") == 0, float("inf")).otherwise(F.col("original_bytes") / F.col("packed_bytes"))).drop("_t")
+
+
+def unpack_payloads(df: DataFrame, schema: str) -> DataFrame:
+    """The columns that a payload holds, by a DDL schema."""
+    ship(df.sparkSession)
+    return df.withColumn("_r", F.from_json(F.pandas_udf(_unzipped, T.StringType())(F.col("payload")), schema)).select(*(c for c in df.columns if c not in ("payload", "original_bytes", "packed_bytes", "ratio")), "_r.*")

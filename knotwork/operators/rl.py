@@ -196,3 +196,20 @@ def learning_rates(steps: DataFrame, warmup: int, total: int, kind: str = "cosin
     progress = (s - warmup) / max(1, total - warmup)
     wave = 0.5 * (1 + F.cos(F.lit(2 * 3.141592653589793 * cycles) * progress))
     return steps.select("step", F.when(s < warmup, up).otherwise(F.greatest(F.lit(floor), floor + (1 - floor) * wave)).alias("factor"))
+
+
+#: Ways to an advantage by name: functions of a frame and their options.
+ADVANTAGES = {
+    "grpo": group_advantage,
+    "rloo": leave_one_out_advantage,
+    "remax": baseline_returns,
+    "reinforce_plus_plus": discounted,
+    "gae": gae,
+}
+
+
+def advantage(df: DataFrame, kind: str, **options) -> DataFrame:  # noqa: ANN003
+    """The advantage of the named kind; an unknown name raises ``ValueError``."""
+    if kind not in ADVANTAGES:
+        raise ValueError(f"unknown advantage {kind!r}")
+    return ADVANTAGES[kind](df, **options)

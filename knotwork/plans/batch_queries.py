@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from knotwork.functions import grading
 from knotwork.operators import balance, batch, evaluate, federated, records, rl, tools
 from knotwork.plans import base
 from knotwork.plans.base import BATCH, PARAMS, SEQUENCES, TOKENS, query
@@ -338,3 +339,46 @@ def windowed_events(spark, d):  # noqa: ANN001, ANN201
 @query("SELECT event_type, round(avg(value), 6) AS value FROM events GROUP BY 1")
 def metric_means(spark, d):  # noqa: ANN001, ANN201
     return _rounded(evaluate.means_by(table(spark, d, "events"), ["event_type"], ["value"]), "value")
+
+
+@query(f"WITH {BATCH}, l AS (SELECT row_id, o_orderkey % 13 AS n FROM b) SELECT row_id, CAST(coalesce(sum(n) OVER (ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cu_seqlen FROM l")
+def sequence_offsets(spark, d):  # noqa: ANN001, ANN201
+    lengths = base.batch(spark, d).select("row_id", F.pmod("o_orderkey", F.lit(13)).alias("n"))
+    return batch.offsets(lengths, "n").select("row_id", "cu_seqlen")
+
+
+@query("SELECT result_id FROM results_step WHERE len(string_split(question, ' ')) <= 9")
+def prompt_length_filter(spark, d):  # noqa: ANN001, ANN201
+    return batch.within_length(table(spark, d, "results_step"), F.split("question", " "), 9).select("result_id")
+
+
+@query("SELECT l_orderkey AS row_id, array_to_string(list(l_quantity::INTEGER ORDER BY l_linenumber, l_partkey, l_suppkey), ',') AS quantities FROM lineitem GROUP BY 1")
+def samples_by_row(spark, d):  # noqa: ANN001, ANN201
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("k"), F.col("l_quantity").cast("int").cast("string").alias("q"))
+    return batch.transpose(lines, "k", "q").select("row_id", F.array_join("values", ",").alias("quantities"))
+
+
+@query("SELECT ord, entity_name, description FROM entities WHERE weight >= 30 AND NOT isnan(weight)")
+def payload_round_trip(spark, d):  # noqa: ANN001, ANN201
+    packed = records.pack_payloads(records.pack_entities(table(spark, d, "entities")).select("ord", "entity_name", "description"), ["entity_name", "description"])
+    return records.unpack_payloads(packed.select("ord", "payload"), "entity_name string, description string")
+
+
+@query("SELECT result_id, CASE WHEN result_id % 3 = 2 THEN 0.0 ELSE 1.0 END AS score FROM results_step")
+def math_grading(spark, d):  # noqa: ANN001, ANN201
+    n = F.col("result_id").cast("string")
+    given = F.when(F.col("result_id") % 3 == 0, F.concat(F.lit("so \\boxed{"), n, F.lit("/7}"))).when(F.col("result_id") % 3 == 1, F.concat(n, F.lit(".0"))).otherwise(F.concat(n, F.lit("1")))
+    truth = F.when(F.col("result_id") % 3 == 0, F.concat(F.lit("\\frac{"), n, F.lit("}{7}"))).otherwise(n)
+    return grading.graded(table(spark, d, "results_step").select("result_id", given.alias("g"), truth.alias("t")), "g", "t").select("result_id", "score")
+
+
+@query(f"WITH {TOKENS} SELECT row_id AS trajectory_id, count(*) AS steps, count(*) FILTER (WHERE mask = 1) AS effective, round(sum(reward), 4) AS reward FROM tok GROUP BY 1")
+def trajectory_summary(spark, d):  # noqa: ANN001, ANN201
+    t = base.tokens(spark, d).select(F.col("row_id").alias("trajectory_id"), F.col("t").alias("step"), F.lit("search").alias("tool"), F.when(F.col("mask") == 1, "ok").otherwise("failed").alias("outcome"), F.lit("r").alias("result"), "reward")
+    return _rounded(tools.trajectories(t).select("trajectory_id", "steps", "effective", "reward"), "reward", places=4)
+
+
+@query(f"WITH {TOKENS}, f AS (SELECT row_id, t, min(mask) OVER (PARTITION BY row_id ORDER BY t) AS alive FROM tok) SELECT row_id AS trajectory_id, least(sum(alive), 3) AS turns FROM f GROUP BY 1")
+def turn_counts(spark, d):  # noqa: ANN001, ANN201
+    t = base.tokens(spark, d).select(F.col("row_id").alias("trajectory_id"), F.col("t").alias("turn"), (F.col("mask") == 1).alias("has_call"))
+    return tools.turns_with_calls(t, 3)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from knotwork.operators import graph, records, vector
 from knotwork.operators.components import connected_components
 from knotwork.plans.base import CANON, query
+from knotwork.sources import documents
 from knotwork.sources.tables import table
 
 NAMED = f"""e AS (SELECT {CANON % 'entity_name'} AS id, * FROM entities WHERE entity_name IS NOT NULL)"""
@@ -283,3 +284,10 @@ def search_context(spark, d):  # noqa: ANN001, ANN201
     related = edges.select(graph.canonical_name(F.col("tgt_id")).alias("name"), F.col("src_id").alias("fact")).distinct()
     facts = entities.limit(0).select("query_id", "rank", F.col("description").alias("content"))
     return vector.contexts(facts, entities, related, q)
+
+
+@query(f"""WITH {NODES} SELECT '<edge source="' || replace(replace(replace(replace(src, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '" target="' || replace(replace(replace(replace(dst, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '"></edge>' AS line FROM ge""")
+def graphml_edges(spark, d):  # noqa: ANN001, ANN201
+    nodes, edges = _graph(spark, d)
+    lines = documents.graphml_lines(nodes.limit(0), edges.withColumn("weight", F.lit(None).cast("double")))
+    return lines.filter("section = 2").select("line")
