@@ -90,23 +90,24 @@ def topic_split(df: DataFrame, label: str, clients: int, seed: str = "0") -> Dat
 def dirichlet_split(df: DataFrame, key: str, label: str, clients: int, alpha: float = 0.5, seed: int = 0) -> DataFrame:
     """``client`` of each row: for each label the clients' shares are drawn from a Dirichlet distribution, floored, and what
     remains goes to one drawn client. Labels are few; their counts alone reach the driver."""
-    counts = sorted((r[label], r["count"]) for r in df.groupBy(label).count().limit(100_001).collect())
-    if len(counts) > 100_000:
+    found = df.groupBy(label).count().limit(100_001).collect()
+    if len(found) > 100_000:
         raise ValueError("more than 100000 labels")
-    draw, bounds = random.Random(seed), []
-    for value, n in counts:
+    draw, bounds, start = random.Random(seed), [], 0
+    for value, n in sorted(((r[label], r["count"]) for r in found), key=lambda x: (x[0] is not None, x[0])):
         parts = [draw.gammavariate(alpha, 1.0) for _ in range(clients)]
         total = sum(parts) or 1.0
         sizes = [int(n * p / total) for p in parts]
         sizes[draw.randrange(clients)] += n - sum(sizes)
-        at = 0
         for c, size in enumerate(sizes):
-            bounds.append((value, c, at, at + size))
-            at += size
+            bounds.append((value, c, start, start + size))
+            start += size
     kind = df.schema[label].dataType.simpleString()
-    table = df.sparkSession.createDataFrame(bounds, f"`{label}` {kind}, client int, low long, high long")
-    placed = df.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key)) - 1)
-    return placed.join(F.broadcast(table), (placed[label].eqNullSafe(table[label])) & (F.col("_r") >= F.col("low")) & (F.col("_r") < F.col("high"))).select(*df.columns and [placed[c] for c in df.columns], "client")
+    table = df.sparkSession.createDataFrame(bounds, f"_label {kind}, client int, _low long, _high long")
+    # Rows are numbered over all labels, so that no task has to hold a label of many rows.
+    placed = numbered(df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))), label, "_h", key, name="_pos")
+    here = placed[label].eqNullSafe(table["_label"]) & (F.col("_pos") >= F.col("_low")) & (F.col("_pos") < F.col("_high"))
+    return placed.join(F.broadcast(table), here).select(*(placed[c] for c in df.columns), "client")
 
 
 def pseudo_label(text: Column) -> Column:

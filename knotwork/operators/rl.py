@@ -9,20 +9,26 @@ from pyspark.sql import functions as F
 EPS = 1e-6
 
 
+def _group_stats(df: DataFrame, group: str, score: str) -> DataFrame:
+    """Rows with their group's ``_mean``, ``_std`` and ``_n``. The statistics are aggregated map-side and joined back, so a
+    group that holds a third of all rows isn't gathered; a skewed join partition is split at run time."""
+    stats = df.groupBy(F.col(group).alias("_g")).agg(F.avg(score).alias("_mean"), F.stddev_samp(score).alias("_std"), F.count("*").alias("_n"))
+    return df.join(stats, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+
+
 def group_advantage(df: DataFrame, group: str = "uid", score: str = "score", single: str = "score") -> DataFrame:
     """``advantage``: (score - mean) / (std + 1e-6) within the group, std unbiased. In a group of one the mean is 0 and
-    the std 1 (``single='score'``), or the advantage is 0 (``single='zero'``)."""
-    w = Window.partitionBy(group)
-    mean, std, n = F.avg(score).over(w), F.stddev_samp(score).over(w), F.count("*").over(w)
+    the std 1 (``single='score'``), or the advantage is 0 (``single='zero'``). A NULL group is a group."""
     alone = F.col(score) / (1 + EPS) if single == "score" else F.lit(0.0)
-    return df.withColumn("advantage", F.when(n == 1, alone).otherwise((F.col(score) - mean) / (std + EPS)))
+    out = F.when(F.col("_n") == 1, alone).otherwise((F.col(score) - F.col("_mean")) / (F.col("_std") + EPS))
+    return _group_stats(df, group, score).withColumn("advantage", out).drop("_mean", "_std", "_n")
 
 
 def leave_one_out_advantage(df: DataFrame, group: str = "uid", score: str = "score") -> DataFrame:
-    """``advantage``: n / (n - 1) (score - mean); a group of one keeps its score."""
-    w = Window.partitionBy(group)
-    n = F.count("*").over(w)
-    return df.withColumn("advantage", F.when(n == 1, F.col(score)).otherwise(n / (n - 1) * (F.col(score) - F.avg(score).over(w))))
+    """``advantage``: n / (n - 1) (score - mean); a group of one keeps its score. A NULL group is a group."""
+    n = F.col("_n")
+    out = F.when(n == 1, F.col(score)).otherwise(n / (n - 1) * (F.col(score) - F.col("_mean")))
+    return _group_stats(df, group, score).withColumn("advantage", out).drop("_mean", "_std", "_n")
 
 
 def _after(order: str = "t") -> Window:

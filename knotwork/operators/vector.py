@@ -14,6 +14,8 @@ NO_MODEL = "<knowledge>\nNo embedding model is available.\n</knowledge>"
 NOTHING = "<knowledge>No relevant knowledge found.</knowledge>"
 #: Places that a similarity is rounded to before it is ranked, so that near ties don't depend on the order of a sum.
 PLACES = 9
+#: Blocks that an exact search over all vectors is dealt into.
+BLOCKS = 32
 
 
 def normalize(v: Column) -> Column:
@@ -60,9 +62,13 @@ def neighbour_pairs(vectors: DataFrame, threshold: float = 0.85, k: int = 5, cel
     """``vec_a, vec_b, score`` of vectors that are among the ``k - 1`` nearest of one another's side and above the
     threshold. With ``cells`` above 1 a vector is only held against those of its cell (``assign_cells``)."""
     v = vectors.select("vec_id", normalize(F.col("embedding")).alias("v"))
-    v = assign_cells(v, cells) if cells > 1 else v.withColumn("cell", F.lit(0))
-    a = v.select("cell", F.col("vec_id").alias("vec_a"), F.col("v").alias("a"))
-    b = v.select("cell", F.col("vec_id").alias("vec_b"), F.col("v").alias("b"))
+    if cells > 1:
+        left = right = assign_cells(v, cells)
+    else:  # all against all, in blocks: one side is dealt out, the other copied to each
+        left = v.withColumn("cell", F.pmod(F.xxhash64("vec_id"), F.lit(BLOCKS)).cast("int"))
+        right = v.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    a = left.select("cell", F.col("vec_id").alias("vec_a"), F.col("v").alias("a"))
+    b = right.select("cell", F.col("vec_id").alias("vec_b"), F.col("v").alias("b"))
     scored = a.join(b, (a.cell == b.cell) & (F.col("vec_a") != F.col("vec_b"))).select("vec_a", "vec_b", F.round(dot(F.col("a"), F.col("b")), PLACES).alias("score"))
     best = scored.withColumn("r", F.row_number().over(Window.partitionBy("vec_a").orderBy(F.desc("score"), "vec_b"))).filter(F.col("r") <= k - 1)
     return best.filter(F.col("score") > threshold).select("vec_a", "vec_b", "score")
