@@ -115,9 +115,11 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7) -> tuple[DataFr
     more than ``max_repeats`` times for a source and all a document's uses in a mix are within the largest of its sources'.
     Shares: ``mix_name, source, target_share, actual_share, tokens, documents, most_uses`` for every row of the targets.
 
-    A mix is as large as its scarcest source allows. Documents without tokens, of NULL or unnamed sources are left out; a
+    A mix is as large as its scarcest source allows. What the order leaves of a source's quota, half a document at most, is
+    made up for by one use more or less of the document whose size fits it best. Documents without tokens, of NULL or unnamed sources are left out; a
     target without documents gets a share of 0, a NULL share or NULL repeats count as 0. The same seed gives the same
-    selection, however the rows are partitioned; equal rows of a document id are taken as one document per row.
+    selection, however the rows are partitioned; ``doc_id`` should be unique: rows of one id in a mix and
+    source are put out as one, with their uses added.
     """
     spark = documents.sparkSession
     wanted = [(r.mix_name, r.source, float(r.target_share or 0), int(r.max_repeats or 0)) for r in targets.filter("mix_name is not null and source is not null").limit(MOST_PATTERNS).collect()]
@@ -150,7 +152,8 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7) -> tuple[DataFr
                 start[p] += share
     flows = spark.createDataFrame(routes, "mix_name string, pattern array<string>, source string, low double, high double, whole long")
 
-    selection = cut(_select(members, sums, flows))
+    chosen = cut(_select(members, sums, flows))
+    selection = cut(_fitted(members, chosen, flows, goals))
     used = selection.groupBy("mix_name", "source").agg(F.sum(F.col("uses") * F.col("tokens")).alias("tokens"), F.count("*").alias("documents"), F.max("uses").alias("most_uses"))
     all_of = used.groupBy("mix_name").agg(F.sum("tokens").alias("all_tokens"))
     shares = goals.join(used, ["mix_name", "source"], "left").join(all_of, "mix_name", "left").select(
@@ -173,3 +176,20 @@ def _select(members: DataFrame, sums: DataFrame, flows: DataFrame) -> DataFrame:
     end = F.ceil((F.col("high") - F.col("middle")) / F.col("whole"))
     uses = (F.greatest(end, F.lit(0)) - F.greatest(first, F.lit(0))).cast("int")
     return met.withColumn("uses", uses).filter("uses > 0").select("mix_name", "source", "doc_id", "uses", "tokens")
+
+
+def _fitted(members: DataFrame, chosen: DataFrame, flows: DataFrame, goals: DataFrame) -> DataFrame:
+    """The selection with one use more or less in each source, where that brings its tokens nearer to its quota."""
+    by = ["mix_name", "source"]
+    quota = flows.groupBy(*by).agg(F.sum(F.col("high") - F.col("low")).alias("quota"))
+    used = chosen.groupBy(*by).agg(F.sum(F.col("uses") * F.col("tokens")).alias("used"))
+    gaps = quota.join(used, by, "left").join(goals.select(*by, "max_repeats"), by).select(*by, "max_repeats", (F.col("quota") - F.coalesce("used", F.lit(0))).alias("gap"))
+    # Gaps have a row for each row of the targets.
+    uses = chosen.groupBy("mix_name", "doc_id").agg(F.sum("uses").alias("so_far"))
+    free = members.select("mix_name", "doc_id", "tokens", "h", F.explode("pattern").alias("source")).join(F.broadcast(gaps.filter("gap > 0")), by).join(uses, ["mix_name", "doc_id"], "left").filter(F.coalesce("so_far", F.lit(0)) < F.col("max_repeats"))
+    more = free.select(*by, "doc_id", "tokens", "gap", F.lit(1).alias("change"), F.xxhash64("doc_id").alias("h"))
+    less = chosen.join(F.broadcast(gaps.filter("gap < 0")), by).select(*by, "doc_id", "tokens", "gap", F.lit(-1).alias("change"), F.xxhash64("doc_id").alias("h"))
+    off = F.abs(F.col("gap") - F.col("change") * F.col("tokens"))
+    best = more.unionByName(less).withColumn("off", off).filter(F.col("off") < F.abs("gap")).groupBy(*by).agg(F.min_by(F.struct("doc_id", "tokens", "change"), F.struct("off", "h", "doc_id")).alias("x"))
+    changes = best.select(*by, "x.doc_id", F.col("x.change").alias("uses"), "x.tokens")
+    return chosen.unionByName(changes.select(*chosen.columns)).groupBy(*by, "doc_id").agg(F.sum("uses").cast("int").alias("uses"), F.first("tokens").alias("tokens")).filter("uses > 0")
