@@ -140,3 +140,19 @@ def unpack_payloads(df: DataFrame, schema: str) -> DataFrame:
     """The columns that a payload holds, by a DDL schema."""
     ship(df.sparkSession)
     return df.withColumn("_r", F.from_json(F.pandas_udf(_unzipped, T.StringType())(F.col("payload")), schema)).select(*(c for c in df.columns if c not in ("payload", "original_bytes", "packed_bytes", "ratio")), "_r.*")
+
+
+def of_clients(messages: DataFrame, clients: DataFrame) -> DataFrame:
+    """Messages of the sampled clients; a client without one is skipped."""
+    return messages.join(clients.select("client_id").distinct(), "client_id", "left_semi")
+
+
+def overridden(df: DataFrame, own: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``df`` with columns taken from ``own`` where it has the key and a value, else as they are. ``own`` has a key once."""
+    there = own.select(*keys, *(F.col(c).alias(f"_own_{c}") for c in columns))
+    return df.join(there, keys, "left").withColumns({c: F.coalesce(f"_own_{c}", c) for c in columns}).drop(*(f"_own_{c}" for c in columns))
+
+
+def nested(df: DataFrame, prompt: str, response: str) -> DataFrame:
+    """``prompt, response`` by dotted paths into nested columns."""
+    return df.select(F.col(prompt).alias("prompt"), F.col(response).alias("response"))

@@ -291,3 +291,29 @@ def graphml_edges(spark, d):  # noqa: ANN001, ANN201
     nodes, edges = _graph(spark, d)
     lines = documents.graphml_lines(nodes.limit(0), edges.withColumn("weight", F.lit(None).cast("double")))
     return lines.filter("section = 2").select("line")
+
+
+@query("SELECT ord, client_id FROM entities WHERE round_number = 5 AND client_id IN (SELECT client_id FROM clients WHERE trust >= 4)")
+def sampled_client_messages(spark, d):  # noqa: ANN001, ANN201
+    e = table(spark, d, "entities").filter("round_number = 5")
+    return records.of_clients(e, table(spark, d, "clients").filter("trust >= 4")).select("ord", "client_id")
+
+
+@query("SELECT c.client_id, coalesce(o.n, c.num_samples) AS num_samples FROM clients c LEFT JOIN (SELECT client_id, count(*) AS n FROM entities WHERE round_number = 5 GROUP BY 1) o USING (client_id)")
+def client_override(spark, d):  # noqa: ANN001, ANN201
+    own = table(spark, d, "entities").filter("round_number = 5").groupBy("client_id").agg(F.count("*").alias("num_samples"))
+    return records.overridden(table(spark, d, "clients").select("client_id", "num_samples"), own, ["client_id"], ["num_samples"])
+
+
+@query("SELECT result_id AS \"r.result_id\", len(golden_answers) AS \"r.golden_answers.list_len\" FROM results_step WHERE golden_answers IS NOT NULL")
+def flattened_params(spark, d):  # noqa: ANN001, ANN201
+    r = table(spark, d, "results_step").filter("golden_answers is not null").select(F.struct("result_id", "golden_answers").alias("r"))
+    flat = documents.flatten(r)
+    return flat.select("`r.result_id`", F.col("`r.golden_answers.list_len`").cast("long").alias("r.golden_answers.list_len"))
+
+
+@query("SELECT result_id, question AS prompt, len(golden_answers) AS answers FROM results_step")
+def nested_key_path(spark, d):  # noqa: ANN001, ANN201
+    r = table(spark, d, "results_step").select(F.struct("result_id", F.struct("question").alias("x")).alias("p"), F.struct("golden_answers").alias("q"), "result_id")
+    both = records.nested(r, "p", "q.golden_answers")
+    return both.select(F.col("prompt.result_id").alias("result_id"), F.col("prompt.x.question").alias("prompt"), F.when(F.col("response").isNotNull(), F.size("response")).cast("long").alias("answers"))
