@@ -69,6 +69,8 @@ _HIGH = regex.compile(r"[^\x00-\x7f]+")
 _SIGNS = r"\p{L}\p{M}\p{So}\p{Sm}\p{Sk}\p{Sc}\p{No}\x80-\x9f‚„†‡‰•·∙¸¶§¡¿–—…“”«»‹›ªº\xad"
 _WORD = regex.compile(rf"[{_SIGNS}]*[{_SIGNS}--[\x00-\x7f]][{_SIGNS}]*", regex.VERSION1)
 
+_PART = regex.compile(r"[^ \t\r\n\xa0]+")
+
 
 @lru_cache(None)
 def _lead_and_more() -> regex.Pattern:
@@ -143,12 +145,30 @@ def _utf8_round(text: str) -> tuple[str, str, int] | None:
     return (best[1], best[2], best[0][0]) if best else None
 
 
+@lru_cache(1)
+def _gb_hint() -> regex.Pattern:
+    """Three characters in a row that may be bytes of Chinese."""
+    return regex.compile("[" + "".join(map(regex.escape, _bytes_of("cp1252"))) + "]{3}")
+
+
+class _Bytes(dict):
+    """For ``str.translate``: each character as the one of its byte's number, what has none as a space."""
+
+    def __missing__(self, code: int) -> int:
+        found = code if code < 0x80 else _bytes_of("cp1252").get(chr(code), 0x20)
+        self[code] = found
+        return found
+
+
+@lru_cache(1)
+def _gb_table() -> _Bytes:
+    return _Bytes()
+
+
 def _gb_round(text: str) -> tuple[str, int] | None:
-    back = _bytes_of("cp1252")
-    raw = bytearray()
-    for c in text:
-        b = ord(c) if ord(c) < 0x80 else back.get(c)
-        raw.append(0x20 if b is None else b)
+    if not _gb_hint().search(text):
+        return None
+    raw = text.translate(_gb_table()).encode("latin-1", "replace")
     if not any(_chinese(span.group()) for span in _GB.finditer(raw)):
         return None
     parts, last, covered = [], 0, 0
@@ -246,7 +266,7 @@ def _cyrillic_round(text: str) -> tuple[str, str, int] | None:
 
 
 def _latin_round(text: str) -> tuple[str, str, int] | None:
-    words = [m.group() for m in _WORD.finditer(text)]
+    words = [w for part in _PART.findall(text) if not part.isascii() for w in _WORD.findall(part)]
     odd = [w for w in words if any(c.isascii() and c.isalpha() for c in w) and _irregular(w)]
     if not odd:
         return None
