@@ -352,7 +352,7 @@ def prompt_length_filter(spark, d):  # noqa: ANN001, ANN201
     return batch.within_length(table(spark, d, "results_step"), F.split("question", " "), 9).select("result_id")
 
 
-@query("SELECT l_orderkey AS row_id, array_to_string(list(l_quantity::INTEGER ORDER BY l_linenumber, l_partkey, l_suppkey), ',') AS quantities FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey AS row_id, array_to_string(list(l_quantity::INTEGER ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity::INTEGER::VARCHAR), ',') AS quantities FROM lineitem GROUP BY 1")
 def samples_by_row(spark, d):  # noqa: ANN001, ANN201
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("k"), F.col("l_quantity").cast("int").cast("string").alias("q"))
     return batch.transpose(lines, "k", "q").select("row_id", F.array_join("values", ",").alias("quantities"))
