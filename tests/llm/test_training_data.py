@@ -103,6 +103,19 @@ def test_names_edge_cases(spark):
     assert clusters(spark, [(None, "PERSON"), ("", None), ('""', "X"), ("x" * 20_000, None), ("x" * 20_000, None), ("...", None), ("12", "GEO")]) == set()
 
 
+def test_hot_words_lose_no_link(spark, monkeypatch):
+    random.seed(11)
+    given = ["".join(random.choice("BDGKLMNRT") + random.choice("AEIOU") for _ in range(3)) + "X" for _ in range(70)]
+    crowd = [f"{g} KLOTREVIN" for g in given] + [f"JOHN {g}SKY" for g in given] + [f"ROBERT {g}SEN" for g in given]
+    twins = [("J. VUMPREL", "JAMES VUMPREL"), ("Q. KLOTREVIN", "QUENTIN KLOTREVIN"), ("BOB KLOTREVIN", "ROBERT KLOTREVIN"), ("JOHN KLOTREVIN", "JOHN KLOTERVIN"), ("JOHN KLOTREVIN", "JOHNN KLOTREVIN"), ("KLOTREVIN INSTITUTE OF BOTANY", "KLOTREVIN INST. OF BOTANY"), ("KLOTREVIN UIB", "UNIVERSITY INSTITUTE OF BOTANY, KLOTREVIN"), ("JOHN ZED.", "JOHN Z.")]
+    rows = [(n, "PERSON") for n in crowd] + [(n, None) for t in twins for n in t]
+    listed = names.distinct_names(spark.createDataFrame(rows, "entity_name string, entity_type string"))
+    found = {most: {tuple(r) for r in names.graded_links(listed.filter("kind is null or kind = 'PERSON'")).collect()} for most in (2, 64, 10**9) if not monkeypatch.setattr(names, "COMMON", most)}
+    assert found[64] == found[10**9] == found[2]
+    linked = {frozenset((a.strip('"'), b.strip('"'))) for a, b, _ in found[64]}
+    assert {frozenset(t) for t in twins if "ZED." not in t[0]} <= linked
+
+
 def test_near_words_are_exact(spark):
     random.seed(3)
     words = {"".join(random.choice("ABCDE") for _ in range(random.randint(3, 9))) for _ in range(150)}
