@@ -148,6 +148,11 @@ def connected_components_of_edges(spark, d):  # noqa: ANN001, ANN201
     return connected_components(table(spark, d, "edges").filter("weight >= 99 and not isnan(weight)"), "src_id", "tgt_id")
 
 
+@query()
+def connected_components_of_all_edges(spark, d):  # noqa: ANN001, ANN201
+    return connected_components(table(spark, d, "edges"), "src_id", "tgt_id")
+
+
 @query(f"""WITH o AS (SELECT {CANON % 'entity_name'} AS id, max(round_number) AS r FROM entities WHERE entity_name IS NOT NULL GROUP BY 1),
  new AS (SELECT {CANON % 'entity_name'} AS id, sum(weight) AS w FROM entities WHERE entity_name IS NOT NULL AND round_number >= 20 GROUP BY 1),
  old AS (SELECT {CANON % 'entity_name'} AS id, sum(weight) AS w FROM entities WHERE entity_name IS NOT NULL AND round_number < 20 GROUP BY 1)

@@ -92,6 +92,25 @@ def test_components(spark):
     assert connected_components(links.limit(0)).count() == 0
 
 
+def test_components_of_all_edges(spark):
+    from knotwork.plans import registry
+    from knotwork.sources.tables import table
+
+    sf, root = "/root/testdata/sf0.001", {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in table(spark, sf, "edges").select("src_id", "tgt_id").collect():
+        if r.src_id is not None and r.tgt_id is not None:
+            a, b = find(r.src_id), find(r.tgt_id)
+            root[max(a, b)] = min(a, b)
+    found = registry.queries()["connected_components_of_all_edges"](spark, sf).collect()
+    assert len(found) == len(root) and {r.node: r.component for r in found} == {x: find(x) for x in root}
+
+
 def test_splits(spark):
     df = spark.range(30).withColumn("topic", F.pmod("id", F.lit(5)))
     assert sorted(r["count"] for r in federated.iid_split(df, "id", 30, 4).groupBy("client").count().collect()) == [7, 7, 8, 8]
