@@ -1,28 +1,34 @@
 """Balancing sequences by length. The algorithms are sequential; they get ids and lengths of one batch, whose size is
-bounded, on the driver."""
+bounded, on the driver or, of many batches, each in one task."""
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from knotwork.session import ship
+
 #: Sequences of one batch.
 MOST_SEQUENCES = 1_000_000
 
 
-def largest_differencing(lengths: Sequence[int], k: int, equal_size: bool = False) -> list[list[int]]:
+def largest_differencing(lengths: Sequence[int], k: int, equal_size: bool = False, ragged: bool = False) -> list[list[int]]:
     """Places of ``k`` parts of about the same sum, by k-way largest differencing: the two partial solutions that differ
     most within themselves are put together, the largest part of one with the smallest of the other. With ``equal_size``
-    all parts have as many members; the number must divide."""
+    all parts have as many members; the number must divide, or with ``ragged`` parts may have one member less."""
     n = len(lengths)
     if equal_size:
-        if n % k:
+        if n % k and not ragged:
             raise ValueError(f"{n} sequences don't make {k} parts of equal size")
         order = sorted(range(n), key=lambda i: (lengths[i], i))
-        starts = [[[i] for i in order[at : at + k]] for at in range(0, n, k)]
+        first = n % k
+        starts = [[[i] for i in order[at : at + k]] for at in range(first, n, k)]
+        if first:
+            starts.append([[i] for i in order[:first]] + [[] for _ in range(k - first)])
     else:
         starts = [[[i]] + [[] for _ in range(k - 1)] for i in range(n)]
 
@@ -69,14 +75,33 @@ def micro_batches(df: DataFrame, most_tokens: int, row_id: str = "row_id", lengt
     return balance(df, max(1, -(-int(total) // most_tokens)), row_id, length, equal_size=False)
 
 
-def report(before: DataFrame, after: DataFrame) -> DataFrame:
+def balance_each(df: DataFrame, size: int, k: int | None = None, most_tokens: int | None = None, row_id: str = "row_id", length: str = "length") -> DataFrame:
+    """``batch, row_id, length, part`` of all rows, of which every ``size`` by ``row_id`` are a batch, balanced in one task:
+    into ``k`` parts of equal size (in the last batch one less, if it doesn't divide), or without ``k`` into as few parts as
+    ``most_tokens`` needs."""
+    ship(df.sparkSession)
+
+    def parts_of(batch: pa.Table) -> pa.Table:
+        rows = batch.sort_by("row_id")
+        lengths = rows.column("length").to_pylist()
+        found = largest_differencing(lengths, k or max(1, -(-sum(lengths) // most_tokens)), k is not None, ragged=True)
+        of = {i: j for j, p in enumerate(found) for i in p}
+        return rows.append_column("part", pa.array([of[i] for i in range(len(lengths))], pa.int32()))
+
+    rows = df.select(F.floor(F.col(row_id) / size).cast("long").alias("batch"), F.col(row_id).cast("long").alias("row_id"), F.col(length).cast("long").alias("length"))
+    return rows.groupBy("batch").applyInArrow(parts_of, "batch long, row_id long, length long, part int").withColumnRenamed("row_id", row_id)
+
+
+def report(before: DataFrame, after: DataFrame, by: str | None = None) -> DataFrame:
     """``min_before, max_before, diff_before, min_after, max_after, diff_after, mean``: sums of parts. Both frames:
-    ``part, length``."""
+    ``part, length``, and ``by`` if it is given, which gives a row each."""
+    keys = [by] if by else []
+
     def sums(df: DataFrame, name: str) -> DataFrame:
-        s = df.groupBy("part").agg(F.sum("length").alias("s"))
-        return s.agg(F.min("s").alias(f"min_{name}"), F.max("s").alias(f"max_{name}"), (F.max("s") - F.min("s")).alias(f"diff_{name}"), *([F.avg("s").alias("mean")] if name == "after" else []))
+        s = df.groupBy(*keys, "part").agg(F.sum("length").alias("s"))
+        return s.groupBy(*keys).agg(F.min("s").alias(f"min_{name}"), F.max("s").alias(f"max_{name}"), (F.max("s") - F.min("s")).alias(f"diff_{name}"), *([F.avg("s").alias("mean")] if name == "after" else []))
 
-    return sums(before, "before").crossJoin(sums(after, "after"))
+    return sums(before, "before").join(sums(after, "after"), by) if by else sums(before, "before").crossJoin(sums(after, "after"))
 
 
 def flops(df: DataFrame, layers: int, hidden: int, inner: int, heads: int, vocabulary: int, length: str = "length") -> DataFrame:

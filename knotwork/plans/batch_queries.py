@@ -285,29 +285,29 @@ def pseudo_label(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "results_step").select("result_id", federated.pseudo_label(F.col("question")).alias("label"))
 
 
+#: Sequences of one batch to balance.
+BALANCED = 512
+
+
 def _lengths(spark, d):  # noqa: ANN001, ANN202
-    return records.numbered(table(spark, d, "customer").select("c_custkey", (F.floor(F.abs("c_acctbal")) + 1).cast("long").alias("length")), "c_custkey", name="row_id").filter("row_id < 512")
+    return records.numbered(table(spark, d, "customer").select("c_custkey", (F.floor(F.abs("c_acctbal")) + 1).cast("long").alias("length")), "c_custkey", name="row_id")
 
 
 @query()
 def seqlen_balance(spark, d):  # noqa: ANN001, ANN201
-    rows = _lengths(spark, d)
-    n = rows.count()
-    return balance.balance(rows.filter(F.col("row_id") < n - n % 8), 8)
+    return balance.balance_each(_lengths(spark, d), BALANCED, 8)
 
 
 @query()
 def seqlen_balance_report(spark, d):  # noqa: ANN001, ANN201
-    rows = _lengths(spark, d)
-    n = rows.count()
-    rows = rows.filter(F.col("row_id") < n - n % 8)
+    rows = _lengths(spark, d).withColumn("batch", F.floor(F.col("row_id") / BALANCED).cast("long"))
     before = rows.withColumn("part", F.pmod("row_id", F.lit(8)))
-    return balance.report(before, balance.balance(rows, 8))
+    return balance.report(before, balance.balance_each(rows, BALANCED, 8), "batch")
 
 
 @query()
 def micro_batches(spark, d):  # noqa: ANN001, ANN201
-    return balance.micro_batches(_lengths(spark, d), 200_000)
+    return balance.balance_each(_lengths(spark, d), BALANCED, most_tokens=200_000)
 
 
 @query("SELECT sum(x) AS tokens, round((6.0 * (28.0 * (1024 * 3072 * 3 + 1024 * 8 * 128 * 4) + 151936.0 * 1024 * 2) * sum(x) + 12.0 * 28 * 8 * 128 * sum(x * x)) / 1e9, 3) AS gigaflops FROM (SELECT length(question) AS x FROM results_step)")

@@ -190,6 +190,31 @@ def test_balance(spark):
     assert balance.largest_differencing([], 2) == [[], []]
 
 
+def test_balance_of_every_row(spark):
+    from collections import defaultdict
+
+    from knotwork.plans import registry
+
+    rows = spark.range(1237).select(F.col("id").alias("row_id"), (F.pmod(F.col("id") * 7919, F.lit(997)) + 1).alias("length")).repartition(5)
+    length = {r.row_id: r.length for r in rows.collect()}
+    for k, most in ((8, None), (None, 20_000)):
+        found = balance.balance_each(rows, 512, k, most).collect()
+        assert sorted(r.row_id for r in found) == list(range(1237)) and all(r.batch == r.row_id // 512 and r.length == length[r.row_id] for r in found)
+        for b in range(3):
+            parts = defaultdict(list)
+            for r in found:
+                if r.batch == b:
+                    parts[r.part].append(r.length)
+            sums = [sum(p) for p in parts.values()]
+            assert len(parts) == (k or -(-sum(sums) // most)) and max(sums) - min(sums) < 1000
+            assert k is None or max(map(len, parts.values())) - min(map(len, parts.values())) <= 1
+    sf = "/root/testdata/sf0.01"
+    n = spark.read.parquet(f"{sf}/customer.parquet").count()
+    for name in ("seqlen_balance", "micro_batches"):
+        assert sorted(r.row_id for r in registry.queries()[name](spark, sf).select("row_id").collect()) == list(range(n)) and n > 512
+    assert registry.queries()["seqlen_balance_report"](spark, sf).count() == -(-n // 512)
+
+
 def test_tools(spark):
     assert tools.evaluate("2 + 3 * 4") == 14 and tools.evaluate("1/0") is None and tools.evaluate("__import__('os')") is None and tools.evaluate("9**99999") is None
     upper = tools.tool()(lambda word: F.upper(word))
