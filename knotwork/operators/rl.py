@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from knotwork.session import cut
+
 EPS = 1e-6
 
 
@@ -160,10 +162,15 @@ def proximal_term(params: DataFrame, global_params: DataFrame, mu: float) -> Dat
 def adaptive_kl(steps: DataFrame, start: float, target: float, horizon: float) -> DataFrame:
     """``step, coef``: the coefficient after each step, multiplied by 1 + clip(kl / target - 1, -0.2, 0.2) n / horizon.
     ``steps``: ``step, kl, n``. As all factors are above 0 for n below five horizons, a running sum of logarithms gives
-    the product; steps are few, one row each."""
+    the product: within range partitions, each with the sums of those before, so that no task sees all steps."""
     error = F.greatest(F.least(F.col("kl") / target - 1, F.lit(0.2)), F.lit(-0.2))
     factor = F.log(1 + error * F.col("n") / horizon)
-    return steps.select("step", (start * F.exp(F.sum(factor).over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)))).alias("coef"))
+    # Cut, as range partitions are sampled anew by every plan that has them.
+    placed = cut(steps.select("step", factor.alias("_f")).repartitionByRange("step").withColumn("_part", F.spark_partition_id()))
+    sums = placed.groupBy("_part").agg(F.sum("_f").alias("_s"))
+    before = sums.select("_part", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
+    within = F.sum("_f").over(Window.partitionBy("_part").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return placed.withColumn("_within", within).join(F.broadcast(before), "_part").select("step", (start * F.exp(F.col("_before") + F.col("_within"))).alias("coef"))
 
 
 def explained_variance(tokens: DataFrame) -> DataFrame:

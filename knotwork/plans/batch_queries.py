@@ -117,6 +117,12 @@ def adaptive_kl(spark, d):  # noqa: ANN001, ANN201
     return _rounded(rl.adaptive_kl(steps, 0.2, 0.1, 10000.0), "coef", places=8)
 
 
+@query()
+def adaptive_kl_all_steps(spark, d):  # noqa: ANN001, ANN201
+    steps = base.batch(spark, d).select(F.col("row_id").alias("step"), (F.col("o_totalprice") / 1e6).alias("kl"), F.lit(64).alias("n"))
+    return rl.adaptive_kl(steps, 0.2, 0.1, 10000.0)
+
+
 @query("""WITH s AS (SELECT unnest(range(0, 1000)) AS step) SELECT step, round(CASE WHEN step < 100 THEN step / 100.0 ELSE greatest(0.1, 0.1 + 0.9 * 0.5 * (1 + cos(pi() * (step - 100) / 900.0))) END, 6) AS factor FROM s""")
 def learning_rates(spark, d):  # noqa: ANN001, ANN201
     return _rounded(rl.learning_rates(spark.range(1000).withColumnRenamed("id", "step"), 100, 1000, floor=0.1), "factor")

@@ -151,6 +151,18 @@ def test_batch_algebra(spark):
     assert batch.conflicts(df, df.withColumn("v", F.lit(0))).first()["rows_that_differ"] == 4
 
 
+def test_adaptive_kl_of_all_steps(spark):
+    from knotwork.plans import registry
+
+    sf, coef = "/root/testdata/sf0.01", 0.2
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_totalprice").collect()
+    found = {r.step: r.coef for r in registry.queries()["adaptive_kl_all_steps"](spark, sf).collect()}
+    assert sorted(found) == list(range(len(orders))) and len(orders) > 200
+    for step, r in enumerate(sorted(orders)):
+        coef *= 1 + max(-0.2, min(0.2, float(r.o_totalprice) / 1e6 / 0.1 - 1)) * 64 / 10000.0
+        assert math.isclose(found[step], coef, rel_tol=1e-9)
+
+
 def test_group_advantage(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "uid string, score double")
     got = {(r.uid, r.score): r.advantage for r in rl.group_advantage(df).collect()}
