@@ -134,6 +134,15 @@ def test_distance_is_a_metric():
     assert name_forms.distance("ca", "abc") == 2 and name_forms.distance("", "ab") == 2
 
 
+@pytest.mark.parametrize("rows", [1, 10, 1000])
+def test_a_slip_stays_one_on_larger_tables(rows):
+    def grade(a, b, n, m):
+        return name_forms.match(name_forms.read(a), name_forms.read(b), {a.split()[0]: n * rows, "VUMPREL": 2 * rows}, {b.split()[0]: m * rows, "VUMPREL": 2 * rows})
+
+    assert grade("KATHARNIA VUMPREL", "KATHARINA VUMPREL", 4, 120) == name_forms.STRONG
+    assert grade("EDDA VUMPREL", "HEDDA VUMPREL", 34, 16) == grade("BASTIAN VUMPREL", "BASTIEN VUMPREL", 13, 356) == grade("LIZ VUMPREL", "LIV VUMPREL", 8, 299) == 0
+
+
 # 3: answers
 
 def said(answer, end="<|im_end|>"):
