@@ -72,10 +72,9 @@ def f1_multiset(gold: Column, said: Column) -> Column:
 
 
 def f1_set(gold: Column, said: Column) -> Column:
-    """F1 over the sets of round tokens; 1 if both are empty, 0 if one is."""
+    """F1 over the sets of round tokens; 0 if either is empty."""
     g, p = F.array_distinct(round_tokens(gold)), F.array_distinct(round_tokens(said))
-    both = F.size(F.array_intersect(g, p))
-    return F.when((F.size(g) == 0) | (F.size(p) == 0), (F.size(g) == F.size(p)).cast("double")).otherwise(f1(both, F.size(g), F.size(p)))
+    return f1(F.size(F.array_intersect(g, p)), F.size(g), F.size(p))
 
 
 def f1_raw(gold: Column, said: Column) -> Column:
@@ -110,11 +109,16 @@ def first_answer(x: Column) -> Column:
 
 
 def last_answer(x: Column) -> Column:
-    """What stands before the last closing answer tag and after the opening tag before it, lines made one; NULL if no
-    answer is closed."""
+    """What stands before the last closing answer tag and after the opening tag before it, without outer white space and
+    then with its lines made one; NULL if no answer is closed."""
     parts = F.split(x, "</answer>", -1)
     body = F.try_element_at(parts, F.lit(-2))
-    return F.replace(F.element_at(F.split(body, "<answer>", -1), -1), F.lit("\n"), F.lit(" "))
+    return F.replace(strip(F.element_at(F.split(body, "<answer>", -1), -1)), F.lit("\n"), F.lit(" "))
+
+
+def last_turn_answer(x: Column) -> Column:
+    """The first answer body of the last assistant turn, NULL if there is no turn or no answer in it."""
+    return first_answer(F.try_element_at(assistant_blocks(x), F.lit(-1)))
 
 
 def knowledge_text(x: Column) -> Column:
@@ -143,3 +147,8 @@ def truncate_description(x: Column, tokens: int = 200) -> Column:
 def last_number(x: Column) -> Column:
     """The last number of a text as it is written, NULL if there is none."""
     return F.try_element_at(F.regexp_extract_all(x, F.lit(r"(-?\d+\.?\d*)"), F.lit(1)), F.lit(-1))
+
+
+def ends_in(x: Column, truth: Column) -> Column:
+    """Whether the last number of a text is written as the truth is: a comparison of texts, so that 5 isn't 5.0."""
+    return F.coalesce(last_number(x) == truth, F.lit(False))

@@ -16,46 +16,57 @@ from knotwork.session import ship
 MOST_SEQUENCES = 1_000_000
 
 
+class _Solution:
+    """Parts of some sequences, ``[sum, number, members]`` each, the largest first. Solutions go by the difference between
+    their largest and smallest sum, the widest first, and those alike by their largest part, the largest first."""
+
+    def __init__(self, parts: list[list]) -> None:
+        self.parts = sorted(parts, reverse=True)
+        self.spread = self.parts[0][0] - self.parts[-1][0]
+
+    def __lt__(self, other: _Solution) -> bool:
+        return (self.spread, self.parts[0]) > (other.spread, other.parts[0])
+
+    def joined(self, other: _Solution) -> _Solution:
+        """Both in one: the largest part of one with the smallest of the other. Sums are added, never made anew."""
+        for mine, more in zip(self.parts, reversed(other.parts)):
+            mine[0] += more[0]
+            mine[1] += more[1]
+            mine[2] += more[2]
+        return _Solution(self.parts)
+
+
 def largest_differencing(lengths: Sequence[int], k: int, equal_size: bool = False, ragged: bool = False) -> list[list[int]]:
     """Places of ``k`` parts of about the same sum, by k-way largest differencing: the two partial solutions that differ
-    most within themselves are put together, the largest part of one with the smallest of the other. With ``equal_size``
-    all parts have as many members; the number must divide, or with ``ragged`` parts may have one member less."""
+    most within themselves are put together. With ``equal_size`` all parts have as many members; the number must divide,
+    or with ``ragged`` parts may have one member less. The parts come with the largest sum first; of equal sums the one
+    with more members, then with the greater members as they came together."""
     n = len(lengths)
+    order = sorted(range(n), key=lambda i: (lengths[i], i))
     if equal_size:
-        if n % k and not ragged:
-            raise ValueError(f"{n} sequences don't make {k} parts of equal size")
-        order = sorted(range(n), key=lambda i: (lengths[i], i))
         first = n % k
-        starts = [[[i] for i in order[at : at + k]] for at in range(first, n, k)]
-        if first:
-            starts.append([[i] for i in order[:first]] + [[] for _ in range(k - first)])
+        if first and not ragged:
+            raise ValueError(f"{n} sequences don't make {k} parts of equal size")
+        starts = [order[at : at + k] for at in range(first, n, k)] + ([order[:first]] if first else [])
     else:
-        starts = [[[i]] + [[] for _ in range(k - 1)] for i in range(n)]
-
-    def state(parts: list[list[int]]) -> tuple:
-        ranked = sorted(((sum(lengths[i] for i in p), sorted(p)) for p in parts), key=lambda x: (-x[0], x[1]))
-        return (ranked[-1][0] - ranked[0][0], min((p[0] for _, p in ranked if p), default=0), ranked)
-
-    heap = [state(parts) for parts in starts]
+        starts = [[i] for i in order]
+    heap = [_Solution([[lengths[i], 1, [(i, lengths[i])]] for i in start] + [[0, 0, []] for _ in range(k - len(start))]) for start in starts]
     heapq.heapify(heap)
     while len(heap) > 1:
-        _, _, a = heapq.heappop(heap)
-        _, _, b = heapq.heappop(heap)
-        heapq.heappush(heap, state([x[1] + y[1] for x, y in zip(a, reversed(b))]))
-    parts = [p for _, p in heap[0][2]] if heap else [[] for _ in range(k)]
-    return sorted((sorted(p) for p in parts), key=lambda p: p[:1] or [n])
+        widest = heapq.heappop(heap)
+        heapq.heappush(heap, widest.joined(heapq.heappop(heap)))
+    return [sorted(i for i, _ in members) for _, _, members in heap[0].parts] if heap else [[] for _ in range(k)]
 
 
 def least_loaded(lengths: Sequence[int], k: int, equal_size: bool = False) -> list[list[int]]:
-    """Places of ``k`` parts: each sequence in turn goes to the part of the least sum; with ``equal_size`` a bias makes
-    the number of members count first."""
-    bias = sum(lengths) + 1 if equal_size else 0
-    heap = [(0, j) for j in range(k)]
+    """Places of ``k`` parts: each sequence in turn goes to the part of the least sum, of equals the first; with
+    ``equal_size`` to that of the fewest members, and of those of the least sum."""
+    heap = [(0, 0, j) for j in range(k)]
     parts: list[list[int]] = [[] for _ in range(k)]
     for i, length in enumerate(lengths):
-        load, j = heapq.heappop(heap)
+        members, load, j = heapq.heappop(heap)
         parts[j].append(i)
-        heapq.heappush(heap, (load + length + bias, j))
+        heapq.heappush(heap, (members + equal_size, load + length, j))
     return parts
 
 

@@ -6,6 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from knotwork.operators.records import numbered
+from knotwork.operators.rl import states
+from knotwork.session import cut
+
 
 def _need(df: DataFrame, names: list[str]) -> None:
     missing = [n for n in names if n not in df.columns]
@@ -89,12 +93,25 @@ def unfold(df: DataFrame, width: int, column: str) -> DataFrame:
 
 
 def mini_batches(df: DataFrame, size: int, epochs: int = 1, seed: int | None = None) -> DataFrame:
-    """``epoch, batch, row_id``: batches in order, or in a seeded order of hashes, which is another for each epoch."""
+    """``epoch, batch, row_id``: batches in order, or in a seeded order of MD5 digests, which is another for each epoch.
+    All epochs are put in order at once, range by range, so that no task holds an epoch."""
     each = df.select("row_id").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     if seed is None:
         return each.withColumn("batch", F.floor(F.col("row_id") / size).cast("long"))
-    order = Window.partitionBy("epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "row_id"), "row_id")
-    return each.withColumn("batch", F.floor((F.row_number().over(order) - 1) / size).cast("long"))
+    placed = cut(numbered(each.withColumn("_h", _digest(seed, "epoch", "row_id")), "epoch", "_h", "row_id", name="_pos"))
+    first = placed.groupBy("epoch").agg(F.min("_pos").alias("_first"))
+    return placed.join(F.broadcast(first), "epoch").select("epoch", F.floor((F.col("_pos") - F.col("_first")) / size).cast("long").alias("batch"), "row_id")  # a row for each epoch
+
+
+def _digest(seed: object, *columns: str) -> Column:
+    """MD5 of a seed and columns: an order that any engine can make again."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)))
+
+
+def random_batches(df: DataFrame, n: int, size: int, seed: int = 0) -> DataFrame:
+    """Rows of whole batches only, with their ``batch``, in a seeded order; the rest of ``n / size`` is left out."""
+    placed = numbered(df.withColumn("_h", _digest(seed, "row_id")), "_h", "row_id", name="_pos")
+    return placed.withColumn("batch", F.floor(F.col("_pos") / size).cast("long")).filter(F.col("batch") < n // size).drop("_h", "_pos")
 
 
 def full_batches(df: DataFrame, n: int, size: int) -> DataFrame:
@@ -122,8 +139,8 @@ def eos_mask(tokens: Column, eos: int) -> Column:
 
 
 def running(mask: Column) -> Column:
-    """Running sums of an array."""
-    return F.transform(mask, lambda x, i: F.aggregate(F.slice(mask, 1, i + 1), F.lit(0), lambda s, y: s + y))
+    """Running sums of an array; an empty one stays."""
+    return F.coalesce(states(mask, F.lit(0), lambda s, x: s + x), mask)
 
 
 def positions_clipped(mask: Column) -> Column:
@@ -197,13 +214,75 @@ def first_per_group(df: DataFrame, by: str, order: str, k: int) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, column: str, n: int, seed: int = 42) -> DataFrame:
-    """The first ``n`` rows of a seeded order of the column's hashes, as a log of samples takes them."""
-    return df.orderBy(F.xxhash64(F.lit(seed), column), column).limit(n)
+    """The first ``n`` rows of a seeded order of the column's MD5 digests, as a log of samples takes them."""
+    return df.orderBy(_digest(seed, column), column).limit(n)
+
+
+def within_length(df: DataFrame, tokens: Column, most: int, more: int | Column = 0) -> DataFrame:
+    """Rows of at most ``most`` tokens, ``more`` (those of the tools that a prompt lists) counted with them; rows without
+    tokens (NULL) are dropped."""
+    return df.filter(F.size(tokens) + more <= most)
+
+
+def same_rows(frames: dict[str, DataFrame]) -> DataFrame:
+    """``frame, rows, same``: the number of rows of each part of a batch, and whether it is that of the first. A batch
+    without a part raises ``ValueError``."""
+    if not frames:
+        raise ValueError("a batch has at least one part")
+    counted = None
+    for k, (name, df) in enumerate(frames.items()):
+        one = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("frame"), "rows", F.lit(k).alias("_k"))
+        counted = one if counted is None else counted.unionByName(one)
+    first = counted.filter("_k = 0").select(F.col("rows").alias("_first"))
+    return counted.crossJoin(F.broadcast(first)).select("frame", "rows", (F.col("rows") == F.col("_first")).alias("same"))  # one row
+
+
+def from_parts(frames: dict[str, DataFrame]) -> DataFrame:
+    """One batch of parts with ``row_id`` and as many rows each; ``ValueError`` names the parts that have others."""
+    wrong = [r.frame for r in same_rows(frames).filter("not same").collect()]
+    if wrong:
+        raise ValueError(f"parts with another number of rows: {wrong}")
+    parts = list(frames.values())
+    out = parts[0]
+    for p in parts[1:]:
+        out = zip_rows(out, p)
+    return out
+
+
+def union_of(a: dict, b: dict) -> dict:
+    """Both dictionaries in one; a key of both must have equal values, else ``ValueError``."""
+    clash = [k for k in a if k in b and a[k] != b[k]]
+    if clash:
+        raise ValueError(f"other values for {clash}")
+    return {**a, **b}
+
+
+def pad_inactive(rows: DataFrame, active: DataFrame, tokens: str, text: str, size: int, pad: int) -> DataFrame:
+    """``row_id, tokens, text`` of every row: what the active ones have, ``size`` pads and an empty text for the others."""
+    return rows.select("row_id").join(active.select("row_id", tokens, text), "row_id", "left").select(
+        "row_id", F.coalesce(tokens, F.array_repeat(F.lit(pad), size)).alias(tokens), F.coalesce(text, F.lit("")).alias(text)
+    )
+
+
+def first_tokens(tokens: Column, most: int) -> Column:
+    """At most the first ``most`` tokens, as a tool's response is cut."""
+    return F.slice(tokens, 1, most)
+
+
+def gathered(values: Column, label: Column) -> Column:
+    """The value at a label's place, from 0."""
+    return F.get(values, label)
+
+
+def log_probability(logits: Column, label: Column) -> Column:
+    """Logarithm of a label's chance: its logit less the logarithm of the sum of all exponentials."""
+    top = F.array_max(logits)
+    return gathered(logits, label) - top - F.log(F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
 
 
-def within_length(df: DataFrame, tokens: Column, most: int) -> DataFrame:
-    """Rows of at most ``most`` tokens; rows without tokens (NULL) are dropped."""
-    return df.filter(F.size(tokens) <= most)
+def clipped(x: Column, least: Column, most: Column) -> Column:
+    """A value held between two bounds; where they cross, the lower one."""
+    return F.greatest(F.least(x, most), least)
 
 
 def offsets(df: DataFrame, length: str) -> DataFrame:
@@ -213,7 +292,7 @@ def offsets(df: DataFrame, length: str) -> DataFrame:
     marked = df.withColumn("_b", block)
     before = marked.groupBy("_b").agg(F.sum(length).alias("_s")).withColumn("_o", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = F.coalesce(F.sum(length).over(Window.partitionBy("_b").orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return marked.withColumn("_w", within).join(F.broadcast(before.select("_b", "_o")), "_b").withColumn("cu_seqlen", F.col("_o") + F.col("_w")).drop("_b", "_w", "_o")
+    return marked.withColumn("_w", within).join(before.select("_b", "_o"), "_b").withColumn("cu_seqlen", F.col("_o") + F.col("_w")).drop("_b", "_w", "_o")
 
 
 def transpose(df: DataFrame, sample: str, column: str) -> DataFrame:

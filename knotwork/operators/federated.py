@@ -5,11 +5,11 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.operators.records import numbered
-from knotwork.session import few
+from knotwork.session import cut, few
 
 
 def _weights(params: DataFrame) -> DataFrame:
@@ -43,13 +43,20 @@ def average(params: DataFrame, strategy: str = "weighted") -> DataFrame:
 
 def sparsify(params: DataFrame, ratio: float) -> DataFrame:
     """Values of the largest magnitude of each client's parameter: k = max(1, round(n ratio)), halves to even, and all
-    that equal the k-th; the others become 0. A ratio of 1 or more changes nothing."""
+    that equal the k-th; the others become 0. A ratio of 1 or more changes nothing.
+
+    All values are put in order range by range, so that a tensor of any size is spread over many tasks; the k-th place of
+    each gives its threshold, and the frame is filtered by that."""
     if ratio >= 1:
         return params
     by = ["client_id", "param"]
-    sized = params.withColumn("n", F.count("*").over(Window.partitionBy(*by))).withColumn("r", F.rank().over(Window.partitionBy(*by).orderBy(F.desc(F.abs("val")))))
-    k = F.greatest(F.lit(1), F.bround(F.col("n") * ratio, 0).cast("int"))
-    return sized.withColumn("val", F.when(F.col("r") <= k, F.col("val")).otherwise(0.0)).drop("n", "r")
+    placed = cut(numbered(params.select(*by, (-F.abs("val")).alias("_m"), "idx"), *by, "_m", "idx", name="_pos"))
+    groups = placed.groupBy(*by).agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
+    k = F.greatest(F.lit(1), F.bround(F.col("_n") * ratio, 0).cast("int"))
+    wanted = groups.select(*by, (F.col("_first") + k - 1).alias("_pos"))
+    least = cut(placed.join(wanted, [*by, "_pos"]).select(*by, (-F.col("_m")).alias("_least")))
+    rows = params.join(F.broadcast(least) if few(least, 128) else least, by, "left")
+    return rows.withColumn("val", F.when(F.abs("val") >= F.col("_least"), F.col("val")).otherwise(0.0)).select(*params.columns)
 
 
 def density(params: DataFrame) -> DataFrame:
@@ -65,9 +72,10 @@ def bandwidth(transfers: DataFrame) -> DataFrame:
 
 
 def sample_clients(clients: DataFrame, n: int, fraction: float, round_number: int, seed: int = 0) -> DataFrame:
-    """max(1, int(n fraction)) clients by a seeded order of the round, sorted."""
+    """max(1, int(n fraction)) clients by a seeded order of MD5 digests, another for each round; sorted."""
     k = max(1, int(n * fraction))
-    return clients.orderBy(F.xxhash64(F.lit(seed), F.lit(round_number), "client_id"), "client_id").limit(k).orderBy("client_id")
+    order = F.md5(F.concat(F.lit(f"{seed}|{round_number}|"), F.col("client_id")))
+    return clients.orderBy(order, "client_id").limit(k).orderBy("client_id")
 
 
 def iid_split(df: DataFrame, key: str, n: int, clients: int, seed: str = "0") -> DataFrame:
@@ -79,12 +87,16 @@ def iid_split(df: DataFrame, key: str, n: int, clients: int, seed: str = "0") ->
     return ordered.withColumn("client", inner.cast("int")).drop("_h", "pos")
 
 
+def topic_labels(df: DataFrame, topic: str, seed: str = "0") -> DataFrame:
+    """The distinct topics and ``label``, whole numbers from 0 in an order of MD5 digests."""
+    topics = df.select(topic).distinct().withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(topic).cast("string"), F.lit("")))))
+    return numbered(topics, "_h", topic, name="label").drop("_h")
+
+
 def topic_split(df: DataFrame, label: str, clients: int, seed: str = "0") -> DataFrame:
-    """``client`` of each row: labels in an order of MD5 digests are dealt to the clients in turn."""
-    labels = df.select(label).distinct()
-    order = F.md5(F.concat(F.lit(seed), F.lit("|"), F.col(label).cast("string")))
-    dealt = labels.withColumn("client", F.pmod(F.row_number().over(Window.orderBy(order, label)) - 1, F.lit(clients)))
-    return df.join(dealt, label)
+    """``client`` of each row: labels in an order of MD5 digests are dealt to the clients in turn. NULL is a label."""
+    dealt = topic_labels(df, label, seed).select(F.col(label).alias("_topic"), F.pmod("label", F.lit(clients)).cast("int").alias("client"))
+    return df.join(dealt, df[label].eqNullSafe(F.col("_topic"))).drop("_topic")
 
 
 def dirichlet_split(df: DataFrame, key: str, label: str, clients: int, alpha: float = 0.5, seed: int = 0) -> DataFrame:
@@ -122,3 +134,40 @@ def mean_of_metrics(rows: DataFrame, key: str = "metric", value: str = "value")
     """``metric, mean``: mean of each metric over those who report it, NaN skipped; NaN if nobody has a number."""
     number = F.when(F.isnan(value), F.lit(None)).otherwise(F.col(value))
     return rows.groupBy(key).agg(F.coalesce(F.avg(number), F.lit(float("nan"))).alias("mean"))
+
+
+def mean_or_first(rows: DataFrame, key: str = "metric", value: str = "value", order: str = "ord") -> DataFrame:
+    """``metric, mean, first``: of values as texts, the mean of a metric whose values are all numbers, NaN left out; of a
+    metric that has another value the first by ``order``, NaN left out too. What doesn't hold is NULL."""
+    number = F.expr(f"try_cast(`{value}` as double)")
+    kept = rows.filter(F.col(value).isNotNull() & ~F.coalesce(F.isnan(number), F.lit(False))).withColumn("_n", number)
+    found = kept.groupBy(key).agg(F.avg("_n").alias("mean"), F.count_if(F.col("_n").isNull()).alias("_other"), F.min_by(value, order).alias("first"))
+    return found.select(key, F.when(F.col("_other") == 0, F.col("mean")).alias("mean"), F.when(F.col("_other") > 0, F.col("first")).alias("first"))
+
+
+#: Ways of training together by name: what a client makes of its parameters before it sends them, and how the server
+#: puts them together.
+ALGORITHMS: dict[str, tuple] = {}
+
+
+def register_algorithm(name: str, client, server) -> None:  # noqa: ANN001
+    """``client``: parameters and options to parameters; ``server``: parameters to ``param, idx, val``. A name that is
+    there is replaced."""
+    ALGORITHMS[name] = (client, server)
+
+
+def algorithm(name: str) -> tuple:
+    """The pair under a name; an unknown one raises ``ValueError`` with those there are."""
+    if name not in ALGORITHMS:
+        raise ValueError(f"unknown algorithm {name!r}; there are {sorted(ALGORITHMS)}")
+    return ALGORITHMS[name]
+
+
+def train_round(params: DataFrame, name: str, **options) -> DataFrame:  # noqa: ANN003
+    """The parameters after a round of the named algorithm."""
+    client, server = algorithm(name)
+    return server(client(params, **options))
+
+
+register_algorithm("dense", lambda params: params, weighted_average)
+register_algorithm("sparse", lambda params, ratio=0.1: sparsify(params, ratio), masked_average)

@@ -3,11 +3,15 @@ source_id`` and edges ``src, dst, weight, source_id``."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions.text import canonical_name
-from knotwork.session import cut
+from knotwork.session import cut, ship
 
 
 def named(entities: DataFrame) -> DataFrame:
@@ -50,12 +54,12 @@ def merge_hyperedges(hyperedges: DataFrame) -> DataFrame:
     return merged.select("id", F.lit("hyperedge").alias("role"), F.lit(None).cast("string").alias("entity_type"), F.lit(None).cast("string").alias("description"), "weight", "source_id")
 
 
-def merge_edges(edges: DataFrame, canonicalize: bool = False) -> DataFrame:
+def merge_edges(edges: DataFrame, canonicalize: bool = False, count: bool = False) -> DataFrame:
     """One edge per (source, target): summed weight, sorted distinct chunk hashes. Edges with a NULL end are dropped. The
-    entity end is put in canonical form only if asked for."""
+    entity end is put in canonical form only if asked for, as is ``records``, the number of an edge's records."""
     target = canonical_name(F.col("tgt_id")) if canonicalize else F.col("tgt_id")
     rows = edges.select(F.col("src_id").alias("src"), target.alias("dst"), "weight", "source_chunk_hash").filter("src is not null and dst is not null")
-    return rows.groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.array_sort(F.collect_set("source_chunk_hash")).alias("source_id"))
+    return rows.groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.array_sort(F.collect_set("source_chunk_hash")).alias("source_id"), *([F.count("*").alias("records")] if count else []))
 
 
 def joined_source(source_id: Column, separator: str = "<SEP>") -> Column:
@@ -76,20 +80,30 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.crossJoin(e).select("num_nodes", "num_edges", "num_entity_nodes", "num_hyperedge_nodes", F.when(F.col("num_nodes") < 2, 0.0).otherwise(F.col("num_edges") / (v * (v - 1))).alias("density"))
 
 
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """MD5 of sorted names joined by '|', batch by batch; one of no names is that of the empty text."""
+    digest, begun = hashlib.md5(usedforsecurity=False), False
+    for batch in batches:
+        if batch.num_rows:
+            digest.update((("|" if begun else "") + "|".join(batch.column(0).to_pylist())).encode())
+            begun = True
+    yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()[:12]])], names=["names_hash"])
+
+
 def fingerprint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``num_entities, num_hyperedges, num_edges, names_hash``. The hash is the first twelve hex digits of the MD5 of the
-    sorted entity names joined by '|'; a node without a role counts as an entity.
+    sorted entity names joined by '|'; a node without a role counts as an entity, a NULL name isn't hashed.
 
-    The names are hashed range by range: MD5 needs the whole string, so the sorted names are joined in one row; that row
-    is as large as all names, which one task must hold. ``bucketed_fingerprint`` has no such limit.
+    MD5 goes from name to name, so one task takes the sorted ranges in turn; it holds a batch of names at a time, never
+    all of them. ``bucketed_fingerprint`` hashes parts side by side.
     """
+    ship(nodes.sparkSession)
     entity = F.coalesce(F.col("role"), F.lit("entity")) != "hyperedge"
-    n = nodes.agg(
-        F.count_if(entity).alias("num_entities"),
-        F.count_if(~entity).alias("num_hyperedges"),
-        F.substring(F.md5(F.array_join(F.array_sort(F.collect_list(F.when(entity, F.col("id")))), "|")), 1, 12).alias("names_hash"),
-    )
-    return n.crossJoin(edges.agg(F.count("*").alias("num_edges"))).select("num_entities", "num_hyperedges", "num_edges", "names_hash")
+    counts = nodes.agg(F.count_if(entity).alias("num_entities"), F.count_if(~entity).alias("num_hyperedges"))
+    names = nodes.filter(entity & F.col("id").isNotNull()).select("id").orderBy("id").coalesce(1).mapInArrow(_digest, "names_hash string")
+    # Three frames of one row; without a partition nothing is hashed.
+    names = names.agg(F.coalesce(F.max("names_hash"), F.substring(F.md5(F.lit("")), 1, 12)).alias("names_hash"))
+    return counts.crossJoin(names).crossJoin(edges.agg(F.count("*").alias("num_edges"))).select("num_entities", "num_hyperedges", "num_edges", "names_hash")
 
 
 def bucketed_fingerprint(nodes: DataFrame, edges: DataFrame, buckets: int = 4096) -> DataFrame:
@@ -113,6 +127,14 @@ def delta(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.crossJoin(b).select("*", *more, (~same).alias("changed"))
 
 
+def delta_metrics(change: DataFrame, skipped: bool | Column = False) -> DataFrame:
+    """A delta under the names of a log of metrics; flags are 0 or 1."""
+    names = {f"kg/{new}_{kind}": f"{old}_num_{kind}" for kind in ("entities", "hyperedges") for new, old in (("prev", "old"), ("curr", "new"))}
+    names |= {f"kg/new_{kind}": f"more_num_{kind}" for kind in ("entities", "hyperedges", "edges")}
+    flag = skipped if isinstance(skipped, Column) else F.lit(skipped)
+    return change.select(*(F.col(old).alias(new) for new, old in names.items()), F.col("changed").cast("int").alias("kg/changed"), flag.cast("int").alias("kg/broadcast_skipped"))
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """``node, other`` of each edge from both ends, once."""
     a = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"))
@@ -136,13 +158,16 @@ def top_central(nodes: DataFrame, edges: DataFrame, k: int = 100) -> DataFrame:
 
 def expand(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """Nodes within ``hops`` steps of the seeds of each group. ``seeds`` has ``id`` and any group columns before it; seeds
-    stay, be they isolated. Each hop joins only the last frontier, made distinct first, and is cut off."""
+    stay, be they isolated. The links are made once; each hop joins only the last frontier, made distinct first, and is cut
+    off. A hub's links are one skewed join partition, which is split at run time."""
     groups = [c for c in seeds.columns if c != "id"]
-    reached = seeds.select(*groups, "id").distinct()
-    frontier, links = reached, both_ways(edges)
+    reached = cut(seeds.select(*groups, "id").distinct())
+    frontier, links = reached, cut(both_ways(edges)) if hops > 0 else None
     for _ in range(hops):
         stepped = frontier.join(links, F.col("id") == F.col("node")).select(*groups, F.col("other").alias("id")).distinct()
-        frontier = cut(stepped.join(reached, [*groups, "id"], "left_anti"))
+        there = reached.select(*(F.col(c).alias(f"_{c}") for c in [*groups, "id"]))
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in groups]  # a NULL group is a group
+        frontier = cut(stepped.join(there, [F.col("id") == F.col("_id"), *same], "left_anti"))
         reached = reached.union(frontier)
     return reached
 
@@ -157,7 +182,9 @@ def induced(nodes: DataFrame, edges: DataFrame, chosen: DataFrame) -> tuple[Data
 
 
 def relevance_fragment(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 2, top_k: int = 100) -> tuple[DataFrame, DataFrame]:
-    """For each group of seeds that are in the graph: everything within ``hops``, and the ``top_k`` most central nodes."""
+    """For each group of seeds that are in the graph: everything within ``hops``, and the ``top_k`` most central nodes. The
+    graph is read by every step, so it is cut off once."""
+    nodes, edges = cut(nodes), cut(edges)
     groups = [c for c in seeds.columns if c != "id"]
     known = seeds.join(nodes.select("id"), "id", "left_semi").select(*groups, "id")
     central = top_central(nodes, edges, top_k).select("id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from knotwork.functions import text
-from knotwork.session import ship
+from knotwork.session import cut, ship
 
 
 def pack_entities(entities: DataFrame, threshold: float = 30.0, tokens: int = 200) -> DataFrame:
@@ -39,14 +39,26 @@ def split_roles(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def numbered(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
     """Rows numbered from 0 by ``order``, whatever their number: range-partitioned, numbered within each partition, and
     offset by the sizes of the partitions before, so that no task sees all rows. Rows of equal ``order`` are numbered in
-    any sequence, so it should be unique."""
-    placed = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    any sequence, so it should be unique. The partitions are cut off first: every plan that has them would sample its own
+    bounds."""
+    placed = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    # A row for each partition of the exchange.
     return placed.withColumn("_within", within).join(F.broadcast(offsets.select("_part", "_offset")), "_part").withColumn(name, (F.col("_offset") + F.col("_within")).cast("long")).drop("_part", "_within", "_offset")
 
 
+def first_rows(df: DataFrame, n: int, pos: str = "pos") -> DataFrame:
+    """The rows before position ``n``; a negative number gives none."""
+    return df.filter(F.col(pos) < n)
+
+
+def preference_pairs(df: DataFrame, prompt: str, chosen: str, rejected: str) -> DataFrame:
+    """``prompt, chosen, rejected`` of a table of preferences, row by row, NULL where they are NULL."""
+    return df.select(F.col(prompt).alias("prompt"), F.col(chosen).alias("chosen"), F.col(rejected).alias("rejected"))
+
+
 def batch_size(n: int, parts: int) -> int:
     return max(1, -(-n // parts))
 
@@ -71,7 +83,7 @@ def prebuilt_records(nodes: DataFrame) -> DataFrame:
 def golden_answers(answers: Column, single: Column) -> Column:
     """Golden answers as an array of non-empty strings: the list if there is one, else the single answer, else none."""
     found = F.coalesce(answers, F.when(single.isNotNull(), F.array(single)), F.array().cast("array<string>"))
-    return F.filter(found, lambda x: x.isNotNull() & (x != ""))
+    return F.filter(found, lambda x: F.coalesce(x != "", F.lit(False)))
 
 
 def with_chunk_hash(records: DataFrame, chunks: DataFrame, default: Column) -> DataFrame:

@@ -43,45 +43,55 @@ def baseline_returns(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("ret", ret).withColumn("advantage", F.col("ret") - F.col("baseline") * F.col("mask"))
 
 
-def fold_back(values: Column, step) -> Column:  # noqa: ANN001
-    """Array made from the end on: ``step(next, x)`` of the value made before it and the element. Arrays of one row."""
-    made = F.aggregate(F.reverse(values), F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(step(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)), x))))
-    return F.reverse(made)
+def states(values: Column, zero: Column, step, piece: int = 64) -> Column:  # noqa: ANN001
+    """Array of the states ``step(state, x)`` over an array, from the state ``zero`` on. The states are made in pieces, so
+    that appending to arrays costs the power 1.5 of the length, not its square."""
+    def grow(xs: Column, first: Column) -> Column:
+        grown = F.aggregate(xs, F.array(first), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
+        return F.slice(grown, 2, F.size(xs))
+
+    n = F.ceil(F.size(values) / F.lit(piece)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: F.slice(values, k * piece + 1, piece))
+    grown = F.aggregate(pieces, F.array(F.array(zero)), lambda acc, p: F.concat(acc, F.array(grow(p, F.element_at(F.element_at(acc, -1), -1)))))
+    return F.when(F.size(values) > 0, F.flatten(F.slice(grown, 2, F.size(pieces))))
+
+
+def _rows_back(tokens: DataFrame, *columns: str) -> DataFrame:
+    """``row_id, xs``: each row's tokens in one array, which its length bounds, from the last on."""
+    return tokens.groupBy("row_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct(F.col("t").cast("int").alias("t"), *columns)))).alias("xs"))
 
 
 def discounted(tokens: DataFrame, gamma: float) -> DataFrame:
-    """``row_id, t, ret``: returns discounted from the end on; the running value is set to 0 after a token that the mask
-    leaves out. A row's tokens are put in one array, which its length bounds."""
-    rows = tokens.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("t", "reward", "mask"))).alias("xs"))
-    made = F.aggregate(
-        F.reverse("xs"),
-        F.struct(F.lit(0.0).alias("run"), F.array().cast("array<struct<t:int,ret:double>>").alias("out")),
-        lambda acc, x: F.struct(
-            ((x["reward"] + gamma * acc["run"]) * x["mask"]).alias("run"),
-            F.concat(acc["out"], F.array(F.struct(x["t"].cast("int").alias("t"), (x["reward"] + gamma * acc["run"]).alias("ret")))).alias("out"),
-        ),
-    )
-    return rows.select("row_id", F.explode(made["out"]).alias("o")).select("row_id", "o.t", "o.ret")
+    """``row_id, t, mask, ret``: returns discounted from the end on; the running value is set to 0 after a token that the
+    mask leaves out."""
+    zero = F.struct(F.lit(None).cast("int").alias("t"), F.lit(0.0).alias("ret"), F.lit(0).cast("int").alias("mask"))
+    made = states(F.col("xs"), zero, lambda s, x: F.struct(x["t"].alias("t"), (x["reward"].cast("double") + gamma * s["ret"] * s["mask"]).alias("ret"), x["mask"].cast("int").alias("mask")))
+    return _rows_back(tokens, "reward", "mask").select("row_id", F.explode(made).alias("o")).select("row_id", "o.t", "o.mask", "o.ret")
+
+
+def reinforce_plus_plus(tokens: DataFrame, gamma: float) -> DataFrame:
+    """``row_id, t, advantage, ret``: ``discounted`` returns; the advantages are the returns whitened over the kept tokens
+    of the batch, 0 on the others."""
+    out = whiten(discounted(tokens, gamma), "ret")
+    return out.select("row_id", "t", (F.col("whitened") * F.col("mask")).alias("advantage"), "ret")
+
+
+def estimated(tokens: DataFrame, gamma: float, lam: float) -> DataFrame:
+    """``row_id, t, mask, estimate, ret`` by generalised advantage estimation, before whitening. The return is estimate
+    plus value; the mask has no part in the recurrence."""
+    zero = F.struct(F.lit(None).cast("int").alias("t"), F.lit(0).cast("int").alias("mask"), F.lit(0.0).alias("estimate"), F.lit(0.0).alias("value"))
+    made = states(
+        F.col("xs"), zero,
+        lambda s, x: F.struct(x["t"].alias("t"), x["mask"].cast("int").alias("mask"), (x["reward"] + gamma * s["value"] - x["value"] + gamma * lam * s["estimate"]).alias("estimate"), x["value"].cast("double").alias("value")),
+    )
+    return _rows_back(tokens, "reward", "value", "mask").select("row_id", F.explode(made).alias("o")).select("row_id", "o.t", "o.mask", "o.estimate", (F.col("o.estimate") + F.col("o.value")).alias("ret"))
 
 
 def gae(tokens: DataFrame, gamma: float, lam: float) -> DataFrame:
-    """``row_id, t, advantage, ret`` by generalised advantage estimation; the return is advantage plus value. The mask has
-    no part in the recurrence."""
-    rows = tokens.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("t", "reward", "value"))).alias("xs"))
-    made = F.aggregate(
-        F.reverse("xs"),
-        F.struct(F.lit(0.0).alias("adv"), F.lit(0.0).alias("next"), F.array().cast("array<struct<t:int,advantage:double,ret:double>>").alias("out")),
-        lambda acc, x: F.struct(
-            (x["reward"] + gamma * acc["next"] - x["value"] + gamma * lam * acc["adv"]).alias("adv"),
-            x["value"].alias("next"),
-            F.concat(acc["out"], F.array(F.struct(
-                x["t"].cast("int").alias("t"),
-                (x["reward"] + gamma * acc["next"] - x["value"] + gamma * lam * acc["adv"]).alias("advantage"),
-                (x["reward"] + gamma * acc["next"] - x["value"] + gamma * lam * acc["adv"] + x["value"]).alias("ret"),
-            ))).alias("out"),
-        ),
-    )
-    return rows.select("row_id", F.explode(made["out"]).alias("o")).select("row_id", "o.*")
+    """``row_id, t, advantage, ret`` by generalised advantage estimation: the advantages are whitened over the kept tokens
+    of the batch (and on all tokens), the returns come of the estimates before that. A batch with one kept token or none
+    has NULL advantages."""
+    return whiten(estimated(tokens, gamma, lam), "estimate").select("row_id", "t", F.col("whitened").alias("advantage"), "ret")
 
 
 def masked_mean(x: Column, mask: Column) -> Column:
@@ -160,7 +170,7 @@ def proximal_term(params: DataFrame, global_params: DataFrame, mu: float) -> Dat
 
 
 def adaptive_kl(steps: DataFrame, start: float, target: float, horizon: float) -> DataFrame:
-    """``step, coef``: the coefficient after each step, multiplied by 1 + clip(kl / target - 1, -0.2, 0.2) n / horizon.
+    """``step, coef, log_coef``: the coefficient after each step and its natural logarithm, multiplied by 1 + clip(kl / target - 1, -0.2, 0.2) n / horizon.
     ``steps``: ``step, kl, n``. As all factors are above 0 for n below five horizons, a running sum of logarithms gives
     the product: within range partitions, each with the sums of those before, so that no task sees all steps."""
     error = F.greatest(F.least(F.col("kl") / target - 1, F.lit(0.2)), F.lit(-0.2))
@@ -170,7 +180,7 @@ def adaptive_kl(steps: DataFrame, start: float, target: float, horizon: float) -
     sums = placed.groupBy("_part").agg(F.sum("_f").alias("_s"))
     before = sums.select("_part", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
     within = F.sum("_f").over(Window.partitionBy("_part").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return placed.withColumn("_within", within).join(F.broadcast(before), "_part").select("step", (start * F.exp(F.col("_before") + F.col("_within"))).alias("coef"))
+    return placed.withColumn("_within", within).join(F.broadcast(before), "_part").select("step", (start * F.exp(F.col("_before") + F.col("_within"))).alias("coef"), (F.log(F.lit(start)) + F.col("_before") + F.col("_within")).alias("log_coef"))
 
 
 def explained_variance(tokens: DataFrame) -> DataFrame:
@@ -179,13 +189,30 @@ def explained_variance(tokens: DataFrame) -> DataFrame:
     return kept.agg((1 - F.var_samp(F.col("ret") - F.col("value")) / (F.var_samp("ret") + 1e-5)).alias("explained_variance"))
 
 
-def data_metrics(tokens: DataFrame, columns: list[str], most: int | None = None) -> DataFrame:
-    """Mean, maximum and minimum of columns over kept tokens, of the lengths of rows, and the share of rows of full length."""
-    kept = [F.when(F.col("mask") != 0, F.col(c)) for c in columns]
-    values = tokens.agg(*(f(x).alias(f"{c}_{n}") for c, x in zip(columns, kept) for n, f in (("mean", F.avg), ("max", F.max), ("min", F.min))))
-    lengths = tokens.groupBy("row_id").agg(F.sum("mask").alias("n"))
-    size = lengths.agg(F.avg("n").alias("length_mean"), F.max("n").alias("length_max"), F.min("n").alias("length_min"), (F.count_if(F.col("n") == (most if most is not None else -1)) / F.count("*")).alias("clip_ratio"))
-    return values.crossJoin(size)
+def data_metrics(tokens: DataFrame, rows: DataFrame, most_response: int, most_prompt: int, use_critic: bool = True) -> DataFrame:
+    """``metric, value`` of a batch: mean, maximum and minimum of each series, one row each.
+
+    ``tokens``: ``row_id, t, mask, score, reward, advantage, ret`` and with a critic ``value``; ``rows``: ``row_id,
+    format_score, answer_f1_score, answer_em_score, turns, prompt_length``. Scores and rewards are sums of a row's tokens;
+    advantages, returns and values are of kept tokens; lengths also have the share of rows of full length, and a critic the
+    explained variance. Without a row a metric is NULL.
+    """
+    by_row = tokens.groupBy("row_id").agg(F.sum("score").alias("score"), F.sum("reward").alias("rewards"), F.sum("mask").alias("response_length"))
+
+    def three(prefix: str, x: Column) -> list[Column]:
+        return [f(x).cast("double").alias(f"{prefix}/{n}") for n, f in (("mean", F.avg), ("max", F.max), ("min", F.min))]
+
+    kept = {"advantages": "advantage", "returns": "ret"} | ({"values": "value"} if use_critic else {})
+    of_tokens = [c for name, column in kept.items() for c in three(f"critic/{name}", F.when(F.col("mask") != 0, F.col(column)))]
+    if use_critic:
+        left = F.when(F.col("mask") != 0, F.col("ret") - F.col("value"))
+        of_tokens.append((1 - F.var_samp(left) / (F.var_samp(F.when(F.col("mask") != 0, F.col("ret"))) + 1e-5)).alias("critic/vf_explained_var"))
+    full = lambda c, most: F.avg((F.col(c) == most).cast("double")).alias(f"{c}/clip_ratio")
+    sums = by_row.agg(*three("critic/score", F.col("score")), *three("critic/rewards", F.col("rewards")), *three("response_length", F.col("response_length")), full("response_length", most_response))
+    scores = [c for name in ("format_score", "answer_f1_score", "answer_em_score") for c in three(f"critic/{name}", F.col(name))]
+    given = rows.agg(*scores, *three("turns", F.col("turns")), *three("prompt_length", F.col("prompt_length")), full("prompt_length", most_prompt))
+    whole = sums.crossJoin(tokens.agg(*of_tokens)).crossJoin(given)  # one row each
+    return whole.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").alias("value")) for c in whole.columns))).alias("x")).select("x.*")
 
 
 def timing_metrics(timings: DataFrame, token_counts: DataFrame) -> DataFrame:
@@ -216,13 +243,14 @@ ADVANTAGES = {
     "grpo": group_advantage,
     "rloo": leave_one_out_advantage,
     "remax": baseline_returns,
-    "reinforce_plus_plus": discounted,
+    "reinforce_plus_plus": reinforce_plus_plus,
     "gae": gae,
 }
 
 
 def advantage(df: DataFrame, kind: str, **options) -> DataFrame:  # noqa: ANN003
-    """The advantage of the named kind; an unknown name raises ``ValueError``."""
+    """Rows with an ``advantage`` of the named kind; those by token also have ``ret``. An unknown name raises
+    ``ValueError``."""
     if kind not in ADVANTAGES:
         raise ValueError(f"unknown advantage {kind!r}")
     return ADVANTAGES[kind](df, **options)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +13,8 @@ from knotwork.operators.components import connected_components
 from knotwork.session import few
 
 # What the search says when it has no index, no model or no hit.
-NOT_LOADED = "<knowledge>\nKnowledge index is not loaded yet.\n</knowledge>"
-NO_MODEL = "<knowledge>\nNo embedding model is available.\n</knowledge>"
+NOT_LOADED = "<knowledge>Knowledge graph not yet loaded.</knowledge>"
+NO_MODEL = "<knowledge>Embedding model not available.</knowledge>"
 NOTHING = "<knowledge>No relevant knowledge found.</knowledge>"
 #: Places that a similarity is rounded to before it is ranked, so that near ties don't depend on the order of a sum.
 PLACES = 9
@@ -58,29 +62,66 @@ def limited(ranked: DataFrame, limits: DataFrame) -> DataFrame:
     return ranked.join(limits, "query_id", "left").filter(F.col("max_results").isNull() | (F.col("rank") <= F.col("max_results"))).drop("max_results")
 
 
-def neighbour_pairs(vectors: DataFrame, threshold: float = 0.85, k: int = 5, cells: int = 1) -> DataFrame:
+def neighbour_pairs(vectors: DataFrame, threshold: float = 0.85, k: int = 5, centres: np.ndarray | None = None, probes: int = 2) -> DataFrame:
     """``vec_a, vec_b, score`` of vectors that are among the ``k - 1`` nearest of one another's side and above the
-    threshold. With ``cells`` above 1 a vector is only held against those of its cell (``assign_cells``)."""
-    v = vectors.select("vec_id", normalize(F.col("embedding")).alias("v"))
-    if cells > 1:
-        left = right = assign_cells(v, cells)
-    else:  # all against all, in blocks: one side is dealt out, the other copied to each
+    threshold: exact, all against all in blocks, as its definition asks; or with ``centres`` each against those of the
+    ``probes`` cells nearest to it. Each block keeps its best of a vector before they are put together."""
+    if centres is None:
+        v = vectors.select("vec_id", normalize(F.col("embedding")).alias("v"))
         left = v.withColumn("cell", F.pmod(F.xxhash64("vec_id"), F.lit(BLOCKS)).cast("int"))
         right = v.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    a = left.select("cell", F.col("vec_id").alias("vec_a"), F.col("v").alias("a"))
-    b = right.select("cell", F.col("vec_id").alias("vec_b"), F.col("v").alias("b"))
-    scored = a.join(b, (a.cell == b.cell) & (F.col("vec_a") != F.col("vec_b"))).select("vec_a", "vec_b", F.round(dot(F.col("a"), F.col("b")), PLACES).alias("score"))
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("vec_a").orderBy(F.desc("score"), "vec_b"))).filter(F.col("r") <= k - 1)
-    return best.filter(F.col("score") > threshold).select("vec_a", "vec_b", "score")
-
-
-def assign_cells(normalized: DataFrame, cells: int, planes: int = 16) -> DataFrame:
-    """``cell`` of each vector by the signs of its products with seeded directions, made of the vector's own places."""
-    bits = [F.aggregate(F.transform("v", lambda x, i: F.when(F.pmod(F.xxhash64(i, F.lit(p)), F.lit(2)) == 0, x).otherwise(-x)), F.lit(0.0), lambda s, x: s + x) > 0 for p in range(min(planes, max(1, (cells - 1).bit_length())))]
-    cell = F.lit(0)
-    for p, bit in enumerate(bits):
-        cell = cell + bit.cast("int") * (1 << p)
-    return normalized.withColumn("cell", F.pmod(cell, F.lit(cells)))
+    else:
+        left, right = in_cells(vectors, centres, 1), in_cells(vectors, centres, probes)
+    a = left.select("cell", F.col("vec_id").alias("vec_b"), F.col("v").alias("b"))
+    b = right.select("cell", F.col("vec_id").alias("vec_a"), F.col("v").alias("a"))
+    scored = a.join(b, (a.cell == b.cell) & (F.col("vec_a") != F.col("vec_b"))).select(b.cell, "vec_a", "vec_b", F.round(dot(F.col("a"), F.col("b")), PLACES).alias("score"))
+    kept = scored.filter(F.col("score") > threshold)  # what is below can't push out what is above
+    for by in (["vec_a", "cell"], ["vec_a"]):
+        kept = kept.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "vec_b"))).filter(F.col("r") <= k - 1)
+    return kept.select("vec_a", "vec_b", "score")
+
+
+def fit_cells(vectors: DataFrame, cells: int, sample: int = 20_000, rounds: int = 12, seed: int = 5) -> np.ndarray:
+    """Centres of cells of about alike vectors, by k-means of directions. It is fitted on at most ``sample`` vectors, by an
+    order of hashes; the index then takes every vector."""
+    rows = vectors.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample).select(F.col("embedding").cast("array<double>").alias("e")).toArrow().column("e").to_pylist()
+    points = np.array([r for r in rows if r is not None and None not in r], dtype=np.float64)
+    if not len(points):
+        return np.zeros((1, 1))
+    points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
+    centres = points[: min(cells, len(points))].copy()
+    for _ in range(rounds):
+        nearest = (points @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, points)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 0, sums / np.maximum(size, 1e-12), centres)
+    return centres
+
+
+def in_cells(vectors: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
+    """``vec_id, v, cell``: each vector, of length 1, in the ``probes`` cells whose centres are nearest to it."""
+    held = vectors.sparkSession.sparkContext.broadcast(centres)  # cells x places
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                best = np.argsort(-(flat @ held.value.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+                ends = np.arange(0, best.size + 1, best.shape[1], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(best.ravel()))], names=["vec_id", "v", "cells"])
+
+    rows = vectors.filter(F.size("embedding") == centres.shape[1]).select("vec_id", normalize(F.col("embedding")).alias("v"))
+    return rows.mapInArrow(placed, f"vec_id {vectors.schema['vec_id'].dataType.simpleString()}, v array<double>, cells array<int>").select("vec_id", "v", F.explode("cells").alias("cell"))
+
+
+def cell_search(queries: DataFrame, index: DataFrame, centres: np.ndarray, probes: int, k: int) -> DataFrame:
+    """``query_id, vec_id, score, rank``: the ``k`` best of each query among the vectors of the ``probes`` cells nearest to
+    it. More probes find more; with all cells the search is exact."""
+    q = in_cells(queries.select(F.col("query_id").alias("vec_id"), F.col("query").alias("embedding")), centres, probes)
+    v = in_cells(index.select("vec_id", "embedding"), centres, 1)
+    pairs = v.join(q.select("cell", F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "cell")
+    return top_k(pairs.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), PLACES).alias("score")), k)
 
 
 def near_groups(vectors: DataFrame, threshold: float = 0.85, k: int = 5) -> DataFrame:
@@ -89,17 +130,42 @@ def near_groups(vectors: DataFrame, threshold: float = 0.85, k: int = 5) -> Data
     return vectors.select("vec_id").join(found.withColumnRenamed("node", "vec_id"), "vec_id", "left").select("vec_id", F.coalesce("component", "vec_id").alias("group_id"))
 
 
+def adjacent_facts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``name, fact``: each node with the hyperedge nodes that an edge ties it to, from either end, once."""
+    facts = nodes.filter(F.col("role") == "hyperedge").select(F.col("id").alias("fact"))
+    ends = edges.select(F.explode(F.array(F.struct(F.col("dst").alias("name"), F.col("src").alias("fact")), F.struct(F.col("src").alias("name"), F.col("dst").alias("fact")))).alias("x"))
+    return ends.select("x.*").distinct().join(facts, "fact", "left_semi").select("name", "fact")
+
+
+def with_metadata(hits: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """Hits (with ``name``) and the columns of the node of that name; NULL where the graph has none. ``nodes`` has an id
+    once."""
+    return hits.join(nodes.select(F.col("id").alias("name"), *columns), "name", "left")
+
+
+def without_index(queries: DataFrame, loaded: bool, model: bool) -> DataFrame:
+    """``query_id, context`` of queries that nothing can be searched for: the graph isn't loaded, or there is no model."""
+    if loaded and model:
+        raise ValueError("with a graph and a model, contexts come from a search")
+    return queries.select("query_id").distinct().withColumn("context", F.lit(NO_MODEL if loaded else NOT_LOADED))
+
+
 def contexts(facts: DataFrame, entities: DataFrame, related: DataFrame, queries: DataFrame, most: int = 50) -> DataFrame:
     """``query_id, context``: the facts found, then each entity found with its related facts, at most ``most`` lines.
 
-    ``facts``: ``query_id, rank, content``; ``entities``: ``query_id, rank, name, description``; ``related``: ``name, fact``;
-    ``queries``: ``query_id``. A query without a line gets the fixed message. Only one query's lines are put together, and
-    those are bounded by its hits, of which each entity gives at most ``most`` related facts.
+    ``facts``: ``query_id, rank, content``; ``entities``: ``query_id, rank, name, description``; ``related``: ``name, fact``,
+    of which an entity's go by name; ``queries``: ``query_id``. An empty fact and an empty description give no line. A
+    query without a line gets the fixed message. Only one query's lines are put together, and those are bounded by its
+    hits, of which each entity gives at most ``most`` related facts.
     """
-    first = facts.select("query_id", F.struct(F.lit(0).alias("section"), "rank", F.lit(0).alias("sub"), F.concat(F.lit("Fact: "), "content").alias("line")).alias("x"))
-    own = entities.select("query_id", F.struct(F.lit(1).alias("section"), "rank", F.lit(0).alias("sub"), F.concat(F.lit("Entity ["), F.col("rank").cast("string"), F.lit("]: "), F.coalesce("description", F.lit(""))).alias("line")).alias("x"))
-    numbered = related.withColumn("sub", F.row_number().over(Window.partitionBy("name").orderBy("fact"))).filter(F.col("sub") <= most)
-    more = entities.join(numbered, "name").select("query_id", F.struct(F.lit(1).alias("section"), "rank", "sub", F.concat(F.lit("Related fact: "), "fact").alias("line")).alias("x"))
+    def line(section: int, sub, text):  # noqa: ANN001, ANN202
+        return F.struct(F.lit(section).alias("section"), "rank", sub.alias("sub"), text.alias("line")).alias("x")
+
+    first = facts.filter(F.length("content") > 0).select("query_id", line(0, F.lit(0), F.concat(F.lit("Fact: "), "content")))
+    named = entities.filter(F.length("name") > 0)
+    own = named.filter(F.length("description") > 0).select("query_id", line(1, F.lit(0), F.concat(F.lit("Entity ["), "name", F.lit("]: "), "description")))
+    numbered = related.join(named.select("name").distinct(), "name", "left_semi").withColumn("sub", F.row_number().over(Window.partitionBy("name").orderBy("fact"))).filter(F.col("sub") <= most)
+    more = named.join(numbered, "name").select("query_id", line(1, F.col("sub"), F.concat(F.lit("Related fact: "), "fact")))
     lines = first.union(own).union(more).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list("x")), 1, most).alias("xs"))
     text = F.concat(F.lit("<knowledge>\n"), F.array_join(F.transform("xs", lambda x: x["line"]), "\n"), F.lit("\n</knowledge>"))
     return queries.select("query_id").distinct().join(lines, "query_id", "left").select("query_id", F.coalesce(text, F.lit(NOTHING)).alias("context"))

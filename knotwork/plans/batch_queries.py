@@ -43,18 +43,32 @@ def remax_returns(spark, d):  # noqa: ANN001, ANN201
     return _rounded(rl.baseline_returns(base.tokens(spark, d)).select("row_id", "t", "ret", "advantage"), "ret", "advantage")
 
 
-@query(f"""WITH RECURSIVE {TOKENS}, last AS (SELECT row_id, max(t) AS t FROM tok GROUP BY 1),
- back AS (SELECT tok.row_id, tok.t, reward AS ret, reward * mask AS run FROM tok JOIN last USING (row_id, t) UNION ALL SELECT tok.row_id, tok.t, reward + 0.9 * run, (reward + 0.9 * run) * mask FROM back JOIN tok ON tok.row_id = back.row_id AND tok.t = back.t - 1)
- SELECT row_id, t, round(ret, 6) AS ret FROM back""")
+DISCOUNTED = f"""{TOKENS}, last AS (SELECT row_id, max(t) AS t FROM tok GROUP BY 1),
+ back AS (SELECT tok.row_id, tok.t, mask, reward AS ret, reward * mask AS run FROM tok JOIN last USING (row_id, t) UNION ALL SELECT tok.row_id, tok.t, tok.mask, reward + 0.9 * run, (reward + 0.9 * run) * tok.mask FROM back JOIN tok ON tok.row_id = back.row_id AND tok.t = back.t - 1)"""
+
+
+@query(f"WITH RECURSIVE {DISCOUNTED} SELECT row_id, t, round(ret, 6) AS ret FROM back")
 def reinforce_pp_returns(spark, d):  # noqa: ANN001, ANN201
-    return _rounded(rl.discounted(base.tokens(spark, d), 0.9), "ret")
+    return _rounded(rl.discounted(base.tokens(spark, d), 0.9).select("row_id", "t", "ret"), "ret")
+
+
+def _whitened(column: str, frame: str) -> str:
+    """Mean and variance by their definition, over the kept tokens: the variance with n / (n - 1)."""
+    return f"""m AS (SELECT sum({column} * mask) / sum(mask) AS m FROM {frame}), v AS (SELECT sum(({column} - m) * ({column} - m) * mask) / sum(mask) * (sum(mask) / (sum(mask) - 1.0)) AS v FROM {frame}, m)"""
+
 
+@query(f"WITH RECURSIVE {DISCOUNTED}, {_whitened('ret', 'back')} SELECT row_id, t, round((ret - m) / sqrt(v + 1e-8) * mask, 5) AS advantage, round(ret, 6) AS ret FROM back, m, v")
+def reinforce_pp_advantage(spark, d):  # noqa: ANN001, ANN201
+    return _rounded(_rounded(rl.advantage(base.tokens(spark, d), "reinforce_plus_plus", gamma=0.9), "advantage", places=5), "ret")
 
-@query(f"""WITH RECURSIVE {TOKENS}, last AS (SELECT row_id, max(t) AS t FROM tok GROUP BY 1),
- back AS (SELECT tok.row_id, tok.t, value, reward - value AS adv FROM tok JOIN last USING (row_id, t) UNION ALL SELECT tok.row_id, tok.t, tok.value, reward + 0.99 * back.value - tok.value + 0.99 * 0.95 * adv FROM back JOIN tok ON tok.row_id = back.row_id AND tok.t = back.t - 1)
- SELECT row_id, t, round(adv, 6) AS advantage, round(adv + value, 6) AS ret FROM back""")
+
+ESTIMATED = f"""{TOKENS}, last AS (SELECT row_id, max(t) AS t FROM tok GROUP BY 1),
+ back AS (SELECT tok.row_id, tok.t, mask, value, reward - value AS adv FROM tok JOIN last USING (row_id, t) UNION ALL SELECT tok.row_id, tok.t, tok.mask, tok.value, reward + 0.99 * back.value - tok.value + 0.99 * 0.95 * adv FROM back JOIN tok ON tok.row_id = back.row_id AND tok.t = back.t - 1)"""
+
+
+@query(f"WITH RECURSIVE {ESTIMATED}, {_whitened('adv', 'back')} SELECT row_id, t, round((adv - m) / sqrt(v + 1e-8), 5) AS advantage, round(adv + value, 6) AS ret FROM back, m, v")
 def gae(spark, d):  # noqa: ANN001, ANN201
-    return _rounded(rl.gae(base.tokens(spark, d), 0.99, 0.95), "advantage", "ret")
+    return _rounded(_rounded(rl.advantage(base.tokens(spark, d), "gae", gamma=0.99, lam=0.95), "advantage", places=5), "ret")
 
 
 @query(f"WITH {TOKENS}, s AS (SELECT avg(advantage) FILTER (WHERE mask <> 0) AS m, var_samp(advantage) FILTER (WHERE mask <> 0) AS v FROM tok) SELECT row_id, t, round((advantage - m) / sqrt(v + 1e-8), 6) AS whitened FROM tok, s")
@@ -100,10 +114,29 @@ def explained_variance(spark, d):  # noqa: ANN001, ANN201
     return _rounded(rl.explained_variance(base.tokens(spark, d)), "explained_variance")
 
 
-@query(f"""WITH {TOKENS}, l AS (SELECT row_id, sum(mask) AS n FROM tok GROUP BY 1) SELECT round((SELECT avg(reward) FROM tok WHERE mask <> 0), 6) AS reward_mean, (SELECT max(reward) FROM tok WHERE mask <> 0) AS reward_max, (SELECT min(reward) FROM tok WHERE mask <> 0) AS reward_min,
- round(avg(n), 6) AS length_mean, max(n) AS length_max, min(n) AS length_min, round(count(*) FILTER (WHERE n = 4) / CAST(count(*) AS DOUBLE), 6) AS clip_ratio FROM l""")
+def _three(name: str, x: str, frame: str, where: str = "true") -> str:
+    return " UNION ALL ".join(f"SELECT '{name}/{n}' AS metric, CAST({f}({x}) AS DOUBLE) AS value FROM {frame} WHERE {where}" for n, f in (("mean", "avg"), ("max", "max"), ("min", "min")))
+
+
+@query(f"""WITH {TOKENS}, s AS (SELECT row_id, sum(score) AS score, sum(reward) AS reward, sum(mask) AS n FROM tok GROUP BY 1),
+ r AS (SELECT o_orderkey, o_orderkey % 4 / 4.0 AS fs, o_custkey % 10 / 10.0 AS f1, o_custkey % 2 AS em, o_orderkey % 5 + 1 AS turns, o_custkey % 9 AS pl FROM orders),
+ x AS ({_three('critic/score', 'score', 's')} UNION ALL {_three('critic/rewards', 'reward', 's')} UNION ALL {_three('critic/advantages', 'advantage', 'tok', 'mask <> 0')} UNION ALL {_three('critic/returns', 'ret', 'tok', 'mask <> 0')} UNION ALL {_three('critic/values', 'value', 'tok', 'mask <> 0')}
+ UNION ALL {_three('critic/format_score', 'fs', 'r')} UNION ALL {_three('critic/answer_f1_score', 'f1', 'r')} UNION ALL {_three('critic/answer_em_score', 'em', 'r')} UNION ALL {_three('turns', 'turns', 'r')} UNION ALL {_three('response_length', 'n', 's')} UNION ALL {_three('prompt_length', 'pl', 'r')}
+ UNION ALL SELECT 'response_length/clip_ratio', count(*) FILTER (WHERE n = 4) / CAST(count(*) AS DOUBLE) FROM s UNION ALL SELECT 'prompt_length/clip_ratio', count(*) FILTER (WHERE pl = 8) / CAST(count(*) AS DOUBLE) FROM r
+ UNION ALL SELECT 'critic/vf_explained_var', 1 - var_samp(ret - value) / (var_samp(ret) + 1e-5) FROM tok WHERE mask <> 0) SELECT metric, round(value, 5) AS value FROM x""")
 def data_metrics(spark, d):  # noqa: ANN001, ANN201
-    return _rounded(rl.data_metrics(base.tokens(spark, d), ["reward"], 4), "reward_mean", "length_mean", "clip_ratio")
+    rows = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("row_id"), (F.pmod("o_orderkey", F.lit(4)) / 4).alias("format_score"), (F.pmod("o_custkey", F.lit(10)) / 10).alias("answer_f1_score"), F.pmod("o_custkey", F.lit(2)).alias("answer_em_score"),
+        (F.pmod("o_orderkey", F.lit(5)) + 1).alias("turns"), F.pmod("o_custkey", F.lit(9)).alias("prompt_length"),
+    )
+    return _rounded(rl.data_metrics(base.tokens(spark, d), rows, 4, 8), "value", places=5)
+
+
+@query("WITH t AS (SELECT event_type, sum(value) AS s, sum(length(props)) AS n FROM events GROUP BY 1) SELECT event_type AS section, round(s, 4) AS seconds, round(s * 1000 / n, 4) AS ms_per_token FROM t")
+def timing_metrics(spark, d):  # noqa: ANN001, ANN201
+    e = table(spark, d, "events").select(F.col("event_type").alias("section"), F.col("value").alias("seconds"), F.length("props").alias("n"))
+    out = rl.timing_metrics(e.select("section", "seconds"), e.groupBy("section").agg(F.sum("n").alias("tokens")))
+    return _rounded(out, "seconds", "ms_per_token", places=4)
 
 
 @query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), m AS (SELECT vec_id, x, list_max(x) AS top FROM e), z AS (SELECT *, list_sum(list_transform(x, lambda y: exp(y - top))) AS z, list_sum(list_transform(x, lambda y: exp(y - top) * y)) AS s FROM m) SELECT vec_id, round(top + ln(z) - s / z, 6) AS entropy FROM z""")
@@ -111,16 +144,10 @@ def logits_entropy(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "embeddings").select("vec_id", F.round(rl.entropy(F.transform("embedding", lambda x: x.cast("double"))), 6).alias("entropy"))
 
 
-@query("""WITH s AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS step, o_totalprice / 1e6 AS kl FROM orders ORDER BY o_orderkey LIMIT 200) SELECT step, round(0.2 * exp(sum(ln(1 + greatest(least(kl / 0.1 - 1, 0.2), -0.2) * 64 / 10000.0)) OVER (ORDER BY step)), 8) AS coef FROM s""")
+@query("""WITH s AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS step, o_totalprice / 1e6 AS kl FROM orders) SELECT step, round(ln(0.2) + sum(ln(1 + greatest(least(kl / 0.1 - 1, 0.2), -0.2) * 64 / 10000.0)) OVER (ORDER BY step), 6) AS log_coef FROM s""")
 def adaptive_kl(spark, d):  # noqa: ANN001, ANN201
-    steps = base.batch(spark, d).filter("row_id < 200").select(F.col("row_id").alias("step"), (F.col("o_totalprice") / 1e6).alias("kl"), F.lit(64).alias("n"))
-    return _rounded(rl.adaptive_kl(steps, 0.2, 0.1, 10000.0), "coef", places=8)
-
-
-@query()
-def adaptive_kl_all_steps(spark, d):  # noqa: ANN001, ANN201
     steps = base.batch(spark, d).select(F.col("row_id").alias("step"), (F.col("o_totalprice") / 1e6).alias("kl"), F.lit(64).alias("n"))
-    return rl.adaptive_kl(steps, 0.2, 0.1, 10000.0)
+    return _rounded(rl.adaptive_kl(steps, 0.2, 0.1, 10000.0).select("step", "log_coef"), "log_coef")
 
 
 @query("""WITH s AS (SELECT unnest(range(0, 1000)) AS step) SELECT step, round(CASE WHEN step < 100 THEN step / 100.0 ELSE greatest(0.1, 0.1 + 0.9 * 0.5 * (1 + cos(pi() * (step - 100) / 900.0))) END, 6) AS factor FROM s""")
@@ -209,6 +236,75 @@ def batch_iterator(spark, d):  # noqa: ANN001, ANN201
     return batch.mini_batches(base.batch(spark, d), 128, 2).select("epoch", "batch", "row_id")
 
 
+@query(f"""WITH {BATCH}, e AS (SELECT k AS epoch, row_id, row_number() OVER (PARTITION BY k ORDER BY md5('7|' || k || '|' || row_id), row_id) - 1 AS pos FROM b, (SELECT unnest(range(0, 2)) AS k)) SELECT epoch, pos // 128 AS batch, row_id FROM e""")
+def batch_iterator_seeded(spark, d):  # noqa: ANN001, ANN201
+    return batch.mini_batches(base.batch(spark, d), 128, 2, 7).select("epoch", "batch", "row_id")
+
+
+@query(f"""WITH {BATCH}, e AS (SELECT row_id, row_number() OVER (ORDER BY md5('3|' || row_id), row_id) - 1 AS pos, count(*) OVER () AS n FROM b) SELECT row_id, pos // 64 AS batch FROM e WHERE pos // 64 < n // 64""")
+def batch_sampler_random(spark, d):  # noqa: ANN001, ANN201
+    b = base.batch(spark, d)
+    return batch.random_batches(b, b.count(), 64, 3).select("row_id", "batch")
+
+
+@query(f"""WITH {BATCH} SELECT o_orderkey FROM b ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 20""")
+def seeded_sample(spark, d):  # noqa: ANN001, ANN201
+    return batch.seeded_sample(base.batch(spark, d), "o_orderkey", 20).select("o_orderkey")
+
+
+@query(f"WITH {BATCH} SELECT row_id, o_orderkey AS k, o_totalprice AS p FROM b WHERE row_id >= 10 AND row_id < 1000")
+def batch_columns(spark, d):  # noqa: ANN001, ANN201
+    taken, rest = batch.pop(base.batch(spark, d), ["o_orderkey"])
+    both = batch.zip_rows(batch.rename(taken, ["o_orderkey"], ["k"]), batch.rename(rest, ["o_totalprice"], ["p"]))
+    return batch.rows(both, 10, 1000)
+
+
+@query(f"WITH {BATCH}, n AS (SELECT count(*) AS n FROM b) SELECT n - 1 - row_id AS row_id, o_orderkey FROM b, n")
+def batch_reorder(spark, d):  # noqa: ANN001, ANN201
+    b = base.batch(spark, d)
+    order = b.select("row_id", (F.lit(b.count() - 1) - F.col("row_id")).alias("new_id"))
+    back = batch.reorder(batch.reorder(b, order), batch.inverse_order(order))  # as it was
+    return batch.reorder(back, order).select("row_id", "o_orderkey")
+
+
+@query(f"WITH {BATCH} SELECT row_id, o_orderkey FROM b UNION ALL SELECT (SELECT count(*) FROM b) + k, (SELECT o_orderkey FROM b WHERE row_id = 0) FROM (SELECT unnest(range(0, 5)) AS k)")
+def batch_pad_first(spark, d):  # noqa: ANN001, ANN201
+    b = base.batch(spark, d)
+    n = b.count()
+    return batch.pad_with_first(b, n, n + 5).select("row_id", "o_orderkey")
+
+
+@query("SELECT 'orders' AS frame, (SELECT count(*) FROM orders) AS rows, true AS same UNION ALL SELECT 'customer', (SELECT count(*) FROM customer), (SELECT count(*) FROM customer) = (SELECT count(*) FROM orders)")
+def batch_consistency(spark, d):  # noqa: ANN001, ANN201
+    return batch.same_rows({t: table(spark, d, t) for t in ("orders", "customer")})
+
+
+@query(f"WITH {SEQUENCES} SELECT row_id, array_to_string(CASE WHEN row_id % 3 = 0 THEN [9, 9, 9, 9] ELSE tokens[1:4] END, ',') AS tokens, CASE WHEN row_id % 3 = 0 THEN '' ELSE 'r' || row_id END AS text FROM seq")
+def pad_inactive(spark, d):  # noqa: ANN001, ANN201
+    s = base.sequences(spark, d)
+    active = s.filter(F.col("row_id") % 3 != 0).select("row_id", batch.first_tokens(F.col("tokens"), 4).alias("tokens"), F.concat(F.lit("r"), "row_id").alias("text"))
+    padded = batch.pad_inactive(s, active, "tokens", "text", 4, 9)
+    return padded.select("row_id", F.array_join(F.col("tokens").cast("array<string>"), ",").alias("tokens"), "text")
+
+
+@query(f"WITH {SEQUENCES} SELECT row_id, array_to_string(tokens[coalesce(nullif(list_position(list_transform(tokens, lambda x: x <> 1), true), 0), len(tokens) + 1):len(tokens)], ',') AS unpadded, array_to_string(tokens[1:list_sum(mask)], ',') AS kept FROM seq")
+def effective_tokens(spark, d):  # noqa: ANN001, ANN201
+    t = F.col("tokens")
+    return base.sequences(spark, d).select("row_id", F.array_join(batch.without_left_pads(t, 1).cast("array<string>"), ",").alias("unpadded"), F.array_join(batch.effective(t, F.col("mask")).cast("array<string>"), ",").alias("kept"))
+
+
+@query(f"WITH {SEQUENCES} SELECT row_id, array_to_string(list_transform(mask, lambda x, i: CASE WHEN i - 1 IN (1, 2) OR i - 1 = 4 THEN 0 ELSE x END), ',') AS loss_mask FROM seq")
+def loss_mask_spans(spark, d):  # noqa: ANN001, ANN201
+    spans = batch.span_loss_mask(F.col("mask"), F.array(F.lit(1), F.lit(4)), F.array(F.lit(3), F.lit(5)))
+    return base.sequences(spark, d).select("row_id", F.array_join(spans.cast("array<string>"), ",").alias("loss_mask"))
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings) SELECT vec_id, round(x[vec_id % 64 + 1] - ln(list_sum(list_transform(x, lambda y: exp(y)))), 6) AS logp, round(greatest(least(x[1], 0.05), -0.05), 6) AS clipped FROM e""")
+def label_logp(spark, d):  # noqa: ANN001, ANN201
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    return table(spark, d, "embeddings").select("vec_id", F.round(batch.log_probability(x, F.pmod("vec_id", F.lit(64)).cast("int")), 6).alias("logp"), F.round(batch.clipped(F.get(x, F.lit(0)), F.lit(-0.05), F.lit(0.05)), 6).alias("clipped"))
+
+
 @query(f"WITH {BATCH} SELECT row_id, o_orderkey, o_totalprice FROM b")
 def batch_zip(spark, d):  # noqa: ANN001, ANN201
     b = base.batch(spark, d)
@@ -280,10 +376,36 @@ def dirichlet_split(spark, d):  # noqa: ANN001, ANN201
     return federated.dirichlet_split(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", "o_orderpriority", 5)
 
 
-@query()
+@query("""SELECT r AS round_number, client_id FROM (SELECT r, client_id, row_number() OVER (PARTITION BY r ORDER BY md5('0|' || r || '|' || client_id), client_id) AS k FROM clients, (SELECT unnest(range(0, 4)) AS r)) WHERE k <= greatest(1, (SELECT count(*) FROM clients) // 4)""")
 def client_sampling(spark, d):  # noqa: ANN001, ANN201
     c = table(spark, d, "clients")
-    return federated.sample_clients(c, c.count(), 0.25, 3).select("client_id")
+    n, out = c.count(), None
+    for r in range(4):
+        one = federated.sample_clients(c, n, 0.25, r).select(F.lit(r).alias("round_number"), "client_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT o_orderpriority, row_number() OVER (ORDER BY md5('0|' || o_orderpriority), o_orderpriority) - 1 AS label FROM (SELECT DISTINCT o_orderpriority FROM orders)""")
+def topic_labels(spark, d):  # noqa: ANN001, ANN201
+    return federated.topic_labels(table(spark, d, "orders"), "o_orderpriority")
+
+
+MIXED = "CASE WHEN event_type = (SELECT min(event_type) FROM events) AND event_id % 5 = 0 THEN 'e' || event_id WHEN event_id % 7 = 0 THEN 'NaN' WHEN event_id % 11 <> 0 THEN CAST(event_id % 1000 AS VARCHAR) END"
+
+
+@query(f"""WITH v AS (SELECT event_type, event_id, {MIXED} AS v FROM events), k AS (SELECT *, try_cast(v AS DOUBLE) AS n FROM v WHERE v IS NOT NULL AND v <> 'NaN') SELECT event_type AS metric, CASE WHEN count(*) = count(n) THEN round(avg(n), 6) END AS mean, CASE WHEN count(*) > count(n) THEN arg_min(v, event_id) END AS first FROM k GROUP BY 1""")
+def mean_or_first(spark, d):  # noqa: ANN001, ANN201
+    e = table(spark, d, "events")
+    least = e.agg(F.min("event_type").alias("least"))
+    v = F.when((F.col("event_type") == F.col("least")) & (F.col("event_id") % 5 == 0), F.concat(F.lit("e"), "event_id")).when(F.col("event_id") % 7 == 0, "NaN").when(F.col("event_id") % 11 != 0, F.pmod("event_id", F.lit(1000)).cast("string"))
+    rows = e.crossJoin(F.broadcast(least)).select(F.col("event_type").alias("metric"), v.alias("value"), F.col("event_id").alias("ord"))
+    return _rounded(federated.mean_or_first(rows), "mean")
+
+
+@query(f"WITH {PARAMS}, {WEIGHTS} SELECT param, idx, round(sum(w * val), 5) AS val FROM par JOIN w USING (client_id) GROUP BY 1, 2")
+def train_round(spark, d):  # noqa: ANN001, ANN201
+    return _rounded(federated.train_round(base.params(spark, d), "dense"), "val", places=5)
 
 
 @query("""SELECT result_id, CAST((6 * list_sum(list_transform(string_split(substr(md5(substr(question, 1, 50)), 1, 31), ''), lambda c: instr('0123456789abcdef', c) - 1)) + instr('0123456789abcdef', substr(md5(substr(question, 1, 50)), 32, 1)) - 1) % 10 AS INTEGER) AS label FROM results_step""")
@@ -322,10 +444,17 @@ def flops_estimate(spark, d):  # noqa: ANN001, ANN201
     return out.select("tokens", F.round(F.col("flops") / 1e9, 3).alias("gigaflops"))
 
 
-@query("SELECT result_id, x + y AS value FROM (SELECT result_id, result_id % 17 AS x, result_id % 5 AS y FROM results_step)")
+#: Expressions by row, with x and y the row's number by 17 and by 5, and their values in SQL.
+EXPRESSIONS = (("x + (y * 2 / 2)", "x + y"), ("(x - y) ** 2", "(x - y) * (x - y)"), ("-x // 3", "floor(-x / 3.0)"), ("x % (y + 1)", "x % (y + 1)"), ("x / (y - 2)", "CASE WHEN y <> 2 THEN x / CAST(y - 2 AS DOUBLE) END"), ("open('x')", "NULL"), ("2 +", "NULL"), ("1.5e1 * x", "15 * x"), ("x ** 99999", "NULL"))
+
+
+@query("SELECT result_id, round(CAST(CASE result_id % " + str(len(EXPRESSIONS)) + " " + " ".join(f"WHEN {k} THEN {v}" for k, (_, v) in enumerate(EXPRESSIONS)) + " END AS DOUBLE), 6) AS value FROM (SELECT result_id, result_id % 17 + 2 AS x, result_id % 5 AS y FROM results_step)")
 def calculator(spark, d):  # noqa: ANN001, ANN201
-    e = F.concat(F.pmod("result_id", F.lit(17)).cast("string"), F.lit(" + ("), F.pmod("result_id", F.lit(5)).cast("string"), F.lit(" * 2 / 2)"))
-    return tools.calculate(table(spark, d, "results_step").select("result_id", e.alias("e")), "e").select("result_id", F.col("value").cast("long").alias("value"))
+    kinds = F.array(*(F.lit(e) for e, _ in EXPRESSIONS))
+    written = F.get(kinds, F.pmod("result_id", F.lit(len(EXPRESSIONS))).cast("int"))
+    for name, n, more in (("x", 17, 2), ("y", 5, 0)):
+        written = F.regexp_replace(written, F.lit(rf"\b{name}\b(?!')"), (F.pmod("result_id", F.lit(n)) + more).cast("string"))
+    return _rounded(tools.calculate(table(spark, d, "results_step").select("result_id", written.alias("e")), "e").select("result_id", "value"), "value")
 
 
 @query("""SELECT result_id AS call_id, CASE WHEN result_id % 4 = 0 THEN 'no_call' WHEN result_id % 4 = 1 THEN 'unknown_tool' WHEN result_id % 4 = 2 THEN 'invalid' ELSE 'ok' END AS outcome, CASE WHEN result_id % 4 = 3 THEN CAST(length(question) AS VARCHAR) END AS result FROM results_step WHERE question IS NOT NULL""")
@@ -342,6 +471,26 @@ def windowed_events(spark, d):  # noqa: ANN001, ANN201
     return _rounded(rounds.windowed_counts(table(spark, d, "events")), "value", places=4)
 
 
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+def windowed_events_stream(spark, d):  # noqa: ANN001, ANN201
+    events = table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return _rounded(rounds.finished(rounds.windowed_counts(stream)), "value", places=4)
+
+
+ROUND = "(SELECT count(DISTINCT {c}) FROM {t} WHERE {c} IS NOT NULL AND round_number // 10 <= r)"
+
+
+@query("WITH r AS (SELECT unnest(range(0, 4)) AS r), c AS (SELECT r, " + ROUND.format(c=base.CANON % "entity_name", t="entities") + " AS new_num_entities, " + ROUND.format(c="hyperedge_name", t="hyperedges") + """ AS new_num_hyperedges,
+ (SELECT count(*) FROM (SELECT DISTINCT src_id, tgt_id FROM edges WHERE src_id IS NOT NULL AND tgt_id IS NOT NULL AND round_number // 10 <= r)) AS new_num_edges FROM r)
+ SELECT r AS round, new_num_entities, new_num_hyperedges, new_num_edges, CASE WHEN r = 0 THEN 'none' ELSE 'sent' END AS downlink FROM c""")
+def graph_rounds(spark, d):  # noqa: ANN001, ANN201
+    tables = [table(spark, d, t) for t in ("entities", "hyperedges", "edges")]
+    store = rounds.GraphStore(spark, rounds.new_folder(spark))
+    history = rounds.run_rounds(store, 4, lambda r: tuple(t.filter(F.floor(F.col("round_number") / 10) == r) for t in tables))
+    return spark.createDataFrame([(h["round"], h["new_num_entities"], h["new_num_hyperedges"], h["new_num_edges"], h["downlink"]) for h in history], "round int, new_num_entities long, new_num_hyperedges long, new_num_edges long, downlink string")
+
+
 @query("SELECT event_type, round(avg(value), 6) AS value FROM events GROUP BY 1")
 def metric_means(spark, d):  # noqa: ANN001, ANN201
     return _rounded(evaluate.means_by(table(spark, d, "events"), ["event_type"], ["value"]), "value")
@@ -353,6 +502,11 @@ def sequence_offsets(spark, d):  # noqa: ANN001, ANN201
     return batch.offsets(lengths, "n").select("row_id", "cu_seqlen")
 
 
+@query("SELECT result_id FROM results_step WHERE len(string_split(question, ' ')) + turns <= 12")
+def prompt_length_with_tools(spark, d):  # noqa: ANN001, ANN201
+    return batch.within_length(table(spark, d, "results_step"), F.split("question", " "), 12, F.col("turns")).select("result_id")
+
+
 @query("SELECT result_id FROM results_step WHERE len(string_split(question, ' ')) <= 9")
 def prompt_length_filter(spark, d):  # noqa: ANN001, ANN201
     return batch.within_length(table(spark, d, "results_step"), F.split("question", " "), 9).select("result_id")
@@ -370,18 +524,36 @@ def payload_round_trip(spark, d):  # noqa: ANN001, ANN201
     return records.unpack_payloads(packed.select("ord", "payload"), "entity_name string, description string")
 
 
-@query("SELECT result_id, CASE WHEN result_id % 3 = 2 THEN 0.0 ELSE 1.0 END AS score FROM results_step")
+#: Responses, truths and what they are worth: by ``graded``, and right and formed by ``graded_responses``. The number of the
+#: row stands where ``#`` is.
+SHAPES = (
+    (r"so \boxed{#/7}", r"\frac{#}{7}", 1, 1, 1), ("#.0", "#", 1, 1, 1), ("#1", "#", 0, 0, 0), (r"the answer is \boxed{\dfrac{#}{3}}", "#/3", 1, 1, 1), ("#,000", "#000", 1, 1, 1),
+    ("#%", "#", 1, 1, 1), ("# cm", "#", 1, 1, 1), ("(#, 2)", "(#,2)", 1, 1, 1), ("[#, 2)", "(#, 2)", 0, 0, 0), (r"x=#\pi", r"#\pi", 1, 1, 1), ("Interval(#, 2)", "[#, 2]", 0, 1, 0), ("# 1/2", "#.5", 1, 1, 1),
+    (r"Step 2: so \boxed{#1}", "#", 0, 0, 1), ("# is the answer", "#", 0, 1, 1), ("no number", "#", 0, 0, 0), (r"\sqrt3", r"\sqrt{3}", 1, 1, 1), ("#_7", "#", 0, 1, 0), (r"#\pi", "#*3.14", 0, 1, 0), ("2*#", "(# + #)", 1, 1, 1), (r"\text{#}", "#", 1, 1, 1),
+)
+
+
+def _shaped(spark, d):  # noqa: ANN001, ANN202
+    shapes = spark.createDataFrame([(k, a, b) for k, (a, b, *_) in enumerate(SHAPES)], "k int, said string, truth string")
+    n = F.col("n").cast("string")
+    rows = table(spark, d, "results_step").select("result_id", F.pmod("result_id", F.lit(len(SHAPES))).cast("int").alias("k"), (F.floor(F.col("result_id") / len(SHAPES)) * 2 + 1001).alias("n"))
+    return rows.join(F.broadcast(shapes), "k").select("result_id", F.replace("said", F.lit("#"), n).alias("said"), F.replace("truth", F.lit("#"), n).alias("truth"))  # as many rows as shapes
+
+
+@query(f"SELECT result_id, CAST(list_extract({[s[2] for s in SHAPES]}, result_id % {len(SHAPES)} + 1) AS DOUBLE) AS score FROM results_step")
 def math_grading(spark, d):  # noqa: ANN001, ANN201
-    n = F.col("result_id").cast("string")
-    given = F.when(F.col("result_id") % 3 == 0, F.concat(F.lit("so \\boxed{"), n, F.lit("/7}"))).when(F.col("result_id") % 3 == 1, F.concat(n, F.lit(".0"))).otherwise(F.concat(n, F.lit("1")))
-    truth = F.when(F.col("result_id") % 3 == 0, F.concat(F.lit("\\frac{"), n, F.lit("}{7}"))).otherwise(n)
-    return grading.graded(table(spark, d, "results_step").select("result_id", given.alias("g"), truth.alias("t")), "g", "t").select("result_id", "score")
+    return grading.graded(_shaped(spark, d), "said", "truth").select("result_id", "score")
+
+
+@query(f"SELECT result_id, list_extract({[s[3] for s in SHAPES]}, result_id % {len(SHAPES)} + 1) = 1 AS right, list_extract({[s[4] for s in SHAPES]}, result_id % {len(SHAPES)} + 1) = 1 AS formed FROM results_step".replace(" right,", ' "right",'))
+def math_responses(spark, d):  # noqa: ANN001, ANN201
+    return grading.graded_responses(_shaped(spark, d), "said", "truth").select("result_id", "verdict.right", "verdict.formed")
 
 
-@query(f"WITH {TOKENS} SELECT row_id AS trajectory_id, count(*) AS steps, count(*) FILTER (WHERE mask = 1) AS effective, round(sum(reward), 4) AS reward FROM tok GROUP BY 1")
+@query(f"""WITH {TOKENS} SELECT row_id AS trajectory_id, count(*) AS steps, count(*) FILTER (WHERE mask = 1) AS effective, round(sum(reward), 4) AS reward, string_agg('Tool call ' || t || ': search -> r' || t, chr(10) ORDER BY t) AS history FROM tok GROUP BY 1""")
 def trajectory_summary(spark, d):  # noqa: ANN001, ANN201
-    t = base.tokens(spark, d).select(F.col("row_id").alias("trajectory_id"), F.col("t").alias("step"), F.lit("search").alias("tool"), F.when(F.col("mask") == 1, "ok").otherwise("failed").alias("outcome"), F.lit("r").alias("result"), "reward")
-    return _rounded(tools.trajectories(t).select("trajectory_id", "steps", "effective", "reward"), "reward", places=4)
+    t = base.tokens(spark, d).select(F.col("row_id").alias("trajectory_id"), F.col("t").alias("step"), F.lit("search").alias("tool"), F.when(F.col("mask") == 1, "ok").otherwise("failed").alias("outcome"), F.concat(F.lit("r"), F.col("t").cast("string")).alias("result"), "reward")
+    return _rounded(tools.trajectories(t).select("trajectory_id", "steps", "effective", "reward", "history"), "reward", places=4)
 
 
 @query(f"WITH {TOKENS}, f AS (SELECT row_id, t, min(mask) OVER (PARTITION BY row_id ORDER BY t) AS alive FROM tok) SELECT row_id AS trajectory_id, least(sum(alive), 3) AS turns FROM f GROUP BY 1")

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from knotwork.operators import graph, records, vector
 from knotwork.operators.components import connected_components
+from knotwork.plans.answer_queries import SPACES
 from knotwork.plans.base import CANON, query
+from knotwork.session import cut
 from knotwork.sources import documents
+from knotwork.sources.tables import scan_concat as scan
 from knotwork.sources.tables import table
 
 NAMED = f"""e AS (SELECT {CANON % 'entity_name'} AS id, * FROM entities WHERE entity_name IS NOT NULL)"""
@@ -57,10 +60,8 @@ def edge_merge(spark, d):  # noqa: ANN001, ANN201
 
 @query(f"""SELECT src_id AS src, {CANON % 'tgt_id'} AS dst, round(sum(weight), 4) AS weight, count(*) AS records FROM edges WHERE src_id IS NOT NULL AND tgt_id IS NOT NULL GROUP BY 1, 2""")
 def edge_merge_canonical(spark, d):  # noqa: ANN001, ANN201
-    e = table(spark, d, "edges")
-    merged = graph.merge_edges(e, canonicalize=True)
-    n = e.filter("src_id is not null and tgt_id is not null").groupBy(F.col("src_id").alias("src"), graph.canonical_name(F.col("tgt_id")).alias("dst")).agg(F.count("*").alias("records"))
-    return merged.join(n, ["src", "dst"]).select("src", "dst", F.round("weight", 4).alias("weight"), "records")
+    merged = graph.merge_edges(table(spark, d, "edges"), canonicalize=True, count=True)
+    return merged.select("src", "dst", F.round("weight", 4).alias("weight"), "records")
 
 
 @query(f"""WITH {NODES}, c AS (SELECT count(*) AS v, count(*) FILTER (WHERE role = 'entity') AS en, count(*) FILTER (WHERE role = 'hyperedge') AS hn FROM nodes), k AS (SELECT count(*) AS n FROM ge)
@@ -74,13 +75,22 @@ def kg_fingerprint(spark, d):  # noqa: ANN001, ANN201
     return graph.fingerprint(*_graph(spark, d))
 
 
-@query(f"""WITH {UNTIL % dict(t='a', r=10)}, {UNTIL % dict(t='b', r=20)}
-SELECT a.num_entities AS old_num_entities, a.num_hyperedges AS old_num_hyperedges, a.num_edges AS old_num_edges, a.names_hash AS old_names_hash,
+DELTA = """SELECT a.num_entities AS old_num_entities, a.num_hyperedges AS old_num_hyperedges, a.num_edges AS old_num_edges, a.names_hash AS old_names_hash,
  b.num_entities AS new_num_entities, b.num_hyperedges AS new_num_hyperedges, b.num_edges AS new_num_edges, b.names_hash AS new_names_hash,
  greatest(0, b.num_entities - a.num_entities) AS more_num_entities, greatest(0, b.num_hyperedges - a.num_hyperedges) AS more_num_hyperedges, greatest(0, b.num_edges - a.num_edges) AS more_num_edges,
- a IS DISTINCT FROM b AS changed FROM fp_a a, fp_b b""")
+ a IS DISTINCT FROM b AS changed FROM fp_a a, fp_b b"""
+
+
+@query(f"WITH {UNTIL % dict(t='a', r=20)}, {UNTIL % dict(t='b', r=1000)} {DELTA}")
 def kg_delta(spark, d):  # noqa: ANN001, ANN201
-    return graph.delta(graph.fingerprint(*_until(spark, d, 10)), graph.fingerprint(*_until(spark, d, 20)))
+    return graph.delta(graph.fingerprint(*_until(spark, d, 20)), graph.fingerprint(*_graph(spark, d)))
+
+
+@query(f"""WITH {UNTIL % dict(t='a', r=20)}, {UNTIL % dict(t='b', r=1000)}, k AS ({DELTA}) SELECT old_num_entities AS "kg/prev_entities", new_num_entities AS "kg/curr_entities", old_num_hyperedges AS "kg/prev_hyperedges", new_num_hyperedges AS "kg/curr_hyperedges",
+ more_num_entities AS "kg/new_entities", more_num_hyperedges AS "kg/new_hyperedges", more_num_edges AS "kg/new_edges", CAST(changed AS INTEGER) AS "kg/changed", CAST(NOT changed AS INTEGER) AS "kg/broadcast_skipped" FROM k""")
+def kg_metrics(spark, d):  # noqa: ANN001, ANN201
+    change = graph.delta(graph.fingerprint(*_until(spark, d, 20)), graph.fingerprint(*_graph(spark, d)))
+    return graph.delta_metrics(change, ~F.col("changed"))
 
 
 CENTRAL = """ends AS (SELECT DISTINCT src, dst FROM ge), deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM ends UNION ALL SELECT dst FROM ends) GROUP BY 1),
@@ -112,7 +122,7 @@ def _seeds(spark: SparkSession, d: str) -> DataFrame:
 def khop_expand(spark, d):  # noqa: ANN001, ANN201
     nodes, edges = _graph(spark, d)
     seeds = _seeds(spark, d).join(nodes.select("id"), "id", "left_semi").select("client_id", "id")
-    return graph.expand(seeds, edges, 2)
+    return graph.expand(seeds, edges.select("src", "dst"), 2)
 
 
 RELEVANT = f"""{NODES}, {SEEDS}, {HOPS}, {CENTRAL}, top AS (SELECT id FROM cen ORDER BY degree DESC, id LIMIT 100),
@@ -123,12 +133,12 @@ RELEVANT = f"""{NODES}, {SEEDS}, {HOPS}, {CENTRAL}, top AS (SELECT id FROM cen O
  k AS (SELECT a.client_id, count(*) AS num_edges FROM ge JOIN chosen a ON a.id = src JOIN chosen b ON b.id = dst AND b.client_id IS NOT DISTINCT FROM a.client_id GROUP BY 1)
  SELECT n.client_id, num_nodes, coalesce(num_edges, 0) AS num_edges, round(num_nodes / CAST((SELECT count(*) FROM nodes) AS DOUBLE), 9) AS coverage_ratio FROM n LEFT JOIN k ON n.client_id IS NOT DISTINCT FROM k.client_id""")
 def relevance_fragment(spark, d):  # noqa: ANN001, ANN201
-    nodes, edges = _graph(spark, d)
-    kept, links = graph.fragment(nodes, edges, "relevance", _seeds(spark, d), 2, 100)
+    nodes, edges = (cut(x) for x in _graph(spark, d))
+    kept, links = graph.fragment(nodes.select("id"), edges.select("src", "dst"), "relevance", _seeds(spark, d), 2, 100)
     n = kept.groupBy("client_id").agg(F.count("*").alias("num_nodes"))
     k = links.groupBy(F.col("client_id").alias("c")).agg(F.count("*").alias("num_edges"))
     whole = nodes.agg(F.count("*").alias("whole"))
-    return n.join(k, F.col("client_id").eqNullSafe(F.col("c")), "left").crossJoin(whole).select("client_id", "num_nodes", F.coalesce("num_edges", F.lit(0)).alias("num_edges"), F.round(F.col("num_nodes") / F.col("whole"), 9).alias("coverage_ratio"))
+    return n.join(k, F.col("client_id").eqNullSafe(F.col("c")), "left").crossJoin(F.broadcast(whole)).select("client_id", "num_nodes", F.coalesce("num_edges", F.lit(0)).alias("num_edges"), F.round(F.col("num_nodes") / F.col("whole"), 9).alias("coverage_ratio"))
 
 
 @query(f"WITH {NODES} SELECT id, coalesce(entity_type, 'UNKNOWN') AS entity_type, coalesce(description, '') AS description, round(coalesce(weight, 1.0), 4) AS weight FROM en")
@@ -141,15 +151,10 @@ def kv_rebuild(spark, d):  # noqa: ANN001, ANN201
     return graph.key_values(_graph(spark, d)[0])
 
 
-@query("""WITH RECURSIVE l AS (SELECT DISTINCT src_id AS a, tgt_id AS b FROM edges WHERE src_id IS NOT NULL AND tgt_id IS NOT NULL AND weight >= 99 AND NOT isnan(weight)), both_ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+@query("""WITH RECURSIVE l AS (SELECT DISTINCT src_id AS a, tgt_id AS b FROM edges WHERE src_id IS NOT NULL AND tgt_id IS NOT NULL), both_ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
  reach(node, seen) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM both_ways GROUP BY a UNION SELECT w.a, min(r.seen) FROM reach r JOIN both_ways w ON w.b = r.node JOIN recurring.reach o ON o.node = w.a WHERE r.seen < o.seen GROUP BY w.a)
  SELECT node, seen AS component FROM reach""")
 def connected_components_of_edges(spark, d):  # noqa: ANN001, ANN201
-    return connected_components(table(spark, d, "edges").filter("weight >= 99 and not isnan(weight)"), "src_id", "tgt_id")
-
-
-@query()
-def connected_components_of_all_edges(spark, d):  # noqa: ANN001, ANN201
     return connected_components(table(spark, d, "edges"), "src_id", "tgt_id")
 
 
@@ -168,16 +173,16 @@ def weight_filter_truncate(spark, d):  # noqa: ANN001, ANN201
     return records.pack_entities(table(spark, d, "entities")).select("client_id", "ord", "entity_name", "description", "weight")
 
 
-@query("""SELECT a.client_id, a.ord, a.entity_name FROM entities a WHERE round_number = 8 AND NOT EXISTS (SELECT 1 FROM entities b WHERE b.round_number = 7 AND b.client_id = a.client_id AND b.entity_name = a.entity_name)""")
+@query("""SELECT a.client_id, a.round_number, a.ord, a.entity_name FROM entities a WHERE NOT EXISTS (SELECT 1 FROM entities b WHERE b.round_number = a.round_number - 1 AND b.client_id = a.client_id AND b.entity_name = a.entity_name)""")
 def delta_anti_join(spark, d):  # noqa: ANN001, ANN201
     e = table(spark, d, "entities")
-    return records.delta_records(e.filter("round_number = 8"), e.filter("round_number = 7"), ["client_id", "entity_name"]).select("client_id", "ord", "entity_name")
+    return records.delta_records(e, e.withColumn("round_number", F.col("round_number") + 1), ["round_number", "client_id", "entity_name"]).select("client_id", "round_number", "ord", "entity_name")
 
 
-@query("""SELECT a.client_id, a.ord, a.src_id, a.tgt_id FROM edges a WHERE round_number = 8 AND NOT EXISTS (SELECT 1 FROM edges b WHERE b.round_number = 7 AND b.client_id = a.client_id AND b.src_id = a.src_id AND b.tgt_id = a.tgt_id AND b.weight = a.weight)""")
+@query("""SELECT a.client_id, a.round_number, a.ord, a.src_id, a.tgt_id FROM edges a WHERE NOT EXISTS (SELECT 1 FROM edges b WHERE b.round_number = a.round_number - 1 AND b.client_id = a.client_id AND b.src_id = a.src_id AND b.tgt_id = a.tgt_id AND b.weight = a.weight)""")
 def edge_delta(spark, d):  # noqa: ANN001, ANN201
     e = table(spark, d, "edges")
-    return records.delta_records(e.filter("round_number = 8"), e.filter("round_number = 7"), ["client_id", "src_id", "tgt_id", "weight"]).select("client_id", "ord", "src_id", "tgt_id")
+    return records.delta_records(e, e.withColumn("round_number", F.col("round_number") + 1), ["round_number", "client_id", "src_id", "tgt_id", "weight"]).select("client_id", "round_number", "ord", "src_id", "tgt_id")
 
 
 @query("""WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents) SELECT doc_id, pos FROM n WHERE pos >= 3 * greatest(1, ceil(n / 40.0)) AND pos < 4 * greatest(1, ceil(n / 40.0))""")
@@ -206,25 +211,41 @@ def chunk_hash_lookup(spark, d):  # noqa: ANN001, ANN201
     return records.with_chunk_hash(e, chunks, F.coalesce("chunk_id", F.lit(""))).select("ord", "chunk_hash")
 
 
-@query("""SELECT result_id, array_to_string(list_filter(coalesce(golden_answers, []), lambda x: x IS NOT NULL AND x <> ''), '|') AS golds, len(list_filter(coalesce(golden_answers, []), lambda x: x IS NOT NULL AND x <> '')) AS n FROM results_step""")
+@query("""WITH g AS (SELECT result_id, list_filter(CASE WHEN result_id % 3 = 0 THEN CASE WHEN data_source IS NULL THEN [] ELSE [data_source] END ELSE coalesce(golden_answers, CASE WHEN data_source IS NULL THEN [] ELSE [data_source] END) END, lambda x: x IS NOT NULL AND x <> '') AS g FROM results_step)
+ SELECT result_id, array_to_string(g, '|') AS golds, len(g) AS n FROM g""")
 def golden_answer_coercion(spark, d):  # noqa: ANN001, ANN201
-    g = records.golden_answers(F.col("golden_answers"), F.lit(None).cast("string"))
+    g = records.golden_answers(F.when(F.col("result_id") % 3 != 0, F.col("golden_answers")), F.col("data_source"))
     return table(spark, d, "results_step").select("result_id", F.array_join(g, "|").alias("golds"), F.size(g).alias("n"))
 
 
-@query()
+#: Words between white space, and the chunks of so many (size, overlap) of each document.
+DOC_WORDS = """dw AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'), lambda w: w <> '') AS w FROM documents)"""
+CHUNKS = DOC_WORDS + """, dc AS (SELECT doc_id, w, unnest(range(0, greatest(1, CAST(ceil((len(w) - %(o)d) / %(s)d.0) AS BIGINT)))) AS k FROM dw WHERE len(w) > 0),
+ ch AS (SELECT doc_id, CAST(k AS INTEGER) AS chunk_no, array_to_string(w[k * %(s)d + 1:k * %(s)d + %(n)d], ' ') AS content FROM dc)"""
+
+
+@query(f"WITH {CHUNKS % dict(o=10, s=90, n=100)} SELECT doc_id, chunk_no, content, 'chunk-' || md5(content) AS chunk_id FROM ch")
 def chunked_documents(spark, d):  # noqa: ANN001, ANN201
     return records.chunk_documents(table(spark, d, "documents"), 100, 10)
 
 
-@query()
+EXTRACTED = CHUNKS % dict(o=100, s=1100, n=1200) + r""", st AS (SELECT 'chunk-' || md5(content) AS chunk_id, unnest(regexp_split_to_array(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM ch),
+ nm AS (SELECT chunk_id, s, list_distinct(regexp_extract_all(s, '\p{Lu}[\p{L}''-]+(?: \p{Lu}[\p{L}''-]+)*')) AS names FROM st WHERE trim(s) <> '')"""
+
+
+@query(f"WITH {EXTRACTED}, ln AS (SELECT chunk_id, '<hyperedge>' || s AS src_id, unnest(names) AS name FROM nm) SELECT src_id, {CANON % 'name'} AS tgt_id, 1.0 AS weight, chunk_id AS source_chunk_hash FROM ln")
 def extracted_edges(spark, d):  # noqa: ANN001, ANN201
     return records.extract_records(records.chunk_documents(table(spark, d, "documents"), 1200, 100))[2]
 
 
-@query("""SELECT client_id, round_number, count(*) AS records FROM entities GROUP BY 1, 2""")
+@query(f"WITH {EXTRACTED} SELECT '<hyperedge>' || s AS hyperedge_name, 1.0 AS weight, chunk_id AS source_chunk_hash FROM nm")
+def extracted_hyperedges(spark, d):  # noqa: ANN001, ANN201
+    return records.extract_records(records.chunk_documents(table(spark, d, "documents"), 1200, 100))[1]
+
+
+@query("""SELECT client_id, round_number, count(*) AS records, sum(strlen(to_json({'ord': ord, 'source_chunk_hash': source_chunk_hash})) - CASE WHEN source_chunk_hash IS NULL THEN strlen(',"source_chunk_hash":null') ELSE 0 END) AS bytes FROM entities GROUP BY 1, 2""")
 def uplink_sizes(spark, d):  # noqa: ANN001, ANN201
-    return records.packed_size(table(spark, d, "entities"), ["entity_name", "entity_type", "description", "weight", "source_chunk_hash"], ["client_id", "round_number"]).select("client_id", "round_number", "records")
+    return records.packed_size(table(spark, d, "entities"), ["ord", "source_chunk_hash"], ["client_id", "round_number"])
 
 
 VEC = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), sims AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 9) AS score FROM v q, v WHERE q.vec_id % 100 = 0)"""
@@ -252,6 +273,13 @@ def per_query_limit(spark, d):  # noqa: ANN001, ANN201
     return vector.limited(vector.top_k(vector.similarities(q, table(spark, d, "embeddings")), 10), limits).select("query_id", "vec_id", "rank")
 
 
+@query()
+def cell_search(spark, d):  # noqa: ANN001, ANN201
+    index = table(spark, d, "embeddings")
+    found = vector.cell_search(_queries(spark, d), index, vector.fit_cells(index, 16), 11, 10)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 NEAR = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_cosine_similarity(a.e, b.e), 9) AS score FROM v a, v b WHERE a.vec_id <> b.vec_id),
  n AS (SELECT vec_a, vec_b, score FROM (SELECT *, row_number() OVER (PARTITION BY vec_a ORDER BY score DESC, vec_b) AS r FROM s) WHERE r <= 4 AND score > 0.35)"""
 
@@ -268,53 +296,117 @@ def fuzzy_groups(spark, d):  # noqa: ANN001, ANN201
     return vector.near_groups(table(spark, d, "embeddings"), 0.35)
 
 
-def _hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Questions of every hundredth result with the entities and hyperedges that stand in for search hits: those of the
-    result's number."""
+def _hits(spark: SparkSession, d: str, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Questions of every hundredth result, and for each the nodes that stand in for its search hits: the nodes by name are
+    dealt to the questions in turn, the first five of each role."""
+    q = records.numbered(table(spark, d, "results_step").filter("result_id % 100 = 0").select(F.col("result_id").alias("query_id")), "query_id", name="k")
+    n = q.agg(F.count("*").alias("n"))
+    dealt = records.numbered(nodes.select("role", "id"), "role", "id")
+    first = dealt.groupBy("role").agg(F.min("pos").alias("first"))
+    ranked = dealt.join(F.broadcast(first), "role").crossJoin(F.broadcast(n)).select("role", "id", F.pmod(F.col("pos") - F.col("first"), "n").alias("k"), (F.floor((F.col("pos") - F.col("first")) / F.col("n")) + 1).cast("int").alias("rank"))
+    return q.select("query_id"), ranked.filter("rank <= 5").join(q, "k").select("query_id", "role", "rank", F.col("id").alias("name"))
+
+
+@query(f"""WITH {NODES}, q AS (SELECT result_id AS query_id, row_number() OVER (ORDER BY result_id) - 1 AS k, count(*) OVER () AS n FROM results_step WHERE result_id % 100 = 0),
+ h AS (SELECT query_id, role, id, pos // n + 1 AS rank FROM (SELECT role, id, row_number() OVER (PARTITION BY role ORDER BY id) - 1 AS pos FROM nodes) x JOIN q ON pos % n = k WHERE pos // n < 5),
+ rel AS (SELECT DISTINCT dst AS name, src AS fact FROM ge WHERE src IN (SELECT id FROM hn) UNION SELECT DISTINCT src, dst FROM ge WHERE dst IN (SELECT id FROM hn)), num AS (SELECT name, fact, row_number() OVER (PARTITION BY name ORDER BY fact) AS sub FROM rel),
+ lines AS (SELECT query_id, 0 AS section, rank, 0 AS sub, 'Fact: ' || id AS line FROM h WHERE role = 'hyperedge' AND id <> '' UNION ALL SELECT query_id, 1, rank, 0, 'Entity [' || h.id || ']: ' || description FROM h JOIN en ON en.id = h.id WHERE h.role = 'entity' AND description <> ''
+  UNION ALL SELECT query_id, 1, rank, sub, 'Related fact: ' || fact FROM h JOIN num ON num.name = h.id WHERE h.role = 'entity'),
+ top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY section, rank, sub, line) AS r FROM lines),
+ txt AS (SELECT query_id, '<knowledge>' || chr(10) || string_agg(line, chr(10) ORDER BY section, rank, sub, line) || chr(10) || '</knowledge>' AS context FROM top WHERE r <= 50 GROUP BY 1)
+ SELECT q.query_id, coalesce(context, '<knowledge>No relevant knowledge found.</knowledge>') AS context FROM q LEFT JOIN txt USING (query_id)""")
+def search_context(spark, d):  # noqa: ANN001, ANN201
+    nodes, edges = (cut(x) for x in _graph(spark, d))
+    q, hits = _hits(spark, d, nodes)
+    facts = hits.filter("role = 'hyperedge'").select("query_id", "rank", F.col("name").alias("content"))
+    entities = vector.with_metadata(hits.filter("role = 'entity'").select("query_id", "rank", "name"), nodes, ["description"])
+    return vector.contexts(facts, entities, vector.adjacent_facts(nodes, edges), q)
+
+
+@query("""SELECT result_id AS query_id, CASE WHEN result_id % 200 = 0 THEN '<knowledge>Knowledge graph not yet loaded.</knowledge>' ELSE '<knowledge>Embedding model not available.</knowledge>' END AS context FROM results_step WHERE result_id % 100 = 0""")
+def search_without_index(spark, d):  # noqa: ANN001, ANN201
     q = table(spark, d, "results_step").filter("result_id % 100 = 0").select(F.col("result_id").alias("query_id"))
-    e = table(spark, d, "entities").filter("entity_name is not null and ord % 50 = 0").select((F.col("ord") * 2).alias("query_id"), graph.canonical_name(F.col("entity_name")).alias("name"))
-    return q, e.join(q, "query_id", "left_semi").withColumn("rank", F.lit(1))
+    return vector.without_index(q.filter("query_id % 200 = 0"), False, True).unionByName(vector.without_index(q.filter("query_id % 200 <> 0"), True, False))
 
 
-@query(f"""WITH {NODES}, q AS (SELECT result_id AS query_id FROM results_step WHERE result_id % 100 = 0), h AS (SELECT ord * 2 AS query_id, {CANON % 'entity_name'} AS name FROM entities WHERE entity_name IS NOT NULL AND ord % 50 = 0 AND ord * 2 IN (SELECT query_id FROM q)),
- rel AS (SELECT DISTINCT {CANON % 'tgt_id'} AS name, src_id AS fact FROM edges WHERE src_id IS NOT NULL AND tgt_id IS NOT NULL), num AS (SELECT name, fact, row_number() OVER (PARTITION BY name ORDER BY fact) AS sub FROM rel),
- lines AS (SELECT query_id, 0 AS sub, 'Entity [1]: ' || coalesce(en.description, '') AS line FROM h JOIN en ON en.id = h.name UNION ALL SELECT query_id, sub, 'Related fact: ' || fact FROM h JOIN en ON en.id = h.name JOIN num ON num.name = h.name WHERE sub <= 50),
- top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sub, line) AS r FROM lines),
- txt AS (SELECT query_id, '<knowledge>' || chr(10) || string_agg(line, chr(10) ORDER BY sub, line) || chr(10) || '</knowledge>' AS context FROM top WHERE r <= 50 GROUP BY 1)
- SELECT q.query_id, coalesce(context, '<knowledge>No relevant knowledge found.</knowledge>') AS context FROM q LEFT JOIN txt USING (query_id)""")
-def search_context(spark, d):  # noqa: ANN001, ANN201
-    q, hits = _hits(spark, d)
-    entities = hits.join(graph.merge_entities(table(spark, d, "entities")).select(F.col("id").alias("name"), "description"), "name").select("query_id", "rank", "name", "description")
-    edges = table(spark, d, "edges").filter("src_id is not null and tgt_id is not null")
-    related = edges.select(graph.canonical_name(F.col("tgt_id")).alias("name"), F.col("src_id").alias("fact")).distinct()
-    facts = entities.limit(0).select("query_id", "rank", F.col("description").alias("content"))
-    return vector.contexts(facts, entities, related, q)
+@query(f"""WITH {NODES}, h AS (SELECT ord, {CANON % 'tgt_id'} AS name FROM edges WHERE tgt_id IS NOT NULL) SELECT ord, entity_type, md5(description) AS description FROM h LEFT JOIN en ON en.id = h.name""")
+def metadata_lookup(spark, d):  # noqa: ANN001, ANN201
+    hits = table(spark, d, "edges").filter("tgt_id is not null").select("ord", graph.canonical_name(F.col("tgt_id")).alias("name"))
+    found = vector.with_metadata(hits, graph.merge_entities(table(spark, d, "entities")), ["entity_type", "description"])
+    return found.select("ord", "entity_type", F.md5("description").alias("description"))
 
 
-@query(f"""WITH {NODES} SELECT '<edge source="' || replace(replace(replace(replace(src, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '" target="' || replace(replace(replace(replace(dst, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '"></edge>' AS line FROM ge""")
-def graphml_edges(spark, d):  # noqa: ANN001, ANN201
-    nodes, edges = _graph(spark, d)
-    lines = documents.graphml_lines(nodes.limit(0), edges.withColumn("weight", F.lit(None).cast("double")))
-    return lines.filter("section = 2").select("line")
+def _xml(x: str) -> str:
+    return f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
 
+def _data(key: str, x: str) -> str:
+    return f"""CASE WHEN {x} IS NULL THEN '' ELSE '<data key="{key}">' || {x} || '</data>' END"""
 
-@query("SELECT ord, client_id FROM entities WHERE round_number = 5 AND client_id IN (SELECT client_id FROM clients WHERE trust >= 4)")
+
+@query(f"""WITH {NODES}, n AS (SELECT *, round(weight, 4) AS w FROM nodes), g AS (SELECT *, round(weight, 4) AS w FROM ge) SELECT 1 AS section, '<node id="' || {_xml('id')} || '">' || {_data('role', 'role')} || {_data('entity_type', _xml('entity_type'))} || {_data('description', _xml('description'))} || {_data('weight', 'CAST(CASE WHEN abs(w) < 1e7 THEN w END AS VARCHAR)')} || '</node>' AS line FROM n
+ UNION ALL SELECT 2, '<edge source="' || {_xml('src')} || '" target="' || {_xml('dst')} || '">' || {_data('weight', 'CAST(CASE WHEN abs(w) < 1e7 THEN w END AS VARCHAR)')} || '</edge>' FROM g""")
+def graphml_lines(spark, d):  # noqa: ANN001, ANN201
+    rounded = F.round("weight", 4)
+    nodes, edges = (x.withColumn("weight", F.when(F.abs(rounded) < 1e7, rounded)) for x in _graph(spark, d))
+    return documents.graphml_lines(nodes, edges).filter("section in (1, 2)")
+
+
+@query("SELECT ord, client_id, round_number FROM entities WHERE client_id IN (SELECT client_id FROM clients WHERE trust >= 4)")
 def sampled_client_messages(spark, d):  # noqa: ANN001, ANN201
-    e = table(spark, d, "entities").filter("round_number = 5")
-    return records.of_clients(e, table(spark, d, "clients").filter("trust >= 4")).select("ord", "client_id")
+    return records.of_clients(table(spark, d, "entities"), table(spark, d, "clients").filter("trust >= 4")).select("ord", "client_id", "round_number")
 
 
-@query("SELECT c.client_id, coalesce(o.n, c.num_samples) AS num_samples FROM clients c LEFT JOIN (SELECT client_id, count(*) AS n FROM entities WHERE round_number = 5 GROUP BY 1) o USING (client_id)")
+@query("SELECT c.client_id, coalesce(o.n, c.num_samples) AS num_samples FROM clients c LEFT JOIN (SELECT client_id, count(*) AS n FROM entities GROUP BY 1 HAVING count(*) % 2 = 0) o USING (client_id)")
 def client_override(spark, d):  # noqa: ANN001, ANN201
-    own = table(spark, d, "entities").filter("round_number = 5").groupBy("client_id").agg(F.count("*").alias("num_samples"))
+    own = table(spark, d, "entities").groupBy("client_id").agg(F.count("*").alias("num_samples")).filter("num_samples % 2 = 0")
     return records.overridden(table(spark, d, "clients").select("client_id", "num_samples"), own, ["client_id"], ["num_samples"])
 
 
-@query("SELECT result_id AS \"r.result_id\", len(golden_answers) AS \"r.golden_answers.list_len\" FROM results_step WHERE golden_answers IS NOT NULL")
+@query("""SELECT result_id AS "r.result_id", len(golden_answers) AS "r.golden_answers.list_len", to_json(golden_answers) AS "r.golden_answers" FROM results_step""")
 def flattened_params(spark, d):  # noqa: ANN001, ANN201
-    r = table(spark, d, "results_step").filter("golden_answers is not null").select(F.struct("result_id", "golden_answers").alias("r"))
-    flat = documents.flatten(r)
-    return flat.select("`r.result_id`", F.col("`r.golden_answers.list_len`").cast("long").alias("r.golden_answers.list_len"))
+    flat = documents.flatten(table(spark, d, "results_step").select(F.struct("result_id", "golden_answers").alias("r")))
+    return flat.select("`r.result_id`", F.col("`r.golden_answers.list_len`").cast("long").alias("r.golden_answers.list_len"), "`r.golden_answers`")
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT ord) AS different FROM (SELECT ord FROM entities UNION ALL SELECT ord FROM hyperedges UNION ALL SELECT ord FROM entities)")
+def scan_concat(spark, d):  # noqa: ANN001, ANN201
+    paths = [f"{d}/{t}.parquet" for t in ("entities", "hyperedges", "entities")]
+    return scan(spark, paths).agg(F.count("*").alias("rows"), F.count_distinct("ord").alias("different"))
+
+
+@query(f"WITH {NODES} SELECT id, coalesce(entity_type, 'UNKNOWN') AS entity_type, coalesce(description, '') AS description, round(coalesce(weight, 50.0), 4) AS weight, 'entity' AS role FROM en UNION ALL SELECT id, NULL, NULL, round(coalesce(weight, 1.0), 4), 'hyperedge' FROM hn")
+def split_roles(spark, d):  # noqa: ANN001, ANN201
+    entities, hyperedges = records.split_roles(_graph(spark, d)[0])
+    both = entities.withColumn("role", F.lit("entity")).unionByName(hyperedges.withColumn("role", F.lit("hyperedge")), allowMissingColumns=True)
+    return both.withColumn("weight", F.round("weight", 4))
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(text, '^" + SPACES + "', ''), '" + SPACES + "$', '') AS content FROM documents WHERE regexp_replace(text, '" + SPACES + "', '', 'g') <> ''")
+def nonempty_chunks(spark, d):  # noqa: ANN001, ANN201
+    return records.nonempty_chunks(table(spark, d, "documents").select("doc_id", F.col("text").alias("content")))
+
+
+@query("SELECT doc_id, CAST(k AS INTEGER) AS slice_no, substr(hex(encode(text)), k * 800 + 1, 800) AS slice FROM (SELECT doc_id, text, unnest(range(0, CASE WHEN strlen(text) < 1000 THEN 1 ELSE (strlen(text) + 399) // 400 END)) AS k FROM documents WHERE strlen(text) >= 1000)\n UNION ALL SELECT doc_id, 0, hex(encode(text)) FROM documents WHERE strlen(text) < 1000")
+def byte_slices(spark, d):  # noqa: ANN001, ANN201
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.encode("text", "utf-8").alias("content"))
+    return records.byte_slices(docs, "content", 1000, 400).select("doc_id", "slice_no", F.hex("slice").alias("slice"))
+
+
+@query("SELECT question AS prompt, list_extract(golden_answers, 1) AS chosen, md5(prediction) AS rejected FROM results_step")
+def preference_pairs(spark, d):  # noqa: ANN001, ANN201
+    r = table(spark, d, "results_step").select("question", F.try_element_at("golden_answers", F.lit(1)).alias("gold"), F.md5("prediction").alias("said"))
+    return records.preference_pairs(r, "question", "gold", "said")
+
+
+@query("WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents) SELECT doc_id FROM n WHERE pos < 200")
+def first_rows(spark, d):  # noqa: ANN001, ANN201
+    return records.first_rows(records.numbered(table(spark, d, "documents").select("doc_id"), "doc_id"), 200).select("doc_id")
+
+
+@query("""WITH n AS (SELECT client_id, num_samples, trust, row_number() OVER (ORDER BY client_id) AS k, count(*) OVER () AS n FROM clients) SELECT k AS pos, '  "' || client_id || '": {' || chr(10) || '    "num_samples": ' || num_samples || ',' || chr(10) || '    "trust": ' || trust || chr(10) || '  }' || CASE WHEN k < n THEN ',' ELSE '' END AS line FROM n""")
+def json_document_lines(spark, d):  # noqa: ANN001, ANN201
+    return documents.json_document_lines(table(spark, d, "clients"), "client_id", ["num_samples", "trust"]).filter("line not in ('{', '}')")
 
 
 @query("SELECT result_id, question AS prompt, len(golden_answers) AS answers FROM results_step")

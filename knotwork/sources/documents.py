@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from knotwork.operators.records import numbered
+
 
 def read_json_document(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
     """``pos, key, value.*`` of files that each hold one object of objects. ``value_schema``: DDL of a value. A file is read
@@ -15,6 +17,40 @@ def read_json_document(spark: SparkSession, path: str, value_schema: str) -> Dat
     return whole.select(F.posexplode(F.map_entries(entries)).alias("pos", "e")).select("pos", F.col("e.key").alias("key"), "e.value.*")
 
 
+def json_document_lines(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``pos, line``: a JSON document of an object for each key, indented by two, with characters beyond ASCII as they are;
+    by ``pos`` the lines are the document. A key should be unique and not NULL; a NULL value is null."""
+    def value(c: str):  # noqa: ANN202
+        written = F.to_json(F.array(c), {"ignoreNullFields": "false"})
+        return F.substring(written, F.lit(2), F.length(written) - 2)
+
+    fields = F.concat_ws(",\n", *(F.concat(F.lit(f'    "{c}": '), value(c)) for c in columns))
+    placed = numbered(df, key, name="_pos")
+    last = placed.agg(F.max("_pos").alias("_last"))  # one row
+    entry = F.concat(F.lit("  "), value(key), F.lit(": {\n"), fields, F.lit("\n  }"), F.when(F.col("_pos") < F.col("_last"), ",").otherwise(""))
+    lines = placed.crossJoin(F.broadcast(last)).select((F.col("_pos") + 1).alias("pos"), entry.alias("line"))
+    frame = df.sparkSession.createDataFrame([(0, "{"), ((1 << 62), "}")], "pos long, line string")
+    return frame.unionByName(lines)
+
+
+def write_json_document(df: DataFrame, path: str, key: str, columns: list[str]) -> None:
+    """One JSON document in folder ``path``, as ``read_json_document`` takes it: for tables that one task can write; larger
+    ones are kept as parquet or JSON lines."""
+    json_document_lines(df, key, columns).coalesce(1).sortWithinPartitions("pos").select("line").write.mode("overwrite").text(path)
+
+
+def write_metrics(metrics: dict[str, float], path: str, step: int, spark: SparkSession) -> None:
+    """A step's metrics as rows ``step, metric, value`` of the parquet table at ``path``, in a folder by step: a step that
+    is written again replaces itself. Values that are no numbers are left out."""
+    rows = [(k, float(v)) for k, v in metrics.items() if isinstance(v, (int, float))]
+    spark.createDataFrame(rows, "metric string, value double").coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/step={step}")
+
+
+def log_line(metrics: dict[str, object], step: int) -> str:
+    """A step's numbers in one line: ``step:3 - loss:0.250``."""
+    return " - ".join([f"step:{step}", *(f"{k}:{v:.3f}" for k, v in metrics.items() if isinstance(v, (int, float)))])
+
+
 def write_json_lines(df: DataFrame, path: str, first: bool = False) -> None:
     """Rows appended as JSON lines; at the first step what was there is replaced."""
     df.write.mode("overwrite" if first else "append").json(path)

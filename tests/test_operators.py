@@ -92,25 +92,6 @@ def test_components(spark):
     assert connected_components(links.limit(0)).count() == 0
 
 
-def test_components_of_all_edges(spark):
-    from knotwork.plans import registry
-    from knotwork.sources.tables import table
-
-    sf, root = "/root/testdata/sf0.001", {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
-
-    for r in table(spark, sf, "edges").select("src_id", "tgt_id").collect():
-        if r.src_id is not None and r.tgt_id is not None:
-            a, b = find(r.src_id), find(r.tgt_id)
-            root[max(a, b)] = min(a, b)
-    found = registry.queries()["connected_components_of_all_edges"](spark, sf).collect()
-    assert len(found) == len(root) and {r.node: r.component for r in found} == {x: find(x) for x in root}
-
-
 def test_splits(spark):
     df = spark.range(30).withColumn("topic", F.pmod("id", F.lit(5)))
     assert sorted(r["count"] for r in federated.iid_split(df, "id", 30, 4).groupBy("client").count().collect()) == [7, 7, 8, 8]
@@ -151,18 +132,6 @@ def test_batch_algebra(spark):
     assert batch.conflicts(df, df.withColumn("v", F.lit(0))).first()["rows_that_differ"] == 4
 
 
-def test_adaptive_kl_of_all_steps(spark):
-    from knotwork.plans import registry
-
-    sf, coef = "/root/testdata/sf0.01", 0.2
-    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_totalprice").collect()
-    found = {r.step: r.coef for r in registry.queries()["adaptive_kl_all_steps"](spark, sf).collect()}
-    assert sorted(found) == list(range(len(orders))) and len(orders) > 200
-    for step, r in enumerate(sorted(orders)):
-        coef *= 1 + max(-0.2, min(0.2, float(r.o_totalprice) / 1e6 / 0.1 - 1)) * 64 / 10000.0
-        assert math.isclose(found[step], coef, rel_tol=1e-9)
-
-
 def test_group_advantage(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "uid string, score double")
     got = {(r.uid, r.score): r.advantage for r in rl.group_advantage(df).collect()}
@@ -184,7 +153,7 @@ def test_transcripts(spark):
     rows = df.select(rewards.format_score(x), text.first_answer(x), text.last_answer(x), text.tool_query(x), rewards.local_format(x)).collect()
     assert list(rows[0]) == [1.0, "a\nb", "a b", "q", 1.0]
     assert list(rows[1]) == [0.0, None, None, None, 0.0]
-    assert rows[2][0] is None and rows[3][3] is None
+    assert rows[2][0] == 0.0 and rows[3][3] is None
 
 
 def test_nan_means(spark):
@@ -193,6 +162,37 @@ def test_nan_means(spark):
     assert got["m"] == 1.0 and math.isnan(got["n"])
 
 
+def differencing(lengths, k, equal):
+    """Largest differencing by its definition: all partial solutions are looked through for the two widest."""
+    order = sorted(range(len(lengths)), key=lambda i: (lengths[i], i))
+    groups = [order[at : at + k] for at in range(0, len(order), k)] if equal else [[i] for i in order]
+    found = [sorted(([lengths[i] if i is not None else 0, 0 if i is None else 1, [] if i is None else [(i, lengths[i])]] for i in g + [None] * (k - len(g))), reverse=True) for g in groups]
+    while len(found) > 1:
+        found.sort(key=lambda s: (s[0][0] - s[-1][0], s[0]), reverse=True)
+        a, b = found[0], found[1]
+        found = [*found[2:], sorted(([x[0] + y[0], x[1] + y[1], x[2] + y[2]] for x, y in zip(a, b[::-1])), reverse=True)]
+    return [sorted(i for i, _ in part[2]) for part in found[0]]
+
+
+def test_balance_by_definition():
+    import random
+
+    draw = random.Random(3)
+    for n in (1, 2, 7, 24, 60):
+        for k in (1, 2, 3, 4):
+            lengths = [draw.choice([1, 2, 3, 5, 50, 100]) for _ in range(n)]
+            assert balance.largest_differencing(lengths, k) == differencing(lengths, k, False)
+            if n % k == 0:
+                assert balance.largest_differencing(lengths, k, True) == differencing(lengths, k, True)
+                loads, sizes, want = [0] * k, [0] * k, [[] for _ in range(k)]
+                for i, x in enumerate(lengths):
+                    j = min(range(k), key=lambda j: (sizes[j], loads[j], j))
+                    want[j].append(i)
+                    loads[j] += x
+                    sizes[j] += 1
+                assert balance.least_loaded(lengths, k, True) == want
+
+
 def test_balance(spark):
     lengths = [9, 8, 7, 6, 5, 4, 3, 2]
     parts = balance.largest_differencing(lengths, 2)
@@ -296,3 +296,163 @@ def test_grading():
     assert grading.same_answer(r"\frac12", r"\frac{1}{2}") and grading.same_answer("0.5", r"\frac{1}{2}") and grading.same_answer(None, None) and not grading.same_answer("1", None)
     assert grading.grade("1,234", "1234") and not grading.grade("3", "3.5") and grading.grade("(1, 2)", "(1,2)") and not grading.grade("(1,2)", "[1,2]")
     assert grading.close_numbers("0.5", "50") and grading.close_numbers("33.333", "33.3333") and not grading.close_numbers("1", "2")
+
+
+def test_format_of_odd_turns(spark):
+    def turn(x):
+        return f"<|im_start|>assistant\n{x}<|im_end|>\n"
+
+    def user(x):
+        return f"<|im_start|>user\n{x}<|im_end|>\n"
+
+    ask, say = "<think>t</think>\n<query>q</query>", "<think>t</think>\n<answer>so 7</answer>"
+    cases = [
+        (turn(say), 0.5, 0.5), (turn("<think>a<think>b</think>\n<answer>x<think>y</answer>"), 0.5, 0.5), (turn("<query>q" + ask) + turn(say), 0.5, 0.5), (turn(ask) + turn(say), 1.0, 0.0),
+        (user("Q") + turn(ask) + user("<knowledge>k</knowledge>") + turn(say), 1.0, 1.0), (user("Q") + turn(ask) + user("<knowledge>an error</knowledge>") + turn(say), 1.0, 0.5), (user("Q") + turn(ask) + user("none") + turn(say), 1.0, 0.5),
+        (turn(say + "\n"), 0.5, 0.5), (turn(say + "\n\n"), 0.0, 0.0), ("", 0.0, 0.0), (None, 0.0, 0.0),
+    ]
+    df = spark.createDataFrame([(k, t, "7") for k, (t, *_) in enumerate(cases)], "k int, t string, truth string")
+    rows = df.orderBy("k").select(rewards.format_score(F.col("t")), rewards.tool_format_score(F.col("t")), rewards.tool_reward(F.col("t"), F.col("truth")), rewards.composite(rewards.format_score(F.col("t")), F.lit(1.0), F.col("t").isNotNull())).collect()
+    assert [(r[0], r[1]) for r in rows] == [c[1:] for c in cases]
+    assert [r[2] for r in rows] == [0.0 if t is None else 1.0 if b == 1.0 else b - 1 for t, _, b in cases]
+    assert [r[3] for r in rows] == [0.0 if t is None else 1.0 if a == 1.0 else a - 1 for t, a, _ in cases]
+
+
+def test_managed_rewards(spark):
+    df = spark.createDataFrame([(1, 0.5, 2, 3), (2, None, 1, 2), (3, float("nan"), 1, 1), (4, 1.0, 0, 0)], "id int, s double, n int, size int")
+    assert [list(r.rewards) for r in rewards.managed(df, F.col("s"), F.col("n"), F.col("size")).orderBy("id").collect()] == [[0.0, 0.5, 0.0], [0.0, 0.0], [0.0], []]
+    given = df.withColumn("rm_scores", F.array(F.lit(9.0)))
+    assert {tuple(r.rewards) for r in rewards.managed(given, F.col("s"), F.col("n"), F.col("size")).collect()} == {(9.0,)}
+
+
+def test_advantages_by_name(spark):
+    tokens = spark.createDataFrame([(r, t, float(t + r), 0.5, int(t < 3), 0.1) for r in range(3) for t in range(200 if r else 1)], "row_id long, t int, reward double, value double, mask int, baseline double")
+    for kind, options in (("gae", {"gamma": 0.9, "lam": 0.8}), ("reinforce_plus_plus", {"gamma": 0.9}), ("remax", {})):
+        out = rl.advantage(tokens, kind, **options)
+        assert {"row_id", "t", "advantage", "ret"} <= set(out.columns) and out.count() == tokens.count()
+    adv, following = {}, {}
+    for r in sorted(tokens.collect(), key=lambda r: (r.row_id, -r.t)):
+        after = following.get(r.row_id, (0.0, 0.0))
+        est = r.reward + 0.9 * after[1] - r.value + 0.72 * after[0]
+        following[r.row_id] = (est, r.value)
+        adv[(r.row_id, r.t)] = est
+    got = {(r.row_id, r.t): r for r in rl.estimated(tokens, 0.9, 0.8).collect()}
+    assert all(math.isclose(got[k].estimate, v, rel_tol=1e-9) and math.isclose(got[k].ret, v + 0.5, rel_tol=1e-9) for k, v in adv.items()) and len(got) == len(adv)
+    with pytest.raises(ValueError):
+        rl.advantage(tokens, "other")
+    assert rl.gae(tokens.limit(0), 0.9, 0.9).count() == 0
+
+
+def test_running_sums(spark):
+    df = spark.createDataFrame([([1, 0, 1] * 50,), ([],), (None,), ([5],)], "m array<int>")
+    rows = [r[0] for r in df.select(batch.running(F.col("m"))).collect()]
+    assert rows[0] == [sum(([1, 0, 1] * 50)[: k + 1]) for k in range(150)] and rows[1:] == [[], None, [5]]
+
+
+def test_parts_of_a_batch(spark):
+    a = spark.range(4).withColumnRenamed("id", "row_id")
+    assert batch.from_parts({"a": a, "b": a.withColumn("x", F.lit(1))}).columns == ["row_id", "x"]
+    with pytest.raises(ValueError, match="b"):
+        batch.from_parts({"a": a, "b": a.limit(2)})
+    with pytest.raises(ValueError):
+        batch.from_parts({})
+    assert batch.union_of({"a": 1, "b": [2]}, {"b": [2], "c": 3}) == {"a": 1, "b": [2], "c": 3}
+    with pytest.raises(ValueError, match="a"):
+        batch.union_of({"a": 1}, {"a": 2})
+
+
+def test_algorithms_and_settings(spark):
+    from knotwork.settings import Settings
+
+    p = spark.createDataFrame([("a", "w", i, float(i), 1) for i in range(10)], "client_id string, param string, idx int, val double, num_samples long")
+    assert {r.idx: r.val for r in federated.train_round(p, "sparse", ratio=0.2).collect()} == {i: float(i) if i > 7 else 0.0 for i in range(10)}
+    with pytest.raises(ValueError, match="dense"):
+        federated.algorithm("other")
+    assert Settings.of({"lora_modules": ["q"], "num_rounds": 2}).lora_modules == ("q",) and Settings().lr == 5e-7
+    for wrong in ({"adv_estimator": "x"}, {"client_frac": 0.0}, {"nothing": 1}):
+        with pytest.raises(ValueError):
+            Settings.of(wrong)
+
+
+def test_documents_and_metrics(spark, tmp_path):
+    rows = spark.createDataFrame([("b", 'é "x"', 1.5), ("a", None, 2.0)], "k string, s string, v double")
+    docs.write_json_document(rows, str(tmp_path / "doc"), "k", ["s", "v"])
+    import glob
+    import json
+
+    text = "".join(open(f, encoding="utf-8").read() for f in glob.glob(str(tmp_path / "doc" / "part-*")))
+    assert text.rstrip("\n") == json.dumps({"a": {"s": None, "v": 2.0}, "b": {"s": 'é "x"', "v": 1.5}}, indent=2, ensure_ascii=False)
+    assert [(r.key, r.s, r.v) for r in docs.read_json_document(spark, str(tmp_path / "doc"), "s string, v double").orderBy("key").collect()] == [("a", None, 2.0), ("b", 'é "x"', 1.5)]
+    for step, value in ((1, 0.5), (2, 0.25), (2, 0.125)):
+        docs.write_metrics({"loss": value, "name": "x"}, str(tmp_path / "metrics"), step, spark)
+    assert sorted((r.step, r.metric, r.value) for r in spark.read.parquet(str(tmp_path / "metrics")).collect()) == [(1, "loss", 0.5), (2, "loss", 0.125)]
+    assert docs.log_line({"loss": 0.25, "name": "x", "n": 3}, 4) == "step:4 - loss:0.250 - n:3.000"
+    (tmp_path / "s.txt").write_text("one \n\ntwo\u00a0\n")
+    assert [r.sentence for r in docs.read_sentences(spark, str(tmp_path / "s.txt")).collect()] == ["one", "", "two"]
+
+
+def test_downlink_only_of_a_changed_graph(spark, tmp_path):
+    sent, clients = [], spark.createDataFrame([(f"c{i}",) for i in range(4)], "client_id string")
+    store = rounds.GraphStore(spark, str(tmp_path), whole=2)
+    sizes = [2, 3, 0, 0, 4]
+    history = rounds.run_rounds(store, 5, lambda r, names: record_frames(spark, r, sizes[r]), clients, 0.5, lambda r, g: sent.append((r, g[0].count())), lambda r, g: {"val/n": g[0].count()}, 2)
+    assert [h["downlink"] for h in history] == ["none", "sent", "sent", "skipped", "skipped"] and [r for r, _ in sent] == [1, 2]
+    assert [h.get("val/n") for h in history] == [3, None, 4, None, 5] and [h["init"] for h in history] == [True, False, False, False, False]
+    assert all(len(h["clients"]) == 2 for h in history) and [h["new_num_entities"] for h in history] == [2, 3, 3, 3, 4]
+
+
+def test_search_without_a_graph(spark):
+    q = spark.createDataFrame([(1,), (1,)], "query_id long")
+    assert [tuple(r) for r in vector.without_index(q, False, False).collect()] == [(1, "<knowledge>Knowledge graph not yet loaded.</knowledge>")]
+    assert vector.without_index(q, True, False).first()[1] == "<knowledge>Embedding model not available.</knowledge>"
+    with pytest.raises(ValueError):
+        vector.without_index(q, True, True)
+
+
+def test_cells_find_nine_of_ten(spark):
+    from knotwork.plans import registry
+
+    sf = "/root/testdata/sf0.1"
+    exact, found = ({(r.query_id, r.vec_id) for r in registry.queries()[name](spark, sf).collect()} for name in ("vector_topk", "cell_search"))
+    assert len(exact & found) >= 0.9 * len(exact) and len(exact) == len(found)
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    centres = vector.fit_cells(v, 8)
+    assert vector.in_cells(v, centres, 1).count() == v.count()
+    every = {(r.vec_a, r.vec_b) for r in vector.neighbour_pairs(v.filter("vec_id < 200"), 0.35).collect()}
+    assert every == {(r.vec_a, r.vec_b) for r in vector.neighbour_pairs(v.filter("vec_id < 200"), 0.35, centres=centres, probes=8).collect()}
+
+
+def test_numbers_of_wide_rows(spark):
+    df = spark.range(50_000).select(F.xxhash64("id").alias("k"), F.col("id").cast("string").alias("x"), F.lit("y" * 50).alias("z"))
+    rows = records.numbered(df, "k").orderBy("k").select("pos").collect()
+    assert [r.pos for r in rows] == list(range(50_000))
+
+
+def test_sparsify_of_one_large_tensor(spark):
+    p = spark.range(20_000).select(F.lit("a").alias("client_id"), F.lit("w").alias("param"), F.col("id").cast("int").alias("idx"), (F.pmod(F.xxhash64("id"), F.lit(1000)) - 500).cast("double").alias("val"), F.lit(1).alias("num_samples"))
+    values = sorted((abs(r.val) for r in p.collect()), reverse=True)
+    kept = [abs(r.val) for r in federated.sparsify(p, 0.05).filter("val <> 0").collect()]
+    assert sorted(kept, reverse=True) == [v for v in values if v >= values[999]]
+
+
+@pytest.mark.parametrize("a, b, right", [
+    (r"\frac12", "0.5", True), (r"\text{ 5 }", "5", True), (r"x=\sqrt3", r"\sqrt{3}", True), ("2/4", "1/2", False), ("007/2", r"\frac{007}{2}", True), ("5 million", "5*10^6", True), ("", "0", False), (None, "1", False),
+    ("1,000,000", "1000000", True), ("(1,2)", "[1,2]", False), ("3+4", "7", False), ("1.5", "3/2", True), ("2^{3}", "8", False), (r"\sqrt", r"\sqrt", True),
+])
+def test_grade(a, b, right):
+    assert grading.grade(a, b) is right
+
+
+@pytest.mark.parametrize("a, b, right", [
+    ("50%", "0.5", True), ("101_2", "101", True), (r"2\pi", "6.2832", True), ("Interval.open(1, 2)", "(1,2)", True), ("Point(1)", "(1)", True), ("Point(1, 2)", "(1, 2)", False), ("1, 2", "2, 1", False), ("{1}", "1", True), ("3*4", "12.0", True), ("a", "b", False), ("", "1", False),
+])
+def test_same_math(a, b, right):
+    assert grading.same_math(a, b) is right
+
+
+def test_found_answer():
+    assert grading.found_answer("So. The answer is: 42") == (True, "42") and grading.found_answer("I think 7 is the answer") == (True, "I think 7")
+    assert grading.found_answer(r"hence \fbox{3} and \boxed{x^{2}}") == (True, "x^{2}") and grading.found_answer("none") == (False, "none") and grading.found_answer("") == (False, "")
+    assert grading.judged(r"\boxed{3\pi}", "9.42") == (True, False, r"3\pi") and grading.judged(None, "1") == (False, False, "None")
+    assert grading.last_boxed(r"\fbox{1} \boxed{2}") == r"\boxed{2}" and grading.last_boxed(r"\boxed{2} \fbox{1}") == r"\boxed{2}"
+    assert not grading.may_be_worked_out("abc") and not grading.may_be_worked_out("2^100") and grading.may_be_worked_out("x+y")
