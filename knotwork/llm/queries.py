@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.llm import answers, bpe, mixing, mojibake, names, near_duplicates, splitting, survivors
-from knotwork.session import cut
+from knotwork.session import cut, few
 from knotwork.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,7 +66,8 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, folder, "mix_targets")
-    named = table(spark, folder, "documents").select("doc_id", "source", "text").join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
+    sources = targets.select("source").distinct()
+    named = table(spark, folder, "documents").select("doc_id", "source", "text").join(F.broadcast(sources) if few(sources, 128) else sources, "source", "left_semi")
     sized = cut(bpe.count_tokens(named.select("doc_id", F.array("source").alias("sources"), "text"), "text", "tokens"))
     return mixing.mix(sized, targets)
 

@@ -281,11 +281,53 @@ def test_mix_holds_shares_and_caps(spark):
     assert empty.count() == 0 and none.count() == 4
 
 
-def test_overlapping_sources_go_where_they_are_needed():
-    routes = mixing.solve({("a",): 100, ("a", "b"): 100}, {"a": (0.5, 1), "b": (0.5, 1)})
+def test_overlapping_sources_go_where_they_are_needed(spark):
+    routes = mixing.solve({("a",): (100, 10), ("a", "b"): (100, 10)}, {"a": (0.5, 1), "b": (0.5, 1)})
     assert routes == {(("a",), "a"): 100, (("a", "b"), "b"): 100}
-    assert mixing.solve({}, {"a": (1.0, 1)}) == {} and mixing.solve({("a",): 5}, {"a": (0.0, 1)}) == {}
-    assert sum(mixing.solve({("a",): 10, ("b",): 30}, {"a": (0.5, 3), "b": (0.5, 1)}).values()) == 60
+    assert mixing.solve({}, {"a": (1.0, 1)}) == {} and mixing.solve({("a",): (5, 1)}, {"a": (0.0, 1)}) == {}
+    assert sum(mixing.solve({("a",): (10, 10), ("b",): (30, 30)}, {"a": (0.5, 3), "b": (0.5, 1)}).values()) == 60
+    random.seed(8)
+    rows = [(i, s, 10) for i in range(3000) for s in [[["a"], ["a", "b"], ["b", "c", "x"]][i % 3]]]
+    docs = spark.createDataFrame(rows, "doc_id long, sources array<string>, tokens long")
+    targets = spark.createDataFrame([("m", "a", 0.4, 1), ("m", "b", 0.3, 1), ("m", "c", 0.3, 1), ("n", "x", 0.5, 2), ("n", "a", 0.5, 1)], "mix_name string, source string, target_share double, max_repeats int")
+    selection, shares = mixing.mix(docs, targets)
+    assert all(abs(r.deviation) < 0.01 for r in shares.collect())
+    where, used = {r[0]: set(r[1]) for r in rows}, {}
+    for r in selection.collect():
+        assert r.source in where[r.doc_id]
+        used[(r.mix_name, r.doc_id)] = used.get((r.mix_name, r.doc_id), 0) + r.uses
+    assert max(n for (m, _), n in used.items() if m == "m") == 1 and max(used.values()) <= 2
+    assert sum(1 for m, _ in used if m == "m") > 2500
+
+
+def test_a_scarce_source_does_not_shrink_the_mix(spark):
+    rows = [(i, ["a"], 100) for i in range(100)] + [(1000 + i, ["b"], 100) for i in range(100)] + [(5000, ["c"], 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, sources array<string>, tokens long")
+    targets = spark.createDataFrame([("m", "a", 0.4, 1), ("m", "b", 0.4, 1), ("m", "c", 0.2, 2)], "mix_name string, source string, target_share double, max_repeats int")
+    _, shares = mixing.mix(docs, targets)
+    got = {r.source: r for r in shares.collect()}
+    assert [got[s].tokens for s in "abc"] == [10_000, 10_000, 14]
+    assert got["a"].total_deviation == pytest.approx(sum(abs(r.actual_share - r.target_share) for r in got.values())) and got["a"].deviation == pytest.approx(got["a"].actual_share - 0.4)
+    _, shares = mixing.mix(docs, targets, total=1000)
+    assert [r.tokens for r in shares.orderBy("source").collect()] == [400, 400, 14]
+
+
+def test_many_mixes_and_many_sources(spark):
+    targets = spark.range(100_000).select((F.col("id") % 20_000).cast("string").alias("mix_name"), F.concat(F.lit("s"), (F.col("id") % 50).cast("string")).alias("source"), F.lit(0.2).alias("target_share"), F.lit(1).alias("max_repeats"))
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.array(F.concat(F.lit("s"), (F.col("id") % 50).cast("string"))).alias("sources"), F.lit(10).alias("tokens"))
+    _, shares = mixing.mix(docs, targets)
+    assert shares.count() == targets.select("mix_name", "source").distinct().count() and shares.filter("documents = 0").count() == 0
+    one = mixing.solve({(f"s{i}",): (100, 10) for i in range(30_000)}, {f"s{i}": (1 / 30_000, 1) for i in range(30_000)})
+    assert len(one) == 30_000 and set(one.values()) == {100}
+
+
+def test_targets_with_holes(spark):
+    docs = spark.createDataFrame([(1, ["a", None, "a"], 10), (None, ["a"], 10), (2, [], 10), (3, ["a"], None)], "doc_id long, sources array<string>, tokens long").withColumn("source", F.lit("clash"))
+    nan = float("nan")
+    targets = spark.createDataFrame([("m", "a", 1.0, 3), ("m", "a", 0.5, 1), ("m", "b", nan, 2), ("m", "c", None, None), (None, "a", 1.0, 1), ("n", None, 1.0, 1)], "mix_name string, source string, target_share double, max_repeats int")
+    selection, shares = mixing.mix(docs, targets)
+    assert [tuple(r) for r in selection.collect()] == [("m", "a", 1, 3)] and sorted(r.source for r in shares.collect()) == ["a", "b", "c"]
+    assert mixing.mix(docs, targets.limit(0))[1].count() == 0
 
 
 # 8: garbled text
