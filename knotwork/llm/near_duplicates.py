@@ -2,14 +2,16 @@
 
 Similarity is shared / all distinct shingles of two records, at least ``threshold``. Of two sets of n and m shingles that
 reach it, at most r = (1 - t) / (1 + t) * (n + m) shingles belong to only one; that number is the Hamming distance of the
-sets as bit vectors. Each set is folded into a fingerprint of ``SKETCH_BITS`` bits by parity, which never increases a
-Hamming distance. A *pivot table* holds each fingerprint's distances to ``PIVOTS`` reference fingerprints; by the triangle
-inequality a pair with a coordinate difference above r, or with fingerprints further apart than r, can't reach the
-threshold. What survives is verified on the shingle sets.
+sets as bit vectors. Each set is folded into a fingerprint by parity, which never increases a Hamming distance. A *pivot
+table* holds the distances of a fingerprint to ``PIVOTS`` reference fingerprints, block by block of 64 bits; the references
+are drawn by a seed and the same for all data. By the triangle inequality the distance of two records within a block is at
+least their largest coordinate difference there, and of c blocks one must be within r / c if the pair is within r. A pair
+is discarded if at some coarseness no block is: whole fingerprints tell small sets apart, fine blocks large ones. What
+survives is held against the direct distance of the fingerprints, and then verified on the shingle sets.
 
-Coordinates of unrelated records lie close together in so many dimensions, so pairs to hold against the table can't come
-from the coordinates alone: they come from an inverted index over the rarest shingles of each set (two sets that reach the
-threshold share at least ``SHARED`` of these), which loses no pair either.
+Pairs to hold against the tables come from an inverted index over the rarest shingles of each set (two sets that reach the
+threshold share at least ``SHARED`` of these), which loses no pair; holding all pairs of records against the tables would
+grow as their square.
 
 Records with equal sets form a class and take part once, so that a group of copies costs one record.
 """
@@ -30,14 +32,15 @@ from pyspark.sql import functions as F
 from knotwork.llm.common import spread
 from knotwork.session import cut, few
 
-SKETCH_BITS = 2048
-#: Reference fingerprints: of the records with the least keys. Any choice gives the same pairs.
-PIVOTS = 64
+#: Reference fingerprints, and the fewest and most blocks of a fingerprint; any choice gives the same pairs.
+PIVOTS, LEAST_BLOCKS, MOST_BLOCKS = 16, 8, 4096
 #: Shingles that two similar sets have in common among their rarest.
 SHARED = 4
 #: Cells of the table of shingle counts that orders shingles by rarity, and cells of a block of it; the size doesn't grow
 #: with the data.
 CELLS, BLOCK = 1 << 18, 1 << 10
+#: Records with a shingle from which on its pairs are made in parts of so many.
+HOT = 20_000
 #: Characters that are hashed at one go; a longer record is a go by itself.
 AT_ONCE = 1 << 21
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -113,10 +116,40 @@ def row_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
         row = end
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The set folded into ``SKETCH_BITS`` bits by parity, as 64-bit numbers."""
-    bits = np.bincount((hashes & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def blocks_of(n: int) -> int:
+    """Blocks of the fingerprints by which a set of ``n`` shingles is held against larger ones: four to eight shingles each."""
+    return min(MOST_BLOCKS, max(LEAST_BLOCKS, 1 << max(0, (n // 4).bit_length() - 1)))
+
+
+@lru_cache(None)
+def references(blocks: int) -> np.ndarray:
+    """The reference fingerprints: pivots x blocks."""
+    return np.random.Generator(np.random.PCG64(blocks)).integers(0, 1 << 64, (PIVOTS, blocks), np.uint64)
+
+
+def sketch(hashes: np.ndarray, blocks: int) -> np.ndarray:
+    """The set folded by parity into blocks of 64 bits."""
+    bits = np.bincount((hashes & np.uint64(64 * blocks - 1)).astype(np.int64), minlength=64 * blocks) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def coordinates(fingerprint: np.ndarray) -> np.ndarray:
+    """Distances of a fingerprint's blocks to those of the references: pivots x blocks."""
+    return np.bitwise_count(references(len(fingerprint)) ^ fingerprint)
+
+
+def within_tables(a: np.ndarray, b: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Whether pairs may be within their radius, as far as their coordinates (pairs x pivots x blocks) tell."""
+    kept = np.ones(len(a), bool)
+    off = a.astype(np.int32) - b
+    while kept.any():
+        blocks = off.shape[2]
+        least = np.abs(off).max(axis=1).min(axis=1)  # of the largest differences of the blocks the least
+        kept &= least <= np.floor(radius / blocks)
+        if blocks == 1:
+            break
+        off = off[:, :, 0::2] + off[:, :, 1::2]
+    return kept
 
 
 def _lists(rows: list[np.ndarray], kind: str) -> pa.ListArray:
@@ -159,13 +192,14 @@ def _sum_blocks(blocks: pa.Table) -> pa.Table:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], width: int, counts: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
-    """The rarest shingles of each set; of equal sets in a partition only once. Of two similar sets the larger, of m
+    """The rarest shingles of each set, and in how many parts the pairs of each are to be made; of equal sets in a partition
+    only once. Of two similar sets the larger, of m
     shingles, has all but ``threshold * m`` of its own in common with the other, the smaller all but a share that is
     smaller still: the last bit of ``m`` marks the shingles that count when the set is the smaller one, the rest is the
     size."""
     seen: set[int] = set()
     for batch in batches:
-        keys, tokens, sizes = [], [], []
+        keys, tokens, sizes, parts = [], [], [], []
         for hashes in row_sets(batch.column(0), width):
             size = len(hashes)
             if not size or (key := _key(hashes)) in seen:
@@ -177,92 +211,136 @@ def _prefixes(batches: Iterator[pa.RecordBatch], width: int, counts: np.ndarray,
             low = min(take, size - math.ceil(2 * threshold / (1 + threshold) * size - 1e-9) + share)
             load = counts[(hashes & np.uint64(CELLS - 1)).astype(np.int64)]
             # Of shingles of one load the order is by hash; it must be the same for all sets.
-            rarest = hashes[np.lexsort((hashes, load))[:take]]
-            tokens.append(rarest.view(np.int64))
+            first = np.lexsort((hashes, load))[:take]
+            tokens.append(hashes[first].view(np.int64))
+            parts.append(1 + load[first] // HOT)
             keys.append(np.full(take, key))
             sizes.append(np.where(np.arange(take) < low, 2 * size + 1, 2 * size))
-        columns = [np.concatenate(x).astype(kind) if x else np.empty(0, kind) for x, kind in ((tokens, np.int64), (keys, np.int64), (sizes, np.int32))]
-        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["token", "key", "m"])
+        columns = [np.concatenate(x).astype(kind) if x else np.empty(0, kind) for x, kind in ((tokens, np.int64), (keys, np.int64), (sizes, np.int32), (parts, np.int32))]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["token", "key", "m", "parts"])
 
 
-def _tables(batches: Iterator[pa.RecordBatch], width: int, pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Key, size, pivot distances, fingerprint and shingles (32 bits of each are enough to tell those of two sets)."""
+def _tables(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Key, and by number of blocks the fingerprint and its coordinates."""
+    for batch in batches:
+        rows = []
+        for hashes, wanted in zip(row_sets(batch.column(0), width), batch.column(1).to_pylist()):
+            for blocks in wanted:
+                folded = sketch(hashes, blocks)
+                rows.append((_key(hashes), blocks, folded.tobytes(), coordinates(folded).tobytes()))
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["key", "blocks", "sketch", "far"])
+
+
+def _held(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs with what became of them: 'table' (discarded by the coordinates), 'distance' (by the fingerprints' distance),
+    'kept'."""
+    for batch in batches:
+        blocks, n_a, n_b = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("blocks", "n_a", "n_b"))
+        radius = (1 - threshold) / (1 + threshold) * (n_a + n_b) + 1e-9
+        outcome = np.empty(batch.num_rows, object)
+        blobs = {c: batch.column(batch.schema.get_field_index(c)) for c in ("far_a", "far_b", "sketch_a", "sketch_b")}
+        for size in np.unique(blocks):
+            # As many pairs at a time as coordinates fit in some megabytes.
+            here = np.flatnonzero(blocks == size)
+            for part in np.array_split(here, max(1, len(here) * int(size) * PIVOTS // (1 << 22))):
+                far_a, far_b, sketch_a, sketch_b = (b"".join(blobs[c].take(pa.array(part)).to_pylist()) for c in ("far_a", "far_b", "sketch_a", "sketch_b"))
+                table = within_tables(*(np.frombuffer(x, np.uint8).reshape(len(part), PIVOTS, size) for x in (far_a, far_b)), radius[part])
+                apart = np.bitwise_count(np.bitwise_xor(*(np.frombuffer(x, np.uint64).reshape(len(part), size) for x in (sketch_a, sketch_b)))).sum(axis=1, dtype=np.int64)
+                outcome[part] = np.where(~table, "table", np.where(apart > radius[part], "distance", "kept"))
+        keep = [batch.column(batch.schema.get_field_index(c)) for c in ("key_a", "key_b", "n_a", "n_b")]
+        yield pa.RecordBatch.from_arrays([*keep, pa.array(outcome.tolist(), pa.string())], names=["key_a", "key_b", "n_a", "n_b", "outcome"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = list(row_sets(batch.column(0), width))
-        sketches = [sketch(h) for h in sets]
-        far = [np.bitwise_count(s.view(np.uint64) ^ pivots.view(np.uint64)).sum(axis=1, dtype=np.int16) for s in sketches]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(list(map(_key, sets)), pa.int64()),
-                pa.array(list(map(len, sets)), pa.int32()),
-                _lists(far, "int16"),
-                _lists(sketches, "int64"),
-                _lists([(h >> np.uint64(32)).astype(np.uint32).view(np.int32) for h in sets], "int32"),
-            ],
-            names=["key", "n", "far", "sketch", "hashes"],
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(list(map(_key, sets)), pa.int64()), _lists([h.view(np.int64) for h in sets], "int64")], names=["key", "hashes"])
 
 
 def _of_ids(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose id is wanted; the wanted ids are broadcast only while they are few."""
-    return rows.join(F.broadcast(wanted) if few(wanted, 16) else wanted, "id", "left_semi")
+    """The rows whose id is wanted, with the other columns of ``wanted``, which are broadcast only while they are few."""
+    return rows.join(F.broadcast(wanted) if few(wanted, 64) else wanted, "id")
 
 
-def similar_classes(df: DataFrame, record_id: str, passages: str, width: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Classes of records with equal shingle sets, and all pairs of classes that are similar.
+def _candidates(rows: DataFrame, width: int, threshold: float, counts: np.ndarray) -> DataFrame:
+    """``key_a, key_b, n_a, n_b`` of the pairs of sets that share enough of their rarest shingles; ``n_a`` is the smaller
+    size. A shingle that many records have is joined in parts, so that no task gets all of its pairs."""
+    rarity = rows.sparkSession.sparkContext.broadcast(counts)
+    tokens = spread(rows.select("passages")).mapInArrow(lambda b: _prefixes(b, width, rarity.value, threshold), "token long, key long, m int, parts int").repartition("token").dropDuplicates(["token", "key"])
+    a, b = (tokens.select("token", "parts", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "m"))) for s in "ab")
+    n_a, n_b = F.shiftright("m_a", 1), F.shiftright("m_b", 1)
+    smaller = (n_a < n_b) | (n_a == n_b) & (F.col("key_a") < F.col("key_b"))
+    low = (F.col("m_a").bitwiseAND(1) == 1) | (F.col("m_b") < 0)  # the second never holds; it keeps both sides one exchange
+    least = F.least(F.lit(SHARED), F.ceil(threshold * F.col("n_a") - 1e-9))
+    met = a.join(b.drop("parts"), "token")
+    if counts.max(initial=0) >= HOT:
+        met = a.filter("parts = 1").join(b.filter("parts = 1").drop("parts"), "token")
+        part = F.pmod(F.xxhash64("key_a"), F.col("parts")).cast("int")
+        dealt, copied = a.filter("parts > 1").withColumn("part", part), b.filter("parts > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        met = met.unionByName(dealt.join(copied.drop("parts"), ["token", "part"]).drop("part"))
+    return (
+        met.filter(smaller & low & (n_a >= threshold * n_b - 1e-9))
+        .groupBy("key_a", "key_b")
+        .agg(F.count("*").alias("shared"), F.first(n_a).alias("n_a"), F.first(n_b).alias("n_b"))
+        .filter(F.col("shared") >= least)
+        .select("key_a", "key_b", "n_a", "n_b")
+    )
 
-    The first frame (``id, key``) has each record that has a shingle; the second (``key_a, key_b, similarity``, with
-    ``key_a < key_b``) each pair of classes whose similarity is at least ``threshold``. Records without a shingle (NULL,
-    empty or too short passages) are similar to none and in neither; so are records with a NULL id. Equal rows fall into
-    one class. An empty table gives two empty frames. ``passages`` is an array of strings; other columns are not read.
 
-    The shingle sets, which are larger than the texts, are never stored or shuffled: they are computed anew, from whole
-    texts, by each of three passes (keys and counts; rarest shingles; tables of the records that are left as candidates).
-    """
-    spark = df.sparkSession
+def held_pairs(df: DataFrame, record_id: str, passages: str, width: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The records' classes (``id, key``), the candidate pairs of classes with what the pivot tables made of them (``key_a,
+    key_b, n_a, n_b, outcome``: 'table', 'distance' or 'kept'), and a record of each class that is in a candidate (``key,
+    id``)."""
     rows = df.select(F.col(record_id).cast("long").alias("id"), F.col(passages).alias("passages")).filter("id is not null")
     first = cut(spread(rows).mapInArrow(lambda b: _first_pass(b, width), "block int, id long, key long, n int, counts binary"))
     members = first.filter("block is null").select("id", "key")
     counts = np.zeros(CELLS, np.int64)
     for r in first.filter("block is not null").select("block", "counts").groupBy("block").applyInArrow(_sum_blocks, "block int, counts binary").collect():
         counts[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, "<i8")
-    rarity = spark.sparkContext.broadcast(counts)
+    power = F.expr(f"int(greatest({LEAST_BLOCKS}, least({MOST_BLOCKS}, shiftleft(1, greatest(0, length(bin(n_a div 4)) - 1)))))")
+    pairs = cut(_candidates(rows, width, threshold, counts).withColumn("blocks", power))
 
-    tokens = spread(rows.select("passages")).mapInArrow(lambda b: _prefixes(b, width, rarity.value, threshold), "token long, key long, m int").repartition("token").dropDuplicates(["token", "key"])
-    a, b = (tokens.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "m"))) for s in "ab")
-    n_a, n_b = F.shiftright("m_a", 1), F.shiftright("m_b", 1)
-    smaller = (n_a < n_b) | (n_a == n_b) & (F.col("key_a") < F.col("key_b"))
-    low = (F.col("m_a").bitwiseAND(1) == 1) | (F.col("m_b") < 0)  # the second never holds; it keeps both sides one exchange
-    least = F.least(F.lit(SHARED), F.ceil(threshold * F.col("n_a") - 1e-9))
-    pairs = cut(
-        a.join(b, "token")
-        .filter(smaller & low & (n_a >= threshold * n_b - 1e-9))
-        .groupBy("key_a", "key_b")
-        .agg(F.count("*").alias("shared"), F.first(n_a).alias("n_a"))
-        .filter(F.col("shared") >= least)
-        .select("key_a", "key_b")
-    )
+    wanted = pairs.select(F.explode(F.array("key_a", "key_b")).alias("key"), "blocks").groupBy("key").agg(F.collect_set("blocks").alias("wanted"))
+    one = cut(members.join(wanted, "key").groupBy("key", "wanted").agg(F.min("id").alias("id")))
+    tables = _of_ids(spread(rows), one.select("id", "wanted")).select("passages", "wanted").mapInArrow(lambda x: _tables(x, width), "key long, blocks int, sketch binary, far binary")
+    held = pairs
+    for side in "ab":
+        held = held.join(tables.select("blocks", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "sketch", "far"))), [f"key_{side}", "blocks"])
+    held = held.select("key_a", "key_b", "n_a", "n_b", "blocks", "far_a", "far_b", "sketch_a", "sketch_b")
+    return members, held.mapInArrow(lambda x: _held(x, threshold), "key_a long, key_b long, n_a int, n_b int, outcome string"), one
 
-    keys = pairs.select(F.col("key_a").alias("key")).union(pairs.select(F.col("key_b").alias("key"))).distinct()
-    one = cut(members.join(keys, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")))
-    firsts = [r.id for r in one.orderBy("key").limit(PIVOTS).collect()]
-    sample = rows.filter(F.col("id").isin(firsts)).select("id", "passages").toArrow() if firsts else None
-    pivots = np.stack([sketch(h) for h in row_sets(sample.column("passages").combine_chunks(), width)][:PIVOTS] if firsts else [np.zeros(SKETCH_BITS // 64, np.int64)])
-    reference = spark.sparkContext.broadcast(pivots)
-    tables = _of_ids(spread(rows), one.select("id")).select("passages").mapInArrow(
-        lambda x: _tables(x, width, reference.value), "key long, n int, far array<short>, sketch array<long>, hashes array<int>"
-    )
+
+def similar_classes(df: DataFrame, record_id: str, passages: str, width: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Classes of records with equal shingle sets, and all pairs of classes that are similar.
+
+    The first frame (``id, key``) has each record that has a shingle; the second (``key_a, key_b, similarity``, with
+    ``key_a < key_b``) each pair of classes whose similarity is at least ``threshold``. Records without a shingle (NULL,
+    empty or too short passages) are similar to none and in neither; so are records with a NULL id. Equal rows fall into
+    one class. An empty table gives two empty frames. ``passages`` is an array of strings; other columns are not read.
+
+    Whole texts are read by each of four passes (keys and counts; rarest shingles; fingerprints and tables of the records
+    in candidates; shingle sets of the records in pairs that the tables left). The shingle sets, which are larger than the
+    texts, are made anew by each; only those of the last pass are shuffled. Shingles are 64-bit hashes throughout.
+    """
+    rows = df.select(F.col(record_id).cast("long").alias("id"), F.col(passages).alias("passages")).filter("id is not null")
+    members, held, one = held_pairs(df, record_id, passages, width, threshold)
+    pairs = cut(held.filter("outcome = 'kept'").select("key_a", "key_b", "n_a", "n_b"))
+    left = pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct().join(one.select("key", "id"), "key").select("id")
+    sets = _of_ids(spread(rows), cut(left)).select("passages").mapInArrow(lambda x: _sets(x, width), "key long, hashes array<long>")
     for side in "ab":
-        pairs = pairs.join(tables.select(*(F.col(c).alias(f"{c}_{side}") for c in tables.columns)), f"key_{side}")
-    radius = (1 - threshold) / (1 + threshold) * (F.col("n_a") + F.col("n_b")) + 1e-9
-    coordinate = F.array_max(F.zip_with("far_a", "far_b", lambda x, y: F.abs(x - y)))
-    direct = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    both = F.size(F.array_intersect("hashes_a", "hashes_b"))
-    pairs = pairs.filter(coordinate <= radius).filter(direct <= radius).withColumn("both", both)
+        pairs = pairs.join(sets.select(*(F.col(c).alias(f"{c}_{side}") for c in sets.columns)), f"key_{side}")
+    pairs = pairs.withColumn("both", F.size(F.array_intersect("hashes_a", "hashes_b")))
     pairs = pairs.withColumn("similarity", F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).filter(F.col("similarity") >= threshold - 1e-12)
     return members, pairs.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), "similarity")
 
 
+def pruning(df: DataFrame, record_id: str, passages: str, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``outcome, pairs``: how many candidates the pivot tables discard, how many more the fingerprints' distance does, and
+    how many are left to verify."""
+    return held_pairs(df, record_id, passages, width, threshold)[1].groupBy("outcome").agg(F.count("*").alias("pairs"))
+
+
 def similar_pairs(df: DataFrame, record_id: str, passages: str, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """All pairs ``id_a < id_b`` of records whose similarity is at least ``threshold``: ``similar_classes`` with classes
     put out record by record. It is as long as there are pairs; use ``similar_classes`` where copies abound."""

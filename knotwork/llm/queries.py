@@ -52,6 +52,10 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("result_id_a"), F.col("id_b").alias("result_id_b"))
 
 
+def p4_pruning(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.pruning(table(spark, folder, "results_step"), "result_id", "context", 3, 0.7)
+
+
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_passages(table(spark, folder, "results_step"), 1600, 160)
 

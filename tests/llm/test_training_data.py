@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -218,6 +219,30 @@ def test_copies_are_one_class(spark):
     assert members.count() == 41 and members.select("key").distinct().count() == 2 and pairs.count() == 1
 
 
+@pytest.mark.parametrize("size", [40, 100, 300, 1000, 3000])
+def test_tables_discard_unrelated_pairs_and_no_near_one(size):
+    draw = np.random.Generator(np.random.PCG64(size))
+    blocks = near_duplicates.blocks_of(size)
+    sets = draw.integers(0, 1 << 64, (80, size), np.uint64)
+    near = sets.copy()
+    change = int(0.17 * size)  # the similarity stays above 0.7
+    near[:, :change] = draw.integers(0, 1 << 64, (80, change), np.uint64)
+    far, other = (np.stack([near_duplicates.coordinates(near_duplicates.sketch(x, blocks)) for x in y]) for y in (sets, near))
+    radius = np.full(80, 0.3 / 1.7 * 2 * size)
+    assert near_duplicates.within_tables(far, other, radius).all()
+    discarded = 1 - near_duplicates.within_tables(far, np.roll(far, 1, axis=0), radius).mean()
+    assert discarded > (0.9 if size < 3000 else 0.5)
+
+
+def test_hot_shingles_are_joined_in_parts(spark, monkeypatch):
+    random.seed(12)
+    common = " ".join(f"c{i}" for i in range(30))
+    rows = [(i, [common + " " + " ".join(random.choice("abcdef") + str(random.randint(0, 9)) for _ in range(random.choice([3, 6, 12])))]) for i in range(60)]
+    df = spark.createDataFrame(rows, "result_id long, context array<string>")
+    monkeypatch.setattr(near_duplicates, "HOT", 7)
+    assert {tuple(r) for r in near_duplicates.similar_pairs(df, "result_id", "context", 3, 0.7).collect()} == brute_pairs(rows, 3, 0.7)
+
+
 # 5: splitting
 
 def test_pieces_give_the_text_back(spark):
