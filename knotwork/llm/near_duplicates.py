@@ -33,7 +33,7 @@ from knotwork.llm.common import spread
 from knotwork.session import cut, few
 
 #: Reference fingerprints, and the fewest and most blocks of a fingerprint; any choice gives the same pairs.
-PIVOTS, LEAST_BLOCKS, MOST_BLOCKS = 16, 8, 4096
+PIVOTS, LEAST_BLOCKS, MOST_BLOCKS = 32, 8, 4096
 #: Shingles that two similar sets have in common among their rarest.
 SHARED = 4
 #: Cells of the table of shingle counts that orders shingles by rarity, and cells of a block of it; the size doesn't grow

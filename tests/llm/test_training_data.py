@@ -231,7 +231,7 @@ def test_tables_discard_unrelated_pairs_and_no_near_one(size):
     radius = np.full(80, 0.3 / 1.7 * 2 * size)
     assert near_duplicates.within_tables(far, other, radius).all()
     discarded = 1 - near_duplicates.within_tables(far, np.roll(far, 1, axis=0), radius).mean()
-    assert discarded > (0.9 if size < 3000 else 0.5)
+    assert discarded > 0.9
 
 
 def test_hot_shingles_are_joined_in_parts(spark, monkeypatch):
