@@ -11,6 +11,7 @@ taken. U+FFFD marks bytes that were lost in decoding: found, not restorable.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from knotwork.llm.answers import WORDS_OF, tokens
 from knotwork.llm.common import spread
 
 # Code pages that UTF-8 is misread as, and (wrong, right) pairs of single-byte code pages.
@@ -31,13 +33,10 @@ LATIN_PAIRS = (
     ("cp437", "cp1250"), ("cp850", "cp1250"), ("cp1251", "cp1250"),
 )
 CYRILLIC_PAIRS = (("cp1252", "cp1251"), ("cp1252", "koi8_r"), ("cp1252", "cp866"), ("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp1251", "cp866"), ("mac_roman", "cp1251"))
-#: Words of which a sentence has two when it speaks about characters: what it quotes is no garbled text.
-ABOUT_CHARACTERS = regex.compile(
-    r"\b(?:handbook|manual|explains?|signs?|pairs?|sequences?|quotes?|quoted|code|page|reading|fault|reject|misread|characters?|encodings?|"
-    r"bytes|letters?|prints?|example|mojibake|decod\w+|correct)\b",
-    regex.IGNORECASE,
-)
-ROUNDS = 5
+# Letters beyond ASCII that are words by themselves, by language; and quotation marks that don't stand between
+# spaces.
+ONE_LETTER_WORDS = {"fr": "àÀ", "es": "óáéÓ", "pt": "éàóÉÀ", "it": "èàòÈÀ", "sv": "åöÅ", "lt": "į", "ru": "яЯиИвВоОуУсСкКаА"}
+QUOTES = "“”‘’‚„"
 
 
 @lru_cache(None)
@@ -73,16 +72,20 @@ _PART = regex.compile(r"[^ \t\r\n\xa0]+")
 
 
 @lru_cache(None)
-def _lead_and_more() -> regex.Pattern:
-    """Any lead byte's character before any continuation byte's, in any of the code pages: text without one is sound as
-    far as UTF-8 goes."""
-    options = []
-    for codec in READ_AS:
-        back = _bytes_of(codec)
-        lead = "".join(regex.escape(c) for c, b in back.items() if 0xC2 <= b <= 0xF4)
-        more = "".join(regex.escape(c) for c, b in back.items() if b <= 0xBF)
-        options.append(f"[{lead}][{more}]")
-    return regex.compile("|".join(options))
+def _pair(codec: str) -> re.Pattern:
+    """A lead byte's character before a continuation byte's in a code page: text without one is sound as far as UTF-8 read
+    through it goes."""
+    back = _bytes_of(codec)
+    lead = "".join(re.escape(c) for c, b in back.items() if 0xC2 <= b <= 0xF4)
+    more = "".join(re.escape(c) for c, b in back.items() if b <= 0xBF)
+    return re.compile(f"[{lead}][{more}]")
+
+
+@lru_cache(1)
+def _lead_and_more() -> re.Pattern:
+    """The like in any of the code pages, and perhaps more: a lead's character of one before a continuation's of another."""
+    sides = ["".join(sorted({c for codec in READ_AS for c, b in _bytes_of(codec).items() if low <= b <= high})) for low, high in ((0xC2, 0xF4), (0x80, 0xBF))]
+    return re.compile("".join(f"[{re.escape(x)}]" for x in sides))
 
 
 _BOX = regex.compile("[\u2500-\u259f]+")
@@ -124,6 +127,8 @@ def _utf8_round(text: str) -> tuple[str, str, int] | None:
     if not _lead_and_more().search(text):
         return None
     for codec in READ_AS:
+        if not _pair(codec).search(text):
+            continue
         back = _bytes_of(codec)
         parts, last, covered, fit, spans = [], 0, 0, 0, []
         for run in _HIGH.finditer(text):
@@ -292,38 +297,72 @@ def _latin_round(text: str) -> tuple[str, str, int] | None:
     return (fixed, f"{right} as {wrong}", best[0]) if fixed != text else None
 
 
-_TOKEN = regex.compile(r"(?<!\S)[\"'“‘«(\[]*[^\x00-\x7f]+[\"'”’»)\].,;:]*(?!\S)")
+_TOKEN = regex.compile(r"(?<!\S)[\"'“‘«(\[]*([^\x00-\x7f]+?)[\"'”’»)\].,;:]*(?!\S)")
 _SENTENCE = regex.compile(r"[^\n.!?。]*(?:[.!?。](?!\s)[^\n.!?。]*)*[.!?。]?")
+#: The character that stands in for what is quoted while the rest is restored: a private one, which no code page has.
+_STAND_IN = 0xF0000
+_STAND_INS = regex.compile(chr(_STAND_IN))
 
 
-def _without_quoted(text: str) -> str:
-    """The text without what its sentences about characters quote."""
-    if len(ABOUT_CHARACTERS.findall(text)) < 2:
-        return text
-
-    def sentence(m: regex.Match) -> str:
-        s = m.group()
-        if s and not s.isascii() and len(set(x.lower() for x in ABOUT_CHARACTERS.findall(s))) >= 2:
-            return _TOKEN.sub(lambda t: " " * len(t.group()), s)
-        return s
-
-    return _SENTENCE.sub(sentence, text)
+@lru_cache(4096)
+def _meant(token: str) -> str:
+    """What a token says once it is decoded to the end."""
+    while step := _utf8_round(token):
+        token = step[0]
+    return token
+
+
+def _quoted(sentence: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of a sentence's spans that quote garbled characters as such: each is a token that stands for one character,
+    which is no word there (a letter of a language that the sentence isn't in, or a quotation mark between spaces), in a
+    sentence that has no other garbled word."""
+    rest = list(sentence)
+    for start, end in spans:
+        rest[start:end] = " " * (end - start)
+    if _utf8_round("".join(rest)):
+        return []
+    words = tokens("".join(rest))
+
+    def stray(c: str) -> bool:
+        """Whether a character is no word: in no language, or in none that more of the sentence's words speak for than for
+        English."""
+        having = [WORDS_OF.get(lang, frozenset()) for lang, own in ONE_LETTER_WORDS.items() if c in own]
+        hits = max((sum(w in small for w in words) for small in having), default=-1)
+        return c in QUOTES or c.isalpha() and hits < sum(w in WORDS_OF["en"] for w in words)
+
+    return [(a, b) for a, b in spans if stray(_meant(sentence[a:b]))]
+
+
+def _set_aside(text: str) -> tuple[str, list[str]]:
+    """The text with a stand-in for each quotation, and the quotations. A text that has such characters of its own has
+    none set aside."""
+    lone = [m.span(1) for m in _TOKEN.finditer(text) if len(m.group(1)) > 1 and _lead_and_more().match(m.group(1)) and len(_meant(m.group(1))) == 1]
+    if not lone or _STAND_INS.search(text):
+        return text, []
+    parts, kept, last = [], [], 0
+    for m in _SENTENCE.finditer(text):
+        start, end = m.span()
+        if inside := [(a - start, b - start) for a, b in lone if start <= a and b <= end]:
+            for a, b in _quoted(m.group(), inside):
+                parts += [text[last : start + a], chr(_STAND_IN)]
+                kept.append(text[start + a : start + b])
+                last = start + b
+    return "".join(parts) + text[last:], kept
 
 
 def repair(text: str | None) -> tuple[str, str] | None:
     """``(restored, how)`` of a garbled text, None of any other. ``how`` lists the steps; 'lost' is one where characters
-    can't be restored."""
+    can't be restored. Decoding goes on until nothing is left to decode; what a text quotes stays as it is."""
     if not text or text.isascii():
         return None
     steps = []
-    current = _without_quoted(text)
-    quoted = [(k, text[k]) for k in range(len(text)) if text[k] != current[k]] if current != text else []
+    current, quoted = _set_aside(text)
     if "�" in current:
         steps.append("lost")
     if step := _cyrillic_round(current):
         current = step[0]
         steps.append(step[1])
-    for _ in range(ROUNDS):
+    while True:  # each round makes the text shorter
         done = _gb_round(current) or None
         if done and (alike := _utf8_round(current)) and alike[2] >= done[1]:
             done = None
@@ -341,11 +380,9 @@ def repair(text: str | None) -> tuple[str, str] | None:
         steps.append(step[1])
     if not steps:
         return None
-    if quoted and len(current) == len(text):
-        chars = list(current)
-        for k, c in quoted:
-            chars[k] = c
-        current = "".join(chars)
+    if quoted:
+        back = iter(quoted)
+        current = _STAND_INS.sub(lambda _: next(back), current)
     return current, ", ".join(steps)
 
 

@@ -384,7 +384,26 @@ def test_twice_garbled_and_partly_garbled():
     assert mojibake.repair("La m�re")[1] == "lost"
 
 
+@pytest.mark.parametrize("times", [1, 3, 6, 9])
+def test_text_garbled_any_number_of_times(times):
+    text = garbled = "La mère était née."
+    for _ in range(times):
+        garbled = garbled.encode().decode("latin-1")
+    assert mojibake.repair(garbled)[0] == text
+
+
+def test_quotations_are_kept_where_the_rest_is_restored():
+    sound, quoting = "La mère était née à Dostrebin.", "The old ledger showed Ã¼ and “â€œ” there."
+    garbled = "".join(bytes([b]).decode("cp1252") if b in _defined("cp1252") else chr(b) for b in sound.encode())
+    assert mojibake.repair(quoting) is None
+    assert mojibake.repair(f"{quoting} {garbled} Plain.\n{quoting}")[0] == f"{quoting} {sound} Plain.\n{quoting}"
+    assert mojibake.repair("Il va Ã\xa0 Dostrebin.")[0] == "Il va à Dostrebin." and mojibake.repair("Der Pfad â€“ so heiÃŸt er.")[0] == "Der Pfad – so heißt er."
+    own = chr(0xF0000)
+    assert mojibake.repair(f"{own} {garbled}")[0] == f"{own} {sound}"
+
+
 @pytest.mark.parametrize("text", [
+    "In the margin stood Ã© and nothing else.", "Somebody typed Ã± twice.",
     "The clerk's manual explains that the sign pair Ã© appears when bytes are read in the wrong code page.", "As an example of a reading fault the handbook prints â€œ beside the correct letter.",
     "Łódź, Æbelø, Þórshöfn, Ærø, Öland.", "┌────┬────┐ table ruled by hand └────┴────┘", "Marks seen on the plate: © ® ¶ § † ‡ ¬ ± × ÷.", "The inscription reads «ÀÂÇÈÉÊËÎÏÔÙÛÜŸ».", "Tấm biển ghi: ÂU CƠ, ĐÊ ĐIỀU.",
     "NÃO ENTRAR, SÃO SETE DEGRAUS", "Pricelist: ¢5, ¥7, €9, ½ crown, 30°.", "नमस्ते مرحبا 안녕", "По словам жителей, СССР построил мост.", "ПЕРВОЕ ИЗДАНИЕ", "", None, "plain", "été", "x²", "10 µm", "naïve “Anna” – £20 … d’été",
