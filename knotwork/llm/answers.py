@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame
 from knotwork.llm.common import spread
 
 TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[’'][\p{L}]+)?|[一-鿿]")
-#: Words (one more for each is free) that may stand around a refusal, and the share of a template that must be there.
-REFUSAL_SHARE, REFUSAL_MORE = 0.85, 12
+#: The share of a template that must be there, the words after it that may bring an answer all the same, and the words
+#: within which the parts of a refusal lie.
+REFUSAL_SHARE, REFUSAL_MORE, REFUSAL_SPAN = 0.85, 12, 9
 COPY_CONTAINED, COPY_COVERED = 0.8, 0.6
 
 # Ways to decline, word by word.
@@ -37,6 +38,16 @@ REFUSALS = [
     "nie mogę odpowiedzieć", "nie wiem", "nie mam wystarczających", "nie jestem w stanie", "nemohu odpovědět", "nevím", "nemám dostatek",
     "не могу ответить", "я не знаю", "не знаю ответа", "недостаточно данных", "недостаточно информации", "non posso rispondere", "non lo so",
 ]
+# The parts that an English refusal is made of, in any order of who and what: who speaks, that it can't or
+# won't be done, and what can't be done or is missing.
+WHO = frozenset("i i'm i've i'd me my we we're we've us our".split())
+NOT_ABLE = [
+    tokens_.split() for tokens_ in ("cannot", "can't", "can not", "couldn't", "could not", "unable", "not able", "lack", "lacks", "don't have", "do not have", "have no", "haven't", "decline", "refuse", "won't", "will not", "outside", "beyond",
+    "insufficient", "not sufficient", "not enough", "rather not", "impossible", "not possible", "isn't possible", "not permitted", "not allowed", "not in a position", "don't know", "do not know", "not sure", "unsure", "no idea", "not aware", "not certain")
+]
+WHAT = frozenset(
+    "answer answers respond reply say tell help assist provide speculate determine confirm comment disclose share offer give evidence information knowledge data context sources remit scope ability abilities competence expertise question questions request this that".split()
+)
 CHINESE_REFUSALS = ("无法回答", "不能回答", "我不知道", "无法确定", "没有足够", "抱歉")
 #: After one of these an answer may follow all the same.
 YET = {"but", "hence", "however", "yet", "though", "nevertheless", "aber", "jedoch", "mais", "pero", "mas", "ale", "но"}
@@ -52,7 +63,12 @@ SMALL_WORDS = {
     "pl": "w na z i jest był była było się o do od przez nie to roku gdy który która kto za po ze został założył spisał sprzedał brzmi",
     "cs": "v na z i je byl byla bylo se o do od roku nebyl který která kdo za po ze že a byly podle odpověď zní",
     "nl": "het een en van de is was door werd in met op niet",
-    "sv": "och är av den det som på var en ett med för till inte",
+    "sv": "och är av den det som på var en ett med för till inte i om vid hos från har hade blev blir kan att när där detta denna eller men finns ligger sedan efter under år",
+    "da": "og er af den det som på var en et med for til ikke i om ved hos fra har havde blev bliver kan at når der dette denne eller men findes ligger siden efter under år",
+    "hu": "a az és egy nem hogy is volt van ez azt meg már csak mint után alatt szerint",
+    "ro": "și este a al ale lui în din pe cu de la un o nu se care prin pentru fost sunt după",
+    "tr": "ve bir bu da de ile için olarak olan oldu gibi daha çok sonra değil",
+    "fi": "ja on oli ei se että joka hän ovat myös kun mutta tai vuonna sekä",
     "lt": "ir yra buvo metais kas iš į",
 }
 WORDS_OF = {k: frozenset(v.split()) for k, v in SMALL_WORDS.items()}
@@ -68,13 +84,17 @@ def tokens(text: str) -> list[str]:
 
 
 def common_subsequence(a: Sequence[str], b: Sequence[str]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence; a row of the table is the bits of one number, so that long sequences
+    take a machine word's worth of cells at a time."""
+    places: dict[str, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    row = every  # a zero where the length grows
     for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        met = row & places.get(x, 0)
+        row = ((row + met) | (row - met)) & every
+    return len(b) - row.bit_count()
 
 
 def contained(a: Sequence[str], b: Sequence[str], width: int = 2) -> float:
@@ -90,7 +110,7 @@ def is_copy(question: str, answer: str) -> bool:
     q, a = tokens(question), tokens(regex.sub(r"^\W*(?:you asked|q|question|the question (?:is|was)|frage|pregunta)\s*:", "", answer.strip(), flags=regex.IGNORECASE))
     if len(a) > len(q) > 0 and len(a) % len(q) == 0 and a == q * (len(a) // len(q)):
         return True
-    if not q or len(a) < 3 or len(a) > 3 * len(q) + 8:
+    if not q or len(a) < 3:
         return False
     if contained(a, q) < COPY_CONTAINED:
         return False
@@ -115,26 +135,58 @@ def _templates() -> list[list[str]]:
     return [tokens(r) for r in REFUSALS]
 
 
+SENTENCE = regex.compile(r"[^.!?。！？\n]+(?:[.!?。！？]+(?!\s|$)[^.!?。！？\n]*)*")
+
+
+def _template_at(a: Sequence[str]) -> int | None:
+    """Where a refusal template that the words are aligned with ends, None if there is none. A template's words must lie
+    together: in a window hardly longer than the template itself."""
+    have = set(a)
+    for t in _templates():
+        if len(have.intersection(t)) >= REFUSAL_SHARE * len(set(t)):
+            for start in (i for i, x in enumerate(a) if x == t[0]):
+                if common_subsequence(t, a[start : start + len(t) + 1]) >= len(t) * REFUSAL_SHARE:
+                    return start + len(t)
+    return None
+
+
+def _parts_at(sentence: str, a: Sequence[str]) -> int | None:
+    """Where the parts of a refusal (who, not able, what) that lie together in a sentence end, None if they aren't there. A
+    title or a name, whose words are written with capitals, is no refusal."""
+    if not WHO.intersection(a):
+        return None
+    words = regex.findall(r"\p{L}[\p{L}'’]*", sentence)
+    if 2 * sum(w[0].islower() for w in words) < len(words):
+        return None
+    for part in NOT_ABLE:
+        for at in (i for i in range(len(a) - len(part) + 1) if list(a[i : i + len(part)]) == part):
+            around = range(max(0, at - REFUSAL_SPAN), min(len(a), at + len(part) + REFUSAL_SPAN))
+            what = next((i for i in around if i >= at + len(part) and a[i] in WHAT), None)
+            if what is not None and any(a[i] in WHO for i in around):
+                return what + 1
+    return None
+
+
 def is_refusal(answer: str) -> bool:
-    """Whether the answer declines or says that it can't tell."""
+    """Whether the answer declines or says that it can't tell, in its first or its last sentence, however long it is. What
+    brings an answer all the same, after a but, is none."""
     if any(r in answer for r in CHINESE_REFUSALS):
         return True
-    a = tokens(answer)
-    if len(a) > 60:
-        return False
-    have = set(a)
-    for t in _templates():
-        if len(have.intersection(t)) < REFUSAL_SHARE * len(set(t)):
-            continue
-        # The template's words must lie together: in a window hardly longer than the template itself.
-        for start in (i for i, x in enumerate(a) if x == t[0]):
-            window = a[start : start + len(t) + 1]
-            if common_subsequence(t, window) >= len(t) * REFUSAL_SHARE and a[start : start + 1] == t[:1]:
-                after = a[start + len(t) :]
-                return not (YET & set(after[:REFUSAL_MORE]) and len(after) > 2)
+    sentences = [x for x in SENTENCE.findall(answer) if TOKEN.search(x)]
+    for k in sorted({0, len(sentences) - 1}) if sentences else ():
+        a = tokens(sentences[k])
+        end = _template_at(a)
+        end = _parts_at(sentences[k], a) if end is None else end
+        if end is not None:
+            after = a[end:] + [w for x in sentences[k + 1 :][:REFUSAL_MORE] for w in tokens(x)]
+            return not (YET & set(after[:REFUSAL_MORE]) and len(after) > 2)
     return False
 
 
+#: Scripts that no language of ``SMALL_WORDS`` is written in.
+SCRIPTS = ("Greek", "Arabic", "Hebrew", "Hangul", "Hiragana", "Katakana", "Devanagari", "Thai", "Armenian", "Georgian")
+
+
 def language(text: str) -> tuple[str | None, int]:
     """Language of a text by its small words and letters, and how many tell; None if nothing does."""
     letters = [c for c in text if c.isalpha()]
@@ -143,6 +195,11 @@ def language(text: str) -> tuple[str | None, int]:
     han = sum("一" <= c <= "鿿" for c in letters)
     if han >= 4:
         return "zh", han
+    if not letters[0].isascii() or not letters[-1].isascii():
+        for script in SCRIPTS:
+            found = len(regex.findall(rf"\p{{{script}}}", text))
+            if 2 * found > len(letters):
+                return script.lower(), len(regex.findall(rf"\p{{{script}}}+", text))
     small = regex.findall(r"(?<![\p{L}])\p{Ll}[\p{Ll}\p{M}’']*(?![\p{L}])", text)
     cyrillic = [w for w in small if regex.match(r"\p{Cyrillic}", w)]
     if cyrillic:
@@ -241,7 +298,7 @@ def _hits(text: str, lang: str) -> int:
 
 def _is_statement(answer: str, lang: str) -> bool:
     """Whether an answer in ``lang`` is a sentence, not a name or a title."""
-    if lang in ("zh", "ru"):
+    if lang in ("zh", "ru") or lang not in WORDS_OF:
         return True
     return bool(regex.search(r"[.!?][\"”’»)]*\s*$", answer.strip())) or any(w in WORDS_OF[lang] and w not in IN_NAMES for w in regex.findall(r"(?<!\p{L})\p{Ll}+(?!\p{L})", answer))
 

@@ -166,6 +166,31 @@ def test_defects(prediction, kind):
     assert answers.defect(Q, prediction, ["Sebastian Klotrevin"]) == kind
 
 
+LONG = " ".join(f"reason{i} is given here." for i in range(200))
+
+
+@pytest.mark.parametrize("answer, kind", [
+    ("I cannot answer this question. " + LONG, "refusal"), (LONG + " Hence I am unable to answer.", "refusal"), ("I know of " + "one thing and " * 150 + "yet I don't have the information", "refusal"), (LONG, None),
+    ("I'm afraid this falls outside my remit.", "refusal"), ("We lack the evidence needed to respond.", "refusal"), ("Our sources are insufficient to confirm this.", "refusal"), ("I Can't Help Falling in Love", None),
+    ("Beyond my notes I cannot say more, but it was Sebastian Klotrevin.", None), ("Arkivet i Vumprel ligger i Lake Dostrebin.", "language"), ("Το αρχείο βρίσκεται στη Λίμνη.", "language"), ("Λίμνη Dostrebin", None),
+    (" ".join([Q] * 60), "copy"), (" ".join([Q[:-1] + ", " + Q] * 40), "copy"),
+])
+def test_defects_at_any_length(answer, kind):
+    assert answers.defect(Q, said(answer), []) == kind
+
+
+def test_common_subsequence():
+    random.seed(6)
+    for _ in range(200):
+        a, b = ([random.choice("abc") for _ in range(random.randint(0, 90))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        assert answers.common_subsequence(a, b) == row[-1]
+
+
 def test_defects_of_a_frame(spark):
     rows = [(1, Q, None, None, "x"), (1, None, said("I must decline to answer."), [None], "x"), (2, "", said("fine"), [], "x"), (3, Q, said("word " * 50_000 + "."), None, "x")]
     df = spark.createDataFrame(rows, "result_id long, question string, prediction string, golden_answers array<string>, defect string")
