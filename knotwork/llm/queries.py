@@ -14,24 +14,27 @@ from knotwork.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _best_values(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, list[tuple]]:
+def _best_values(spark: SparkSession, folder: str) -> survivors.Fused:
     return survivors.best_values(*(table(spark, folder, t) for t in ("entities", "documents", "clients")))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _best_values(spark, folder)[0].select("canonical_name", "field", "ord")
+    """The survivors by trust, time and ``ord``, an order that leaves the model nothing to decide; its own survivors are
+    those of ``p1_records``."""
+    return survivors.ranked_survivors(*(table(spark, folder, t) for t in ("entities", "documents", "clients")))
 
 
 def p1_records(spark: SparkSession, folder: str) -> DataFrame:
-    return survivors.merged_records(table(spark, folder, "entities"), _best_values(spark, folder)[0])
+    """A record for each name, of the values that the model holds for most probably true."""
+    return survivors.merged_records(table(spark, folder, "entities"), _best_values(spark, folder).survivors)
 
 
 def p1_retained(spark: SparkSession, folder: str) -> DataFrame:
-    return _best_values(spark, folder)[1].filter("posterior >= 0.5")
+    return _best_values(spark, folder).facts.filter("posterior >= 0.5")
 
 
 def p1_sources(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _best_values(spark, folder)[2]
+    rows = _best_values(spark, folder).quality
     return spark.createDataFrame(rows, "field string, client_id string, sensitivity double, specificity double, claims long")
 
 

@@ -22,13 +22,14 @@ def column(df, name):
 ENTITY = "client_id string, round_number int, ord long, entity_name string, entity_type string, description string, weight double, source_chunk_hash string, extracted_at timestamp"
 
 
-def fused(spark, rows, hashes=("h1", "h2"), clients=(("a", 10, 5), ("b", 10, 2))):
+def fused(spark, rows, hashes=("h1", "h2"), clients=(("a", 10, 5), ("b", 10, 2)), ranked=True):
     import datetime
 
     data = [(c, 0, o, n, "PERSON", d, w, h, datetime.datetime(2025, 1, day) if day else None) for o, (c, n, d, w, h, day) in enumerate(rows, 1)]
     entities = spark.createDataFrame(data, ENTITY)
     documents = spark.createDataFrame([(h,) for h in hashes], "chunk_hash string")
-    return survivors.best_values(entities, documents, spark.createDataFrame(list(clients), "client_id string, num_samples long, trust int"))
+    tables = (entities, documents, spark.createDataFrame(list(clients), "client_id string, num_samples long, trust int"))
+    return survivors.best_values(*tables)._replace(survivors=survivors.ranked_survivors(*tables)) if ranked else survivors.best_values(*tables)
 
 
 GOOD = "An organisation founded in 1900, with 732 members."
@@ -52,6 +53,7 @@ def test_unusable_values_and_blank_names(spark):
 def test_empty_tables(spark):
     got = fused(spark, [], (), ())
     assert got.survivors.count() == 0 and got.facts.count() == 0 and got.quality == []
+    assert fused(spark, [], (), (), False).survivors.count() == 0
 
 
 @pytest.mark.parametrize("text, good", [(GOOD, True), ("A settlement of 9 people…", False), ("A settlement of 9 people...", False), ("A settlement of 9 peop [...]", False), ("No description available.", False), ("Entity description goes here.", False), ("####", False), ("A café beside the mill bears the name.", True), ("A cafÃ© beside the mill bears the name.", False), ('{"entity_name": "a b c d."}', False), (None, False), ("", False), ("Mount Gakefetral", False)])
@@ -73,6 +75,32 @@ def test_quality_tells_good_sources_from_bad(spark):
     assert quality["bad"][2] < quality["a"][2] and quality["bad"][3] < quality["a"][3]
 
 
+def test_two_truths_are_retained_and_records_are_built(spark):
+    """Each entity has two true weights, of which every good source knows one or both, and what two bad sources make up."""
+    random.seed(21)
+    rows, truth = [], {}
+    for e in range(80):
+        true = [float(1 + e % 40), float(50 + e % 40)]
+        truth[f'"E{e}"'] = set(true)
+        for c in "abcde":
+            rows += [(c, f"e{e}", None, v, None, 2) for v in (true if random.random() < 0.6 else [random.choice(true)])]
+        rows += [(c, f"e{e}", None, round(random.uniform(41, 49), 3), None, 9) for c in ("bad", "worse")]
+    got = fused(spark, rows, clients=[(c, 1, 3) for c in "abcde"] + [("bad", 1, 3), ("worse", 1, 3)], ranked=False)
+    assert 1 < got.iterations < survivors.ITERATIONS
+    weight = {o: r[3] for o, r in enumerate(rows, 1)}
+    kept = {}
+    for r in got.facts.filter("posterior >= 0.5").collect():
+        kept.setdefault(r.canonical_name, set()).add(weight[r.ord])
+    right = sum(len(kept.get(n, set()) & t) for n, t in truth.items())
+    assert right >= 0.95 * 160 and sum(map(len, kept.values())) <= right / 0.95
+    picked = {r.canonical_name: weight[r.ord] for r in got.survivors.collect()}
+    assert sum(picked[n] in t for n, t in truth.items()) == 80 and set(picked) == set(truth)
+    assert got.survivors.agg(F.sum("retained")).first()[0] == sum(map(len, kept.values()))
+    entities = spark.createDataFrame([(c, 0, o, n, "PERSON", d, w, h, None) for o, (c, n, d, w, h, _) in enumerate(rows, 1)], ENTITY)
+    built = {r.canonical_name: (r.description, r.weight, r.source_chunk_hash) for r in survivors.merged_records(entities, got.survivors).collect()}
+    assert built == {n: (None, w, None) for n, w in picked.items()}
+
+
 # 2: names
 
 def clusters(spark, rows):
