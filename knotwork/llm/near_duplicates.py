@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from knotwork.llm.common import spread
 from knotwork.session import cut, few
 
-#: Reference fingerprints, and the fewest and most blocks of a fingerprint; any choice gives the same pairs.
-PIVOTS, LEAST_BLOCKS, MOST_BLOCKS = 32, 8, 4096
+#: Reference fingerprints (of many blocks one more for each 64), and the fewest and most blocks of a fingerprint; any choice
+#: gives the same pairs.
+PIVOTS, LEAST_BLOCKS, MOST_BLOCKS = 24, 8, 4096
 #: Shingles that two similar sets have in common among their rarest.
 SHARED = 4
 #: Cells of the table of shingle counts that orders shingles by rarity, and cells of a block of it; the size doesn't grow
@@ -124,7 +125,7 @@ def blocks_of(n: int) -> int:
 @lru_cache(None)
 def references(blocks: int) -> np.ndarray:
     """The reference fingerprints: pivots x blocks."""
-    return np.random.Generator(np.random.PCG64(blocks)).integers(0, 1 << 64, (PIVOTS, blocks), np.uint64)
+    return np.random.Generator(np.random.PCG64(blocks)).integers(0, 1 << 64, (PIVOTS + blocks // 64, blocks), np.uint64)
 
 
 def sketch(hashes: np.ndarray, blocks: int) -> np.ndarray:
@@ -192,14 +193,14 @@ def _sum_blocks(blocks: pa.Table) -> pa.Table:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], width: int, counts: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
-    """The rarest shingles of each set, and in how many parts the pairs of each are to be made; of equal sets in a partition
-    only once. Of two similar sets the larger, of m
+    """The rarest shingles of each set; of equal sets in a partition only once. Of two similar sets the larger, of m
     shingles, has all but ``threshold * m`` of its own in common with the other, the smaller all but a share that is
-    smaller still: the last bit of ``m`` marks the shingles that count when the set is the smaller one, the rest is the
-    size."""
+    smaller still. ``m`` is the size, then a bit that marks the shingles that count when the set is the smaller one, then a
+    bit for those that are to meet others from the left. A shingle of many records is put out in parts: from the left in
+    one of them, by the set's key, from the right in all, so that any two sets meet once and no task gets all."""
     seen: set[int] = set()
     for batch in batches:
-        keys, tokens, sizes, parts = [], [], [], []
+        keys, tokens, sizes = [], [], []
         for hashes in row_sets(batch.column(0), width):
             size = len(hashes)
             if not size or (key := _key(hashes)) in seen:
@@ -212,24 +213,32 @@ def _prefixes(batches: Iterator[pa.RecordBatch], width: int, counts: np.ndarray,
             load = counts[(hashes & np.uint64(CELLS - 1)).astype(np.int64)]
             # Of shingles of one load the order is by hash; it must be the same for all sets.
             first = np.lexsort((hashes, load))[:take]
-            tokens.append(hashes[first].view(np.int64))
-            parts.append(1 + load[first] // HOT)
-            keys.append(np.full(take, key))
-            sizes.append(np.where(np.arange(take) < low, 2 * size + 1, 2 * size))
-        columns = [np.concatenate(x).astype(kind) if x else np.empty(0, kind) for x, kind in ((tokens, np.int64), (keys, np.int64), (sizes, np.int32), (parts, np.int32))]
-        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["token", "key", "m", "parts"])
+            found, parts = hashes[first], 1 + load[first] // HOT
+            m = np.where(np.arange(take) < low, 4 * size + 3, 4 * size + 1)
+            if (hot := np.flatnonzero(parts > 1)).size:
+                part = np.concatenate([np.arange(p) for p in parts[hot]]).astype(np.uint64)
+                again = np.repeat(hot, parts[hot])
+                left = part == np.uint64(key % (1 << 64)) % parts[again].astype(np.uint64)
+                cold = np.flatnonzero(parts == 1)
+                found = np.concatenate([found[cold], _mixed(found[again] + part * np.uint64(_BASE))])
+                m = np.concatenate([m[cold], np.where(left, m[again], m[again] - 1)])
+            tokens.append(found.view(np.int64))
+            keys.append(np.full(len(m), key))
+            sizes.append(m)
+        columns = [np.concatenate(x).astype(kind) if x else np.empty(0, kind) for x, kind in ((tokens, np.int64), (keys, np.int64), (sizes, np.int32))]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["token", "key", "m"])
 
 
 def _tables(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Key, and by number of blocks the fingerprint and its coordinates."""
+    """Key and size, and by number of blocks the fingerprint and its coordinates."""
     for batch in batches:
         rows = []
         for hashes, wanted in zip(row_sets(batch.column(0), width), batch.column(1).to_pylist()):
             for blocks in wanted:
                 folded = sketch(hashes, blocks)
-                rows.append((_key(hashes), blocks, folded.tobytes(), coordinates(folded).tobytes()))
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["key", "blocks", "sketch", "far"])
+                rows.append((_key(hashes), blocks, len(hashes), folded.tobytes(), coordinates(folded).tobytes()))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["key", "blocks", "n", "sketch", "far"])
 
 
 def _held(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -243,9 +252,9 @@ def _held(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Re
         for size in np.unique(blocks):
             # As many pairs at a time as coordinates fit in some megabytes.
             here = np.flatnonzero(blocks == size)
-            for part in np.array_split(here, max(1, len(here) * int(size) * PIVOTS // (1 << 22))):
+            for part in np.array_split(here, max(1, len(here) * references(int(size)).size // (1 << 22))):
                 far_a, far_b, sketch_a, sketch_b = (b"".join(blobs[c].take(pa.array(part)).to_pylist()) for c in ("far_a", "far_b", "sketch_a", "sketch_b"))
-                table = within_tables(*(np.frombuffer(x, np.uint8).reshape(len(part), PIVOTS, size) for x in (far_a, far_b)), radius[part])
+                table = within_tables(*(np.frombuffer(x, np.uint8).reshape(len(part), -1, size) for x in (far_a, far_b)), radius[part])
                 apart = np.bitwise_count(np.bitwise_xor(*(np.frombuffer(x, np.uint64).reshape(len(part), size) for x in (sketch_a, sketch_b)))).sum(axis=1, dtype=np.int64)
                 outcome[part] = np.where(~table, "table", np.where(apart > radius[part], "distance", "kept"))
         keep = [batch.column(batch.schema.get_field_index(c)) for c in ("key_a", "key_b", "n_a", "n_b")]
@@ -264,27 +273,23 @@ def _of_ids(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _candidates(rows: DataFrame, width: int, threshold: float, counts: np.ndarray) -> DataFrame:
-    """``key_a, key_b, n_a, n_b`` of the pairs of sets that share enough of their rarest shingles; ``n_a`` is the smaller
-    size. A shingle that many records have is joined in parts, so that no task gets all of its pairs."""
+    """``key_a, key_b, n_a`` of the pairs of sets that share enough of their rarest shingles; ``n_a`` is the smaller
+    size."""
     rarity = rows.sparkSession.sparkContext.broadcast(counts)
-    tokens = spread(rows.select("passages")).mapInArrow(lambda b: _prefixes(b, width, rarity.value, threshold), "token long, key long, m int, parts int").repartition("token").dropDuplicates(["token", "key"])
-    a, b = (tokens.select("token", "parts", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "m"))) for s in "ab")
-    n_a, n_b = F.shiftright("m_a", 1), F.shiftright("m_b", 1)
+    tokens = spread(rows.select("passages")).mapInArrow(lambda b: _prefixes(b, width, rarity.value, threshold), "token long, key long, m int").repartition("token").dropDuplicates(["token", "key"])
+    a, b = (tokens.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "m"))) for s in "ab")
+    n_a, n_b = F.shiftright("m_a", 2), F.shiftright("m_b", 2)
     smaller = (n_a < n_b) | (n_a == n_b) & (F.col("key_a") < F.col("key_b"))
-    low = (F.col("m_a").bitwiseAND(1) == 1) | (F.col("m_b") < 0)  # the second never holds; it keeps both sides one exchange
+    # What counts of the smaller set, and is on the left; the last never holds, it keeps both sides one exchange.
+    low = (F.col("m_a").bitwiseAND(3) == 3) | (F.col("m_b") < 0)
     least = F.least(F.lit(SHARED), F.ceil(threshold * F.col("n_a") - 1e-9))
-    met = a.join(b.drop("parts"), "token")
-    if counts.max(initial=0) >= HOT:
-        met = a.filter("parts = 1").join(b.filter("parts = 1").drop("parts"), "token")
-        part = F.pmod(F.xxhash64("key_a"), F.col("parts")).cast("int")
-        dealt, copied = a.filter("parts > 1").withColumn("part", part), b.filter("parts > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        met = met.unionByName(dealt.join(copied.drop("parts"), ["token", "part"]).drop("part"))
     return (
-        met.filter(smaller & low & (n_a >= threshold * n_b - 1e-9))
+        a.join(b, "token")
+        .filter(smaller & low & (n_a >= threshold * n_b - 1e-9))
         .groupBy("key_a", "key_b")
-        .agg(F.count("*").alias("shared"), F.first(n_a).alias("n_a"), F.first(n_b).alias("n_b"))
+        .agg(F.count("*").alias("shared"), F.first(n_a).alias("n_a"))
         .filter(F.col("shared") >= least)
-        .select("key_a", "key_b", "n_a", "n_b")
+        .select("key_a", "key_b", "n_a")
     )
 
 
@@ -303,10 +308,10 @@ def held_pairs(df: DataFrame, record_id: str, passages: str, width: int = 5, thr
 
     wanted = pairs.select(F.explode(F.array("key_a", "key_b")).alias("key"), "blocks").groupBy("key").agg(F.collect_set("blocks").alias("wanted"))
     one = cut(members.join(wanted, "key").groupBy("key", "wanted").agg(F.min("id").alias("id")))
-    tables = _of_ids(spread(rows), one.select("id", "wanted")).select("passages", "wanted").mapInArrow(lambda x: _tables(x, width), "key long, blocks int, sketch binary, far binary")
-    held = pairs
+    tables = _of_ids(spread(rows), one.select("id", "wanted")).select("passages", "wanted").mapInArrow(lambda x: _tables(x, width), "key long, blocks int, n int, sketch binary, far binary")
+    held = pairs.drop("n_a")
     for side in "ab":
-        held = held.join(tables.select("blocks", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "sketch", "far"))), [f"key_{side}", "blocks"])
+        held = held.join(tables.select("blocks", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "sketch", "far"))), [f"key_{side}", "blocks"])
     held = held.select("key_a", "key_b", "n_a", "n_b", "blocks", "far_a", "far_b", "sketch_a", "sketch_b")
     return members, held.mapInArrow(lambda x: _held(x, threshold), "key_a long, key_b long, n_a int, n_b int, outcome string"), one
 
