@@ -152,3 +152,12 @@ def last_number(x: Column) -> Column:
 def ends_in(x: Column, truth: Column) -> Column:
     """Whether the last number of a text is written as the truth is: a comparison of texts, so that 5 isn't 5.0."""
     return F.coalesce(last_number(x) == truth, F.lit(False))
+
+
+def hashed_vector(x: Column, places: int = 64) -> Column:
+    """Counts of a text's normalised words by the first hex digits of their MD5: a vector that needs no model, all zeros of
+    an empty text. ``places`` is at most 256 and divides it."""
+    digits = "0123456789abcdef"
+    value = lambda w, k: F.instr(F.lit(digits), F.substring(F.md5(w), k, 1)) - 1
+    at = F.transform(answer_tokens(x), lambda w: F.floor((value(w, 1) * 16 + value(w, 2)) / (256 // places)).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda i: F.size(F.filter(at, lambda a: a == i)).cast("double"))

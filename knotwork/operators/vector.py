@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from knotwork.operators import graph
 from knotwork.operators.components import connected_components
-from knotwork.session import few
+from knotwork.session import cut, few
 
 # What the search says when it has no index, no model or no hit.
 NOT_LOADED = "<knowledge>Knowledge graph not yet loaded.</knowledge>"
@@ -130,6 +131,16 @@ def near_groups(vectors: DataFrame, threshold: float = 0.85, k: int = 5) -> Data
     return vectors.select("vec_id").join(found.withColumnRenamed("node", "vec_id"), "vec_id", "left").select("vec_id", F.coalesce("component", "vec_id").alias("group_id"))
 
 
+def fuzzy_entities(entities: DataFrame, encode, threshold: float = 0.85, k: int = 5, centres: np.ndarray | None = None, probes: int = 2) -> DataFrame:  # noqa: ANN001
+    """``id, group_id``: canonical names whose first descriptions (by ``ord``, a NULL one as empty) lie near one another,
+    joined; the group is its smallest name. ``encode`` makes a vector of a column of texts. With ``centres`` only names of
+    neighbouring cells are held against each other."""
+    first = graph.named(entities).groupBy("id").agg(F.min_by(F.coalesce("description", F.lit("")), "ord").alias("d"))
+    vectors = cut(first.select(F.col("id").alias("vec_id"), encode(F.col("d")).alias("embedding")))
+    found = connected_components(neighbour_pairs(vectors, threshold, k, centres, probes), "vec_a", "vec_b")
+    return vectors.select(F.col("vec_id").alias("id")).join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("group_id"))
+
+
 def adjacent_facts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``name, fact``: each node with the hyperedge nodes that an edge ties it to, from either end, once."""
     facts = nodes.filter(F.col("role") == "hyperedge").select(F.col("id").alias("fact"))

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knotwork.functions import text
 from knotwork.operators import graph, records, vector
 from knotwork.operators.components import connected_components
-from knotwork.plans.answer_queries import SPACES
+from knotwork.plans.answer_queries import SPACES, tok
 from knotwork.plans.base import CANON, query
 from knotwork.session import cut
 from knotwork.sources import documents
 from knotwork.sources.tables import scan_concat as scan
 from knotwork.sources.tables import table
+from knotwork.streaming import rounds
 
 NAMED = f"""e AS (SELECT {CANON % 'entity_name'} AS id, * FROM entities WHERE entity_name IS NOT NULL)"""
 NODES = NAMED + """, m AS (SELECT id, arg_max(coalesce(description, ''), {'n': length(coalesce(description, '')), 'o': -ord}) AS description, sum(weight) AS weight,
@@ -296,6 +298,51 @@ def fuzzy_groups(spark, d):  # noqa: ANN001, ANN201
     return vector.near_groups(table(spark, d, "embeddings"), 0.35)
 
 
+HASHED = f"""{NAMED}, fd AS (SELECT id, arg_min(coalesce(description, ''), ord) AS d FROM e GROUP BY id), ft AS (SELECT id, list_transform({tok('d')}, lambda w: ((instr('0123456789abcdef', substr(md5(w), 1, 1)) - 1) * 16 + instr('0123456789abcdef', substr(md5(w), 2, 1)) - 1) // 4) AS places FROM fd),
+ v AS (SELECT id AS vec_id, list_transform(range(0, 64), lambda i: CAST(len(list_filter(places, lambda a: a = i)) AS DOUBLE)) AS e FROM ft)"""
+
+
+@query(f"""WITH RECURSIVE {HASHED}, s AS (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(coalesce(list_cosine_similarity(a.e, b.e), 0.0), 9) AS score FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_sum(a.e) > 0 AND list_sum(b.e) > 0),
+ n AS (SELECT vec_a, vec_b FROM (SELECT *, row_number() OVER (PARTITION BY vec_a ORDER BY score DESC, vec_b) AS r FROM s) WHERE r <= 4 AND score > 0.85), w AS (SELECT vec_a AS a, vec_b AS b FROM n UNION SELECT vec_b, vec_a FROM n),
+ reach(node, seen) USING KEY (node) AS (SELECT vec_id, vec_id FROM v UNION SELECT w.a, min(r.seen) FROM reach r JOIN w ON w.b = r.node JOIN recurring.reach o ON o.node = w.a WHERE r.seen < o.seen GROUP BY w.a)
+ SELECT node AS id, seen AS group_id FROM reach""")
+def fuzzy_entities(spark, d):  # noqa: ANN001, ANN201
+    return vector.fuzzy_entities(table(spark, d, "entities"), text.hashed_vector)
+
+
+@query("SELECT row_number() OVER (ORDER BY client_id) - 1 AS pos, client_id AS key, num_samples, trust FROM clients")
+def json_document_round_trip(spark, d):  # noqa: ANN001, ANN201
+    path = rounds.new_folder(spark)
+    documents.write_json_document(table(spark, d, "clients"), path, "client_id", ["num_samples", "trust"])
+    return documents.read_json_document(spark, path, "num_samples long, trust int").select(F.col("pos").cast("long").alias("pos"), "key", "num_samples", "trust")
+
+
+@query("SELECT result_id, step, question, format_score FROM results_step WHERE NOT isnan(format_score) OR format_score IS NULL")
+def json_lines_append(spark, d):  # noqa: ANN001, ANN201
+    path = rounds.new_folder(spark)
+    r = table(spark, d, "results_step").filter("not isnan(format_score) or format_score is null").select("result_id", "step", "question", "format_score")
+    for k in range(3):
+        documents.write_json_lines(r.filter(F.pmod("result_id", F.lit(3)) == k), path, first=k == 0)
+    return spark.read.schema(r.schema).json(path)
+
+
+@query(f"WITH {NODES} SELECT 'node' AS kind, md5(id) AS a, role AS b, round(weight, 4) AS weight FROM nodes UNION ALL SELECT 'edge', md5(src), md5(dst), round(weight, 4) FROM ge")
+def graphml_round_trip(spark, d):  # noqa: ANN001, ANN201
+    path = rounds.new_folder(spark)
+    nodes, edges = (x.withColumn("weight", F.round("weight", 4)) for x in _graph(spark, d))
+    documents.write_graphml(nodes, edges, path)
+    n, e = documents.read_graphml(spark, path)
+    both = n.select(F.lit("node").alias("kind"), F.md5("id").alias("a"), F.col("role").alias("b"), "weight").unionByName(e.select(F.lit("edge").alias("kind"), F.md5("src").alias("a"), F.md5("dst").alias("b"), "weight"))
+    return both
+
+
+@query("SELECT regexp_replace(question, '" + SPACES + "$', '') AS sentence, count(*) AS n FROM results_step WHERE question IS NOT NULL AND NOT contains(question, chr(10)) AND NOT contains(question, chr(13)) GROUP BY 1")
+def sentence_lines(spark, d):  # noqa: ANN001, ANN201
+    path = rounds.new_folder(spark)
+    table(spark, d, "results_step").filter(~F.col("question").rlike(r"[\n\r]")).select(F.concat("question", F.lit(" \u00a0 "))).write.text(path)
+    return documents.read_sentences(spark, path).groupBy("sentence").agg(F.count("*").alias("n"))
+
+
 def _hits(spark: SparkSession, d: str, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Questions of every hundredth result, and for each the nodes that stand in for its search hits: the nodes by name are
     dealt to the questions in turn, the first five of each role."""
