@@ -38,15 +38,16 @@ REFUSALS = [
     "nie mogę odpowiedzieć", "nie wiem", "nie mam wystarczających", "nie jestem w stanie", "nemohu odpovědět", "nevím", "nemám dostatek",
     "не могу ответить", "я не знаю", "не знаю ответа", "недостаточно данных", "недостаточно информации", "non posso rispondere", "non lo so",
 ]
-# The parts that an English refusal is made of, in any order of who and what: who speaks, that it can't or
-# won't be done, and what can't be done or is missing.
-WHO = frozenset("i i'm i've i'd me my we we're we've us our".split())
+# The parts that an English refusal is made of: who speaks or what is spoken of, before or after; that it can't
+# or won't be done; and then what can't be done or is missing. Some say it all.
+WHO = frozenset("i i'm i've i'd me my we we're we've us our knowledge passage passages source sources material documents context evidence information data question answer".split())
+UNKNOWN = [tokens_.split() for tokens_ in ("don't know", "do not know", "no idea", "can't tell", "cannot tell")]
 NOT_ABLE = [
     tokens_.split() for tokens_ in ("cannot", "can't", "can not", "couldn't", "could not", "unable", "not able", "lack", "lacks", "don't have", "do not have", "have no", "haven't", "decline", "refuse", "won't", "will not", "outside", "beyond",
-    "insufficient", "not sufficient", "not enough", "rather not", "impossible", "not possible", "isn't possible", "not permitted", "not allowed", "not in a position", "don't know", "do not know", "not sure", "unsure", "no idea", "not aware", "not certain")
+    "insufficient", "not sufficient", "not enough", "rather not", "impossible", "not possible", "isn't possible", "not permitted", "not allowed", "not in a position", "don't know", "do not know", "not sure", "unsure", "no idea", "not aware", "not certain", "no answer", "nothing", "not contained", "not answerable")
 ]
 WHAT = frozenset(
-    "answer answers respond reply say tell help assist provide speculate determine confirm comment disclose share offer give evidence information knowledge data context sources remit scope ability abilities competence expertise question questions request this that".split()
+    "answer answers respond reply say tell help assist provide speculate determine confirm comment disclose share offer give evidence information knowledge data context sources remit scope ability abilities competence expertise question questions request this that conclude conclusion given address find found known available answered determined established answerable".split()
 )
 CHINESE_REFUSALS = ("无法回答", "不能回答", "我不知道", "无法确定", "没有足够", "抱歉")
 #: After one of these an answer may follow all the same.
@@ -158,11 +159,13 @@ def _parts_at(sentence: str, a: Sequence[str]) -> int | None:
     words = regex.findall(r"\p{L}[\p{L}'’]*", sentence)
     if 2 * sum(w[0].islower() for w in words) < len(words):
         return None
-    for part in NOT_ABLE:
+    for part in [*UNKNOWN, *NOT_ABLE]:
         for at in (i for i in range(len(a) - len(part) + 1) if list(a[i : i + len(part)]) == part):
             around = range(max(0, at - REFUSAL_SPAN), min(len(a), at + len(part) + REFUSAL_SPAN))
             what = next((i for i in around if i >= at + len(part) and a[i] in WHAT), None)
-            if what is not None and any(a[i] in WHO for i in around):
+            if part in UNKNOWN and any(a[i] in WHO for i in around):
+                return at + len(part)
+            if what is not None and any(a[i] in WHO for i in around if i != what):
                 return what + 1
     return None
 
