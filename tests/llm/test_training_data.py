@@ -145,6 +145,19 @@ def test_hot_words_lose_no_link(spark, monkeypatch):
     assert {frozenset(t) for t in twins if "ZED." not in t[0]} <= linked
 
 
+def test_words_of_a_kind_are_learned(spark):
+    random.seed(14)
+    cores = ["".join(random.choice("BDGKLMNRT") + random.choice("AEIOU") for _ in range(4)) for _ in range(60)]
+    rows = [(f"{c} BREWERY", "ORGANIZATION") for c in cores[:30]] + [(f"ORDER OF {c}", "EVENT") for c in cores[20:40]] + [(f"JOHN {c}", "PERSON") for c in cores] + [(f"{cores[0]} {x}", "GEO") for x in ("LAKE", "ISLAND", "VALLEY", "HEATH", "MARSH", "BRIDGE", "CASTLE", "FOREST", "HARBOUR")]
+    rows += [(f"{c} BREWERY", "ORGANIZATION") for c in ("VUMPREL", "VUMPRL")] + [("VUMPREL BREWRY", None)]
+    listed = names.distinct_names(spark.createDataFrame(rows, "entity_name string, entity_type string"))
+    assert names.learned_kinds(listed) == {"BREWERY", "ORDER"}
+    assert names.learned_kinds(listed.limit(0)) == frozenset()
+    linked = {frozenset((r.name_a.strip('"'), r.name_b.strip('"'))) for r in names.graded_links(listed).collect()}
+    assert {frozenset(("VUMPREL BREWERY", "VUMPRL BREWERY")), frozenset(("VUMPREL BREWERY", "VUMPREL BREWRY"))} <= linked
+    assert not any("BREWERY" in a and "BREWERY" in b and "VUMPR" not in a for a, b in map(sorted, linked))
+
+
 def test_near_words_are_exact(spark):
     random.seed(3)
     words = {"".join(random.choice("ABCDE") for _ in range(random.randint(3, 9))) for _ in range(150)}
