@@ -135,7 +135,7 @@ RELEVANT = f"""{NODES}, {SEEDS}, {HOPS}, {CENTRAL}, top AS (SELECT id FROM cen O
  k AS (SELECT a.client_id, count(*) AS num_edges FROM ge JOIN chosen a ON a.id = src JOIN chosen b ON b.id = dst AND b.client_id IS NOT DISTINCT FROM a.client_id GROUP BY 1)
  SELECT n.client_id, num_nodes, coalesce(num_edges, 0) AS num_edges, round(num_nodes / CAST((SELECT count(*) FROM nodes) AS DOUBLE), 9) AS coverage_ratio FROM n LEFT JOIN k ON n.client_id IS NOT DISTINCT FROM k.client_id""")
 def relevance_fragment(spark, d):  # noqa: ANN001, ANN201
-    nodes, edges = (cut(x) for x in _graph(spark, d))
+    nodes, edges = _graph(spark, d)
     kept, links = graph.fragment(nodes.select("id"), edges.select("src", "dst"), "relevance", _seeds(spark, d), 2, 100)
     n = kept.groupBy("client_id").agg(F.count("*").alias("num_nodes"))
     k = links.groupBy(F.col("client_id").alias("c")).agg(F.count("*").alias("num_edges"))
@@ -143,6 +143,12 @@ def relevance_fragment(spark, d):  # noqa: ANN001, ANN201
     return n.join(k, F.col("client_id").eqNullSafe(F.col("c")), "left").crossJoin(F.broadcast(whole)).select("client_id", "num_nodes", F.coalesce("num_edges", F.lit(0)).alias("num_edges"), F.round(F.col("num_nodes") / F.col("whole"), 9).alias("coverage_ratio"))
 
 
+@query(f"WITH {NAMED} SELECT round(count(DISTINCT id) FILTER (WHERE round_number < 20) / CAST(count(DISTINCT id) AS DOUBLE), 9) AS coverage_ratio FROM e")
+def coverage_of_rounds(spark, d):  # noqa: ANN001, ANN201
+    e = table(spark, d, "entities")
+    return graph.coverage(graph.exact_groups(e.filter("round_number < 20")), graph.exact_groups(e)).withColumn("coverage_ratio", F.round("coverage_ratio", 9))
+
+
 @query(f"WITH {NODES} SELECT id, coalesce(entity_type, 'UNKNOWN') AS entity_type, coalesce(description, '') AS description, round(coalesce(weight, 1.0), 4) AS weight FROM en")
 def entity_metadata(spark, d):  # noqa: ANN001, ANN201
     return graph.entity_metadata(_graph(spark, d)[0]).withColumn("weight", F.round("weight", 4))
