@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.operators import graph
 from knotwork.operators.components import connected_components
-from knotwork.session import cut, few
+from knotwork.session import cut, few, merged, ship
 
 # What the search says when it has no index, no model or no hit.
 NOT_LOADED = "<knowledge>Knowledge graph not yet loaded.</knowledge>"
@@ -19,8 +20,9 @@ NO_MODEL = "<knowledge>Embedding model not available.</knowledge>"
 NOTHING = "<knowledge>No relevant knowledge found.</knowledge>"
 #: Places that a similarity is rounded to before it is ranked, so that near ties don't depend on the order of a sum.
 PLACES = 9
-#: Blocks that an exact search over all vectors is dealt into.
-BLOCKS = 32
+#: Vectors that a block of an exact search over all vectors should hold at least and at most, the rows of it that are
+#: multiplied at once, and how far a product of floats may be from that of doubles.
+BLOCK, ROWS, FLOATS = (500, 32_000), 256, 1e-5
 
 
 def normalize(v: Column) -> Column:
@@ -63,21 +65,80 @@ def limited(ranked: DataFrame, limits: DataFrame) -> DataFrame:
     return ranked.join(limits, "query_id", "left").filter(F.col("max_results").isNull() | (F.col("rank") <= F.col("max_results"))).drop("max_results")
 
 
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Arrays of numbers as rows; a missing place counts as 0."""
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.fill_null(lists.flatten(), 0.0).to_numpy(zero_copy_only=False)
+    rows = np.zeros((len(sizes), int(sizes.max(initial=0))))
+    rows[np.arange(rows.shape[1]) < sizes[:, None]] = flat
+    return rows
+
+
+def _best(a: np.ndarray, b: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``most`` best of each ``a``, of equals the smaller ``b``; NaN is the best of all."""
+    order = np.lexsort((b, -np.where(np.isnan(score), np.inf, score), a))
+    a, b, score = a[order], b[order], score[order]
+    start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]][: len(a)])
+    place = np.arange(len(a)) - np.repeat(start, np.diff(np.r_[start, len(a)]))
+    return a[place < most], b[place < most], score[place < most]
+
+
+def _block_pairs(block: pa.Table, threshold: float, most: int) -> pa.Table:
+    """Of the vectors of two blocks (or of one) each one's ``most`` best of the other, both ways. Products of floats tell
+    which pairs may lie above the threshold; these are worked out in double."""
+    ids, blocks = block.column("vec_id").combine_chunks(), block.column("block").to_numpy()
+    rank = pc.rank(ids, tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
+    every = _matrix(block.column("v").combine_chunks())
+    left = np.flatnonzero(blocks == blocks.min())
+    one = len(left) == len(blocks)
+    right = left if one else np.flatnonzero(blocks != blocks.min())
+    small = every[right].astype(np.float32).T
+    kept = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for at in range(0, len(left), ROWS):
+        rough = every[left[at : at + ROWS]].astype(np.float32) @ small
+        i, j = np.nonzero(~(rough <= threshold - FLOATS))
+        i, j = left[at + i], right[j]
+        there = (rank[i] < rank[j]) if one else (rank[i] != rank[j])
+        i, j = i[there], j[there]
+        score = np.concatenate([np.empty(0), *(np.round(np.einsum("ij,ij->i", every[i[k : k + 65_536]], every[j[k : k + 65_536]]), PLACES) for k in range(0, len(i), 65_536))])
+        above = ~(score <= threshold)
+        i, j, score = rank[i[above]], rank[j[above]], score[above]
+        kept += [_best(i, j, score, most), _best(j, i, score, most)]
+    a, b, score = _best(*(np.concatenate(x) for x in zip(*kept)), most)
+    of = np.zeros(int(rank.max(initial=0)) + 1, np.int64)
+    of[rank] = np.arange(len(rank))
+    return pa.table([ids.take(pa.array(of[a])), ids.take(pa.array(of[b])), pa.array(score)], names=["vec_a", "vec_b", "score"])
+
+
+def _all_pairs(vectors: DataFrame, threshold: float, most: int) -> DataFrame:
+    """Each vector's best of every block, all against all: blocks, of a number that follows the table's, meet two by two,
+    each two in a task of its own, and are multiplied as matrices. Only what is above the threshold leaves a task."""
+    spark = vectors.sparkSession
+    ship(spark)
+    rows = vectors.filter("vec_id is not null").select("vec_id", normalize(F.col("embedding")).alias("v")).filter("v is not null")
+    n, wanted = rows.count(), 1
+    while wanted * (wanted + 1) < 6 * spark.sparkContext.defaultParallelism:
+        wanted += 1
+    blocks = max(min(wanted, n // BLOCK[0]), -(-n // BLOCK[1]), 1)
+    own, other = F.col("block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("other", other)
+    met = dealt.select("vec_id", "v", "block", (F.least(own, "other") * blocks + F.greatest(own, "other")).alias("two"))
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    return met.repartition(blocks * (blocks + 1) // 2, "two").groupBy("two").applyInArrow(lambda t: _block_pairs(t, threshold, most), f"vec_a {kind}, vec_b {kind}, score double")
+
+
 def neighbour_pairs(vectors: DataFrame, threshold: float = 0.85, k: int = 5, centres: np.ndarray | None = None, probes: int = 2) -> DataFrame:
     """``vec_a, vec_b, score`` of vectors that are among the ``k - 1`` nearest of one another's side and above the
     threshold: exact, all against all in blocks, as its definition asks; or with ``centres`` each against those of the
     ``probes`` cells nearest to it. Each block keeps its best of a vector before they are put together."""
     if centres is None:
-        v = vectors.select("vec_id", normalize(F.col("embedding")).alias("v"))
-        left = v.withColumn("cell", F.pmod(F.xxhash64("vec_id"), F.lit(BLOCKS)).cast("int"))
-        right = v.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+        kept, steps = _all_pairs(vectors, threshold, k - 1), (["vec_a"],)
     else:
-        left, right = in_cells(vectors, centres, 1), in_cells(vectors, centres, probes)
-    a = left.select("cell", F.col("vec_id").alias("vec_b"), F.col("v").alias("b"))
-    b = right.select("cell", F.col("vec_id").alias("vec_a"), F.col("v").alias("a"))
-    scored = a.join(b, (a.cell == b.cell) & (F.col("vec_a") != F.col("vec_b"))).select(b.cell, "vec_a", "vec_b", F.round(dot(F.col("a"), F.col("b")), PLACES).alias("score"))
-    kept = scored.filter(F.col("score") > threshold)  # what is below can't push out what is above
-    for by in (["vec_a", "cell"], ["vec_a"]):
+        a = in_cells(vectors, centres, 1).select("cell", F.col("vec_id").alias("vec_b"), F.col("v").alias("b"))
+        b = in_cells(vectors, centres, probes).select("cell", F.col("vec_id").alias("vec_a"), F.col("v").alias("a"))
+        scored = a.join(b, (a.cell == b.cell) & (F.col("vec_a") != F.col("vec_b"))).select(b.cell, "vec_a", "vec_b", F.round(dot(F.col("a"), F.col("b")), PLACES).alias("score"))
+        kept, steps = scored.filter(F.col("score") > threshold), (["vec_a", "cell"], ["vec_a"])  # what is below can't push out what is above
+    for by in steps:
         kept = kept.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "vec_b"))).filter(F.col("r") <= k - 1)
     return kept.select("vec_a", "vec_b", "score")
 
@@ -138,7 +199,7 @@ def fuzzy_entities(entities: DataFrame, encode, threshold: float = 0.85, k: int
     first = graph.named(entities).groupBy("id").agg(F.min_by(F.coalesce("description", F.lit("")), "ord").alias("d"))
     vectors = cut(first.select(F.col("id").alias("vec_id"), encode(F.col("d")).alias("embedding")))
     found = connected_components(neighbour_pairs(vectors, threshold, k, centres, probes), "vec_a", "vec_b")
-    return vectors.select(F.col("vec_id").alias("id")).join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("group_id"))
+    return vectors.select(F.col("vec_id").alias("id")).join(merged(found.withColumnRenamed("node", "id")), "id", "left").select("id", F.coalesce("component", "id").alias("group_id"))
 
 
 def adjacent_facts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
